@@ -1,8 +1,8 @@
 """Exact duplicates by distributed MSD radix partitioning.
 
 A document's key is its length followed by the bytes of its normalised text. Each
-round splits every open group by its documents' next bytes (a digit), with one
-aggregation whose partial step runs before the shuffle. Groups of one leave; groups
+round splits every open group by its documents' next bytes (a digit, cut at characters),
+with one aggregation whose partial step runs before the shuffle. Groups of one leave; groups
 whose bytes have all been compared are classes of equal texts; the rest go on. Digits
 widen from round to round, so few rounds reach the end of long texts, and only the
 bytes of the round travel, never whole rows. Equality is decided by bytes alone.
@@ -28,7 +28,8 @@ def normalised(text: Column) -> Column:
 
 
 def _split(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Splits groups by the columns ``by``: (label, group) of each row that isn't alone, and the group's size."""
+    """Splits groups by the columns ``by``: label, group and number of the rows that aren't alone."""
+    rows = cut(rows)
     groups = cut(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").withColumn("__next", F.monotonically_increasing_id()))
     return (
         rows.join(groups, by)
@@ -42,7 +43,7 @@ def equal_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", f
     """Classes of two rows or more: labels (``__id``, ``__row``, ``__len``) with ``keep_id`` and ``group_size``."""
     base = labelled(docs, doc_id, text)
     start, width = 0, first
-    open_rows = cut(_split(base.select("__id", "__row", "__len", F.substring("__bytes", 1, width).alias("__digit")), ["__len", "__digit"]))
+    open_rows = cut(_split(base.select("__id", "__row", "__len", digit(base, 0, width).alias("__digit")), ["__len", "__digit"]))
     done, rounds = None, 0
     while True:
         start += width
@@ -54,7 +55,7 @@ def equal_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", f
         if going.isEmpty():
             break
         to = going.select(F.col("__id").alias("__i2"), F.col("__row").alias("__r2"), F.col("__len").alias("__l2"), "__group")
-        digits = base.where(F.col("__len") > start).select("__id", "__row", "__len", F.substring("__bytes", start + 1, width).alias("__digit"))
+        digits = base.where(F.col("__len") > start).select("__id", "__row", "__len", digit(base, start, width).alias("__digit"))
         match = F.col("__id").eqNullSafe(F.col("__i2")) & (F.col("__row") == F.col("__r2")) & (F.col("__len") == F.col("__l2"))
         rows = digits.join(to, match).select("__id", "__row", "__len", "__digit", "__group")
         open_rows = cut(_split(rows.withColumnRenamed("__group", "__from"), ["__from", "__digit"]))
@@ -65,10 +66,13 @@ def equal_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", f
 
 
 def labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    norm = normalised(docs[text])
-    return docs.select(
-        docs[doc_id].cast("long").alias("__id"), F.xxhash64(norm).alias("__row"), F.octet_length(norm).alias("__len"), norm.cast("binary").alias("__bytes")
-    )
+    whole = F.coalesce(docs[text], F.lit(""))
+    return docs.select(docs[doc_id].cast("long").alias("__id"), F.xxhash64(whole).alias("__row"), F.length(whole).alias("__len"), whole.alias("__text"))
+
+
+def digit(base: DataFrame, start: int, width: int) -> Column:
+    """The normalised characters start .. start + width; normalising keeps their number."""
+    return normalised(F.substring(base["__text"], start + 1, width))
 
 
 def mark_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,7 +85,7 @@ def mark_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = equal_classes(docs, doc_id, text).select(
         F.col("__id").alias("__i2"), F.col("__row").alias("__r2"), F.col("__len").alias("__l2"), "keep_id", "group_size"
     )
-    base = labelled(docs, doc_id, text).select("__id", "__row", "__len", F.sha2("__bytes", 256).alias("text_sha256"))
+    base = labelled(docs, doc_id, text).select("__id", "__row", "__len", F.sha2(normalised(F.col("__text")).cast("binary"), 256).alias("text_sha256"))
     match = F.col("__id").eqNullSafe(F.col("__i2")) & (F.col("__row") == F.col("__r2")) & (F.col("__len") == F.col("__l2"))
     grouped = F.col("group_size").isNotNull()
     return base.join(classes, match, "left").select(
