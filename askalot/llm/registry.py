@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan, line_dedup
+from . import byte_bpe, exact_dedup, license_scan, line_dedup, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_byte_bpe": byte_bpe.op3_byte_bpe,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_license_scan": license_scan.op10_license_scan,
