@@ -10,9 +10,14 @@ offset o". Ranking and placing every piece is Spark's work again.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -23,11 +28,17 @@ from .common import cut, table
 
 MAX = 2048
 #: Distinct words that a worker remembers; beyond that it starts anew.
-MEMO = 400_000
+MEMO = 600_000
 #: Pieces of one length that one task ranks, about.
 RANKED = 100_000
 
 
+#: A word of letters that neither NFC nor lower-casing changes, and ASCII marks after it. No tokenizer pattern joins the two.
+PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Texts whose new words are looked up together.
+TOGETHER = 256
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -37,24 +48,71 @@ def tokenizer(path: str):
     return t
 
 
+@lru_cache(maxsize=2)
+def merges_only(path: str):
+    """The tokenizer without its normaliser and pre-tokenizer, if those are the usual ones of a byte-level BPE over words; else None."""
+    from tokenizers import Tokenizer
+
+    spec = json.loads(Path(path).read_text())
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if [s["type"] for s in steps] != ["Split", "ByteLevel"] or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
+        return None
+    return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+
+
+def byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes, each distinct word encoded once.
 
-    For tokenizers that never join characters across white space, as the word-level BPE here.
+    For tokenizers that ignore case and never join characters across white space, as the word-level BPE here.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.memo = tokenizer(path), {}
-
-    def encode(self, text: str) -> bytes:
-        words = text.encode().split()  # at ASCII white space only
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        if new := [w for w in set(words) if w not in memo]:
-            got = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            memo.update((w, np.asarray(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, got, strict=True))
-        return b"".join(map(memo.__getitem__, words))
+        self.whole, self.merges, self.letters = tokenizer(path), merges_only(path), byte_letters()
+        self.memo: dict[bytes, bytes] = {}
+
+    def _put(self, keys: list[bytes], encoder, written: list[str]) -> None:
+        got = encoder.encode_batch_fast(written, add_special_tokens=False)
+        self.memo.update((k, array("I", e.ids).tobytes()) for k, e in zip(keys, got, strict=True))
+
+    def _learn(self, words: set[bytes]) -> None:
+        memo, plain, stems, others = self.memo, [], set(), set()
+        for w in words:
+            if w in memo:
+                continue
+            m = PLAIN.fullmatch(w.decode()) if self.merges else None
+            if m is None:
+                others.add(w)
+                continue
+            stem, tail = m[1].encode(), m[2].encode()
+            if stem not in memo:
+                stems.add(stem)
+            if tail:
+                plain.append((w, stem, tail))
+                if tail not in memo:
+                    others.add(tail)
+        if others:
+            keys = list(others)
+            self._put(keys, self.whole, [w.decode() for w in keys])
+        if stems:
+            keys = list(stems)
+            self._put(keys, self.merges, [w.decode("latin-1").translate(self.letters) for w in keys])
+        memo.update((w, memo[stem] + memo[tail]) for w, stem, tail in plain)
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), TOGETHER):
+            words = [t.encode().lower().split() for t in texts[at : at + TOGETHER]]  # ASCII lower case and white space
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            self._learn(set(chain.from_iterable(words)))
+            for w in words:
+                yield b"".join(map(self.memo.__getitem__, w))
 
 
 @lru_cache(maxsize=2)
@@ -73,8 +131,8 @@ def tokenised_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
         ids = word_ids(path)
         for batch in batches:
             rows = []
-            for i, t in zip(batch["doc_id"], batch["text"], strict=True):
-                whole = ids.encode(t or "") + end
+            for i, own in zip(batch["doc_id"], ids.encode_all([t or "" for t in batch["text"]]), strict=True):
+                whole = own + end
                 for p, at in enumerate(range(0, len(whole), 4 * size)):
                     part = whole[at : at + 4 * size]
                     rows.append((i, p, at // 4, len(part) // 4, zlib.crc32(part)))
