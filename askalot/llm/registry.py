@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, license_scan, line_dedup, packing
+from . import byte_bpe, exact_dedup, html_extract, license_scan, line_dedup, packing, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+        "op4_warc": warc.op4_warc,
+        "op7_html_extract": html_extract.op7_html_extract,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_license_scan": license_scan.op10_license_scan,
@@ -21,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_warc": warc.ORACLE,
         "op8_exact_dedup": exact_dedup.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
         "op10_license_scan": license_scan.oracle(),
