@@ -42,9 +42,10 @@ def boilerplate_lines(docs: DataFrame, text: str = "text", site: str = "source",
     )
     near = estimated.where(F.col("__sites") <= high).select("__h", "__g")
     exact = (
-        lines.join(near, ["__h", "__g"])
+        lines.distinct()  # a line of one site leaves a task once
+        .join(near, ["__h", "__g"])
         .groupBy("__h", "__g")
-        .agg(F.countDistinct("__site").alias("__sites"))
+        .agg(F.count("__site").alias("__sites"))
         .where(F.col("__sites") >= min_sites)
     )
     return estimated.where(F.col("__sites") > high).select("__h", "__g").unionByName(exact.select("__h", "__g"))

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, html_extract, license_scan, line_dedup, packing, warc
+from . import ann, byte_bpe, exact_dedup, html_extract, license_scan, line_dedup, packing, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": ann.op1_ann,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
         "op4_warc": warc.op4_warc,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op7_html_extract": html_extract.op7_html_extract,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
