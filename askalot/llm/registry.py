@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, exact_dedup, html_extract, license_scan, line_dedup, packing, toxicity, warc
+from . import ann, byte_bpe, exact_dedup, html_extract, license_scan, line_dedup, ngram_join, packing, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
         "op4_warc": warc.op4_warc,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_ngram_join": ngram_join.op6_ngram_join,
         "op7_html_extract": html_extract.op7_html_extract,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
