@@ -82,7 +82,11 @@ class Reader:
             first = zlib.decompressobj(31).decompress(MAGIC + piece[:4096], 16)
         except zlib.error:
             return False
-        return first.startswith(b"WARC/") if len(first) >= 5 else len(piece) < 4096 and b"WARC/".startswith(first)
+        if len(first) >= 5:
+            return first.startswith(b"WARC/")
+        # Cut short by another magic: it must be a plain gzip header, without optional fields, of a known system.
+        plain = piece[0] == 0 and piece[5] in (0, 2, 4) and (piece[6] <= 13 or piece[6] == 255)
+        return plain and len(piece) < 4096 and b"WARC/".startswith(first)
 
     def feed(self, data: bytes) -> tuple | None:
         """Goes on with the open member; a record if that completes it."""
