@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decode import is_missing
@@ -35,3 +35,26 @@ def country_options(decoded: DataFrame, values: DataFrame) -> DataFrame:
 def country_of(code: Column, prefix: str) -> Column:
     """The country in a variable's name: after the prefix, without trailing digits, the last two letters in upper case."""
     return F.upper(F.right(F.regexp_replace(F.substr(code, F.lit(len(prefix) + 1)), r"\d+$", ""), F.lit(2)))
+
+
+def concept_vars(variables: DataFrame, concept: str, prefixes: list[str], countries: DataFrame, min_countries: int = 3) -> DataFrame:
+    """(concept, country, code, pos): a concept's variables by country, in codebook order; none if fewer than ``min_countries`` have one."""
+    found = None
+    for p in prefixes:
+        rows = variables.where(F.col("code").startswith(p)).select("code", "var_pos", country_of(F.col("code"), p).alias("country"))
+        found = rows if found is None else found.unionByName(rows)
+    found = found.dropDuplicates(["code"]).join(countries.select("country").distinct(), "country", "left_semi")
+    enough = found.agg(F.count_distinct("country").alias("k")).where(F.col("k") >= min_countries)
+    pos = F.row_number().over(Window.partitionBy("country").orderBy("var_pos")) - 1
+    return found.crossJoin(enough).select(F.lit(concept).alias("concept"), "country", "code", pos.alias("pos"))
+
+
+def resolve(decoded: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(concept, respondent_id, country, code, label): answers to the first variable of a respondent's country."""
+    return decoded.join(concepts.where("pos = 0").select("concept", "country", "code"), ["country", "code"]).select("concept", "respondent_id", "country", "code", "label")
+
+
+def coverage(decoded: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(concept, country, n_vars, n_answers): answers counted ahead of the join, so that no country is one task."""
+    answers = decoded.groupBy("country", "code").agg(F.count(F.lit(1)).alias("n"))
+    return concepts.join(answers, ["country", "code"], "left").groupBy("concept", "country").agg(F.count_distinct("code").alias("n_vars"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_answers"))

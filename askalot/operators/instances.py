@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .decode import is_missing, valid_options
@@ -31,11 +31,26 @@ def build_instances(decoded: DataFrame, variables: DataFrame, values: DataFrame,
     )
 
 
+def json_string(text: Column) -> Column:
+    """A JSON string in ASCII: quoted by Spark, then characters beyond ASCII as \\uXXXX, in pairs beyond the first plane."""
+    raw = F.to_json(F.struct(text.alias("x")))
+    quoted = F.substr(raw, F.lit(6), F.length(raw) - 6)
+    escape = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\\\u$1")
+    ascii_only = F.array_join(F.transform(F.split(quoted, ""), lambda c: F.when(c.rlike(r"[^\x00-\x7f]"), escape(c)).otherwise(c)), "")
+    return F.when(quoted.rlike(r"[^\x00-\x7f]"), ascii_only).otherwise(quoted)
+
+
 LINE = {
     "qa": lambda q, a: F.concat(F.lit("Q: "), q, F.lit("\nA: "), a),
     "interview": lambda q, a: F.concat(F.lit("Interviewer: "), q, F.lit("\nRespondent: "), a),
     "bullet": lambda q, a: F.concat(F.lit("- "), q, F.lit(": "), a),
-    "arrow": lambda q, a: F.concat(q, F.lit(" -> "), a),
+    "colon": lambda q, a: F.concat(q, F.lit(": "), a),
+    "arrow": lambda q, a: F.concat(q, F.lit(" \u2192 "), a),
+    "brackets": lambda q, a: F.concat(F.lit("["), q, F.lit("] "), a),
+    "xml": lambda q, a: F.concat(F.lit("<question>"), q, F.lit("</question>\n<answer>"), a, F.lit("</answer>")),
+    "json": lambda q, a: F.concat(F.lit('{"q": '), json_string(q), F.lit(', "a": '), json_string(a), F.lit("}")),
+    "narrative": lambda q, a: F.concat(F.lit('When asked "'), q, F.lit('", they answered "'), a, F.lit('".')),
+    "card": lambda q, a: F.concat(q, F.lit(" | "), a),
 }
 
 

@@ -88,7 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def oracles() -> dict[str, str]:
+def instance_ctes() -> tuple[str, str]:
+    """Common table expressions up to ``prof`` (drawn features) and up to ``inst`` (instances)."""
     with_ = star.oracle_ctes()
     miss = dec.missing_sql("label")
     not_targets = "code NOT IN (" + ", ".join(f"'{t}'" for t in TARGETS) + ")"
@@ -107,6 +108,14 @@ opts AS (SELECT code, list(label ORDER BY label_pos) AS options FROM vals WHERE
 inst AS (SELECT 'star_' || d.respondent_id || '_' || d.code AS base_id, d.respondent_id AS id, d.country, q.questions, q.lines, d.code AS target_code, v.question AS target_question, d.label AS answer,
                 CASE WHEN list_contains(o.options, d.label) THEN o.options ELSE list_append(o.options, d.label) END AS options
          FROM dec d JOIN vars v ON v.code = d.code JOIN opts o ON o.code = d.code JOIN qs q ON q.respondent_id = d.respondent_id WHERE d.{is_target} AND NOT {dec.missing_sql('d.label')})"""
+    return prof, inst
+
+
+def oracles() -> dict[str, str]:
+    with_ = star.oracle_ctes()
+    miss = dec.missing_sql("label")
+    not_targets = "code NOT IN (" + ", ".join(f"'{t}'" for t in TARGETS) + ")"
+    prof, inst = instance_ctes()
     return {
         "cln_9_long": f"{with_} SELECT respondent_id, country, code, raw FROM long",
         "dec_1_decode": f"{with_} SELECT respondent_id, code, raw, label FROM dec",
