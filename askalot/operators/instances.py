@@ -35,7 +35,7 @@ def json_string(text: Column) -> Column:
     """A JSON string in ASCII: quoted by Spark, then characters beyond ASCII as \\uXXXX, in pairs beyond the first plane."""
     raw = F.to_json(F.struct(text.alias("x")))
     quoted = F.substr(raw, F.lit(6), F.length(raw) - 6)
-    escape = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\\\u$1")
+    escape = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
     ascii_only = F.array_join(F.transform(F.split(quoted, ""), lambda c: F.when(c.rlike(r"[^\x00-\x7f]"), escape(c)).otherwise(c)), "")
     return F.when(quoted.rlike(r"[^\x00-\x7f]"), ascii_only).otherwise(quoted)
 
