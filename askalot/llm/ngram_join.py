@@ -167,7 +167,8 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, buckets: int) -> DataFrame:
                 e = np.zeros(len(order), dtype=[("bucket", "<i8"), ("salt", "<i4"), ("entry", ENTRY)])
                 token = s[order]
                 e["bucket"] = (token >> np.uint64(33)) % np.uint64(buckets)
-                e["salt"] = node % (1 + often[order].astype(np.int64) // HOT)
+                salts = 1 + often[order].astype(np.int64) // HOT
+                e["salt"] = np.where(salts > 1, 1 + node % salts, 0)  # 0 says that the list is whole
                 e["entry"]["token"] = token & np.uint64(0xFFFFFFFF)
                 e["entry"]["node"], e["entry"]["n"], e["entry"]["pos"] = node, n, np.arange(len(order))
                 held.append(e)
@@ -205,7 +206,7 @@ def meet(group: pa.Table) -> pa.Table:
     starts = np.flatnonzero(np.r_[True, np.diff(e["token"].astype(np.int64)) != 0])
     size = np.diff(np.r_[starts, len(e)])
     run = np.repeat(np.arange(len(starts)), size)
-    # A salted list goes on in other buckets, so it counts as long throughout.
+    # A salted list goes on in other buckets, so it counts as long throughout; its salts are 1 and up.
     hot = salt > 0
     long = (size > SHORT) | hot
     a, b = [], []

@@ -197,6 +197,14 @@ def test_ngram_join_against_brute_force(spark, docs, empty):
     assert ngram_join.near_duplicates(docs).count() == docs.count() and ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_ngram_join_links_lists_that_are_dealt_to_salts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 2)  # every shingle of two documents has two salts or more
+    texts = [" ".join(["same"] * (j == 1) + [f"t{k}x{w}" for w in range(40)]) for k in range(24) for j in range(2 + k % 3)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(rows).collect()}
+    assert [got[k] for k in range(len(texts))] == brute(texts)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(50, 40), (40, 50), (60, 60)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
