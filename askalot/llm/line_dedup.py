@@ -25,50 +25,68 @@ def _line_key(line: Column) -> list[Column]:
     return [F.xxhash64(F.trim(line)).alias("__h"), F.hash(F.trim(line)).alias("__g")]
 
 
-def boilerplate_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """Keys (``__h``, ``__g``) of the lines on at least ``min_sites`` distinct non-null sites."""
-    lines = (
-        docs.select(docs[site].alias("__site"), F.explode(F.split(docs[text], "\n")).alias("__line"))
+def _place(docs: DataFrame, doc_id: str, text: str) -> Column:
+    """Orders rows by doc_id, those without one last; rows that repeat are equal."""
+    return F.struct(docs[doc_id].isNull().alias("last"), docs[doc_id].alias("id"), F.xxhash64(docs[doc_id], docs[text]).alias("row"))
+
+
+def boilerplate_lines(
+    docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, place: Column | None = None
+) -> DataFrame:
+    """Keys (``__h``, ``__g``) of the lines on at least ``min_sites`` distinct non-null sites.
+
+    With ``place``, also ``__first``: the smallest value of it among the rows that show the line.
+    """
+    extra = [] if place is None else [place.alias("__place")]
+    first = [] if place is None else [F.min("__place").alias("__first")]
+    key = ["__h", "__g", *(["__first"] if extra else [])]
+    placed = (
+        docs.select(docs[site].alias("__site"), *extra, F.explode(F.split(docs[text], "\n")).alias("__line"))
         .where(F.trim("__line") != "")
-        .select("__site", *_line_key(F.col("__line")))
+        .select("__site", *(["__place"] if extra else []), *_line_key(F.col("__line")))
     )
+    lines = placed.select("__site", "__h", "__g")
     # An estimate is off by less than a tenth plus two, six standard errors; beyond that it decides.
     low, high = min_sites * 0.9 - 2, min_sites * 1.1 + 2
     estimated = cut(
-        lines.groupBy("__h", "__g")
-        .agg(F.hll_sketch_agg("__site", F.lit(LG_K)).alias("__sketch"))
-        .select("__h", "__g", F.hll_sketch_estimate("__sketch").alias("__sites"))
+        placed.groupBy("__h", "__g")
+        .agg(F.hll_sketch_agg("__site", F.lit(LG_K)).alias("__sketch"), *first)
+        .select(*key, F.hll_sketch_estimate("__sketch").alias("__sites"))
         .where(F.col("__sites") >= low)
     )
-    near = estimated.where(F.col("__sites") <= high).select("__h", "__g")
+    near = estimated.where(F.col("__sites") <= high).select(*key)
     exact = (
         lines.distinct()  # a line of one site leaves a task once
         .join(near, ["__h", "__g"])
-        .groupBy("__h", "__g")
+        .groupBy(*key)
         .agg(F.count("__site").alias("__sites"))
         .where(F.col("__sites") >= min_sites)
     )
-    return estimated.where(F.col("__sites") > high).select("__h", "__g").unionByName(exact.select("__h", "__g"))
+    return estimated.where(F.col("__sites") > high).select(*key).unionByName(exact.select(*key))
 
 
 def drop_boilerplate_lines(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, keep_first: bool = False
 ) -> DataFrame:
     """``docs`` with its boilerplate lines taken out of ``text``, plus ``n_lines`` and ``n_removed``.
 
     Lines end at \\n and compare without outer spaces; blank lines always stay. Every
-    occurrence of a boilerplate line goes, on every site. Null texts stay null and have no
+    occurrence of a boilerplate line goes, on every site; with ``keep_first`` all but those in the
+    row of the smallest doc_id that shows it (rows without an id come last), so that no line is
+    lost altogether and of a document copied to many sites one copy stays whole. Null texts stay null and have no
     lines; null sites don't count as a site. Every row stays, repeated rows too, an emptied
     text as ''. Other columns pass through; columns named n_lines or n_removed are replaced.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*[docs[c] for c in keep], F.xxhash64(docs[doc_id], docs[text]).alias("__row"), docs[doc_id].alias("__id"))
-    found = boilerplate_lines(docs, text, site, min_sites)
+    place = _place(docs, doc_id, text) if keep_first else None
+    found = boilerplate_lines(docs, text, site, min_sites, place)
     drops = (
         docs.select(docs[doc_id].alias("__id"), F.xxhash64(docs[doc_id], docs[text]).alias("__row"), F.posexplode(F.split(docs[text], "\n")).alias("__pos", "__line"))
         .where(F.trim("__line") != "")
         .select("__id", "__row", "__pos", *_line_key(F.col("__line")))
         .join(found, ["__h", "__g"])
+        .where(~(F.col("__first.row").eqNullSafe(F.col("__row")) & F.col("__first.id").eqNullSafe(F.col("__id"))) if keep_first else F.lit(True))
         .groupBy("__id", "__row")
         .agg(F.collect_set("__pos").alias("__drop"))
         .select(F.col("__id").alias("__id2"), F.col("__row").alias("__row2"), "__drop")

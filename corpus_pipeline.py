@@ -22,8 +22,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that stand on many sources; n_chars follows the text."""
-    cleaned = drop_boilerplate_lines(docs)
+    """All documents, without the lines that stand on many sources, but for the first document that shows each; n_chars follows the text."""
+    cleaned = drop_boilerplate_lines(docs, keep_first=True)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

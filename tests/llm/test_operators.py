@@ -46,6 +46,19 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.drop_boilerplate_lines(docs).count() == docs.count() and line_dedup.drop_boilerplate_lines(empty).count() == 0
 
 
+def test_pipeline_keeps_one_copy_of_a_document_on_many_sources(spark):
+    import corpus_pipeline
+
+    text = "first line\nsecond line\n\nfirst line"
+    rows = [(k, text, "en", f"s{k}", 0) for k in range(20, 32)] + [(k, f"own {k}\nmenu", "en", f"s{k}", 0) for k in range(1, 14)]
+    rows += [(None, "no id\nmenu", "en", "s1", 0)] + [(None, "only there", "en", f"s{k}", 0) for k in range(12)] + [(20, text, "en", "s20", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.line_dedup(spark, docs, "").collect()
+    by = {r["doc_id"]: r["text"] for r in got}
+    assert len(got) == len(rows) and [r["text"] for r in got if r["doc_id"] == 20] == [text] * 2 and by[21].strip() == ""
+    assert by[1] == "own 1\nmenu" and by[2] == "own 2" and {r["text"] for r in got if r["doc_id"] is None} == {"no id", "only there"}
+
+
 def test_license_scan(spark, docs, empty):
     rows = spark.createDataFrame([("Hello. Released under the MIT License.\nAll rights reserved",), ("Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.",), (None,)], "text string")
     got = [[x["rule"] for x in r["license_rules"]] for r in license_scan.scan_licenses(rows).collect()]
