@@ -27,45 +27,50 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul"}
 CLOSES_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "form", "menu", "menubar", "toolbar"}
-# Words in class or id that mark what isn't the article.
+# Class tokens and ids that mark what isn't the article, unless ``mute`` finds the page's text there.
 NOISE = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "sidebar", "sidenav", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "disqus", "replies", "respond", "footer", "related", "recommended", "share", "sharing", "social", "newsletter", "subscribe", "subscription", "popup", "modal", "overlay", "widget", "widgets", "toolbar", "pagination", "pager", "skip", "login", "signup", "tags", "copyright", "disclaimer", "trending", "outbrain", "taboola"}
+ADS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "outbrain", "taboola"}
 NOISE_OUTSIDE = {"header", "masthead", "topbar", "site", "logo", "branding"}
 
 TAG = re.compile(r"""<!--(?>.*?)(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']*(?>(?:"[^"]*"|'[^']*')[^>"']*)*))>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "noise", "density", "total")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "noise", "suspect", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool):
         self.tag, self.parent, self.noise = tag, parent, noise
+        self.suspect: set[str] | bool = False  # tokens of class and id that mark noise
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_noise(tag: str, attributes: str, in_article: bool) -> bool:
+def is_noise(tag: str, attributes: str, in_article: bool) -> bool | set[str]:
+    """Whether an element is no text by its tag, role or style; the tokens if only its class or id says so."""
     if tag in DROPPED or (tag == "header" and not in_article):
         return True
     if not attributes.strip():
         return False
+    suspect: set[str] = set()
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            words = {w.lower() for w in WORD.findall(value)}
-            if words & NOISE or (not in_article and words & NOISE_OUTSIDE and tag not in ("html", "body", "main", "article")):
-                return tag not in ("html", "body")
+            tokens = set(value.lower().split())
+            suspect |= tokens & NOISE if in_article else tokens & (NOISE | NOISE_OUTSIDE)
         elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
-    return False
+    return suspect or False
 
 
 def parse(page: str) -> Node:
-    """The page's body as block nodes, inline text and link counts folded into them. What is noise is left out."""
+    """The page's body as block nodes, inline text and link counts folded into them. What is noise is left out.
+
+    Inline elements are nodes only where their class or id makes them suspect.
+    """
     root = Node("body", None, False)
     stack: list[tuple[str, Node]] = [("body", root)]  # open elements with the block that holds their text
     muted = 0  # depth of the stack at which noise began
@@ -149,12 +154,14 @@ def parse(page: str) -> Node:
             continue
         if attributes.rstrip().endswith("/") and tag in ("svg", "path"):
             continue
-        if not muted and is_noise(tag, attributes, in_article > 0):
+        noise = not muted and is_noise(tag, attributes, in_article > 0)
+        if noise is True:
             muted = len(stack) + 1
             if tag not in INLINE:
                 block.children.append(Node(tag, block, True))
-        if not muted and tag not in INLINE:
+        if not muted and (tag not in INLINE or noise):
             node = Node(tag, block, False)
+            node.suspect = noise
             block.children.append(node)
             block = node
         stack.append((tag, block))
@@ -165,13 +172,57 @@ def parse(page: str) -> Node:
     return root
 
 
-def measure(root: Node) -> list[Node]:
-    """Fills in chars, tags, density and density sum of every node; returns them, parents first."""
+def nodes_of(root: Node) -> list[Node]:
+    """The nodes that aren't noise, parents first, otherwise in page order."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
-        todo.extend(c for c in node.children if isinstance(c, Node) and not c.noise)
+        todo.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.noise)
+    return order
+
+
+def mute(root: Node) -> None:
+    """Makes suspect nodes noise, but for those that hold the text: most of the page's text outside links, or its article.
+
+    Most is a half, or nine tenths where an article or main element stands elsewhere; what is called an advertisement
+    is never kept for its length. A node holds the article if it is or holds an article or main element, while all other such elements are suspect as well
+    or are main elements around it. So a comment thread of article elements beside the article, or in it, is noise.
+    """
+    order = nodes_of(root)
+    if not any(x.suspect for x in order):
+        return
+    plain: dict[int, int] = {}  # characters outside links in a subtree
+    says: dict[int, bool] = {}  # whether a subtree is or holds an article or main element
+    for x in reversed(order):
+        below = [c for c in x.children if isinstance(c, Node) and not c.noise]
+        plain[id(x)] = x.chars - x.link_chars + sum(plain[id(c)] for c in below)
+        says[id(x)] = x.tag in ("article", "main") or any(says[id(c)] for c in below)
+    within: dict[int, tuple[bool, int]] = {}  # whether a node is suspect or in a suspect one, and the main elements around it
+    for x in order:
+        held, mains = within[id(x.parent)] if x.parent is not None else (False, 0)
+        within[id(x)] = held or x.suspect, mains + (x.parent is not None and x.parent.tag == "main")
+    free = sum(x.tag in ("article", "main") and not within[id(x)][0] for x in order)
+    for x in order:
+        if x.suspect:
+            alone = free <= within[id(x)][1]
+            most = plain[id(x)] > (0.5 if alone else 0.9) * plain[id(root)] and not x.suspect & ADS
+            x.noise = not (most or (alone and says[id(x)]))
+    for x in reversed(order):
+        if x.tag in INLINE:  # no block of its own: what it holds goes to the block around it
+            up = x.parent
+            at = next(k for k, c in enumerate(up.children) if c is x)
+            up.children[at : at + 1] = [] if x.noise else x.children
+            for c in () if x.noise else x.children:
+                if isinstance(c, Node):
+                    c.parent = up
+            for k in () if x.noise else ("chars", "tags", "link_chars", "link_tags"):
+                setattr(up, k, getattr(up, k) + getattr(x, k))
+
+
+def measure(root: Node) -> list[Node]:
+    """Fills in chars, tags, density and density sum of every node; returns them, parents first."""
+    order = nodes_of(root)
     for node in reversed(order):
         for c in node.children:
             if isinstance(c, Node) and not c.noise:
@@ -189,6 +240,7 @@ def measure(root: Node) -> list[Node]:
 
 
 def content_roots(root: Node) -> list[Node]:
+    mute(root)
     order = measure(root)
     best = max(order, key=lambda x: x.total)  # the outermost among equals, as parents come first
     if not best.chars:

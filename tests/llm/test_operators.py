@@ -151,6 +151,31 @@ def test_html(spark):
     assert html_extract.extract_text(rows.limit(0)).count() == 0
 
 
+BODY = "".join(f"<p>Paragraph {k} of the article tells at some length what happened there.</p>" for k in range(6))
+TEXT = "\n".join(f"Paragraph {k} of the article tells at some length what happened there." for k in range(6))
+
+
+@pytest.mark.parametrize(
+    "open_, close",
+    [
+        ('<div id="page" class="site"><div class="site-content">', "</div></div>"),
+        ('<div class="layout has-sidebar">', "</div>"),
+        ('<main class="with-sidebar">', "</main>"),
+        ('<main class="notice"><div class="widget"><article>', "</article></div></main>"),
+        ('<article class="post category-social comments-open">', "</article>"),
+        ('<span class="site">', "</span>"),
+        ('<div class="social"><article class="post">', "</article></div>"),
+    ],
+)
+def test_html_class_names_do_not_mute_the_page(open_, close):
+    extra = '<div class="ad">buy this now</div><div id="comments"><p>one reader says a word about it</p></div>'
+    assert html_extract.main_text(f"<body>{open_}{BODY}{close}{extra}</body>") == TEXT
+    thread = '<div id="comments"><article>one reader says a word about it</article></div>'
+    assert html_extract.main_text(f"<body><article>{BODY}{thread}</article>{thread}</body>") == TEXT
+    line = BODY.replace("what", '<span class="share">Share it</span><b class="notices-none">what</b>')
+    assert html_extract.main_text(f"<body>{open_}{line}{close}{extra}</body>") == TEXT
+
+
 def test_ann_against_brute_force(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=(30, 16))[rng.integers(0, 30, 3000)] + 0.1 * rng.normal(size=(3000, 16)), np.ones((500, 16))])
