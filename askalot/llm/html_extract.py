@@ -4,7 +4,7 @@ Every page is parsed into a light tree of block elements. A node's composite den
 characters per tag, adjusted by the share of characters and tags inside links; a node's
 density sum adds up its children's densities. The subtree with the largest sum is the
 article; neighbours of the path from body to it join where they are as dense as the
-least dense node of that path. Pages are independent, so this is one map over the rows.
+least dense node of that path, with a heading that stands right before what is taken. Pages are independent, so this is one map over the rows.
 """
 
 from __future__ import annotations
@@ -36,6 +36,9 @@ TAG = re.compile(r"""<!--(?>.*?)(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
+HEADING = re.compile("h[1-6]|header|hgroup")
+
+
 class Node:
     __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "noise", "suspect", "density", "total")
 
@@ -245,20 +248,32 @@ def content_roots(root: Node) -> list[Node]:
     best = max(order, key=lambda x: x.total)  # the outermost among equals, as parents come first
     if not best.chars:
         return [root]
-    path = [best]
-    while path[-1].parent is not None:
-        path.append(path[-1].parent)
-    for node in reversed(path):  # an element that says it is the article is one
-        if node.tag in ("article", "main"):
-            return [node]
-    least = min(x.density for x in path)
-    at = best
-    while at.parent is not None:
-        alike = [x for x in at.parent.children if isinstance(x, Node) and x is not at and not x.noise and x.tag == at.tag and x.density >= max(least, 0.3 * at.density) and x.link_chars < 0.3 * x.chars]
-        if alike:
-            return [x for x in at.parent.children if isinstance(x, Node) and (x is at or x in alike or re.fullmatch("h[1-6]|p|blockquote|pre|ul|ol", x.tag)) and not x.noise]
-        at = at.parent
-    return [best]
+    least, at = best.density, best
+    while (at := at.parent) is not None:
+        least = min(least, at.density)
+    top: dict[int, Node] = {}  # the node of the largest sum in each subtree, the outermost among equals
+    for node in reversed(order):
+        below = [top[id(c)] for c in node.children if isinstance(c, Node) and not c.noise]
+        top[id(node)] = max([node, *below], key=lambda x: x.total)
+    taken, todo = {id(best)}, [root]
+    while todo:
+        node = todo.pop()
+        if node is not best and node.density >= least and node.chars:
+            taken.add(id(top[id(node)]))
+            todo.extend(c for c in node.children if isinstance(c, Node) and not c.noise)
+    chosen, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if id(node) in taken:
+            chosen.append(node)
+            continue
+        blocks = [c for c in node.children if isinstance(c, Node) and not c.noise]
+        # A heading is less dense than what it heads: it joins what follows it.
+        for one, after in zip(reversed(blocks[:-1]), reversed(blocks[1:]), strict=True):
+            if HEADING.fullmatch(one.tag) and id(after) in taken:
+                taken.add(id(one))
+        todo.extend(reversed(blocks))
+    return chosen
 
 
 def blocks_of(node: Node) -> Iterator[str]:

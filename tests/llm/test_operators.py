@@ -176,6 +176,13 @@ def test_html_class_names_do_not_mute_the_page(open_, close):
     assert html_extract.main_text(f"<body>{open_}{line}{close}{extra}</body>") == TEXT
 
 
+@pytest.mark.parametrize("tag", ["main", "article", "div"])
+def test_html_density_decides_with_and_without_article_markup(tag):
+    links = '<div class="list"><ul>' + "".join(f"<li><a href={k}>see page {k}</a></li>" for k in range(20)) + "</ul></div>"
+    page = f"<body><div><a href=x>home</a></div><{tag}>{links}<section>{BODY}</section><h2>More</h2><div>{BODY}{BODY}</div></{tag}><div>c 2026 <a href=y>imprint</a></div></body>"
+    assert html_extract.main_text(page) == "\n".join([TEXT, "More", TEXT, TEXT])
+
+
 def test_ann_against_brute_force(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=(30, 16))[rng.integers(0, 30, 3000)] + 0.1 * rng.normal(size=(3000, 16)), np.ones((500, 16))])
