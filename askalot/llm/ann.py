@@ -98,9 +98,9 @@ class Tree:
                 for d, c in zip(((self.centres[kids] - q) ** 2).sum(axis=1).tolist(), kids, strict=True):
                     heapq.heappush(queue, (d, c))
 
-    def visits(self, sample: np.ndarray, k: int) -> int:
-        """Leaves to visit so that the share RECALL of the probes' k nearest sample rows is found."""
-        probes = np.arange(0, len(sample), max(1, len(sample) // PROBES))
+    def visits(self, sample: np.ndarray, held: np.ndarray, k: int) -> int:
+        """Leaves to visit so that the share RECALL of the k nearest sample rows of those held out (``held``) is found."""
+        probes = np.flatnonzero(held)
         leaf_of = self.assign(sample)
         ranks = []
         for i in probes:
@@ -142,14 +142,19 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", em
     """
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, embedding)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()["embedding"]
+    order = [F.xxhash64("vec_id"), F.col("vec_id")]
+    ids = rows.select("vec_id").distinct().orderBy(*order).limit(SAMPLE)
+    # One copy of each id, so that copies are no neighbours of one another.
+    sample = rows.join(F.broadcast(ids), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding")).orderBy(*order).select("embedding").toPandas()["embedding"]
     schema = "query_id long, rank int, vec_id long, score double"
     if not len(sample):
         return spark.createDataFrame([], schema)
     dim = int(sample.map(len).mode()[0])
     x = np.stack([v for v in sample if len(v) == dim])
-    tree = Tree(x)
-    visits = tree.visits(x, k)
+    held = np.zeros(len(x), dtype=bool)
+    held[:: max(2, len(x) // PROBES)] = len(x) > LEAF  # a smaller sample is one leaf
+    tree = Tree(x[~held])
+    visits = tree.visits(x, held, k)
     rows = rows.where(F.size("embedding") == dim)
     shared = spark.sparkContext.broadcast(tree)  # at most SAMPLE / LEAF x 2 or so centres
 
@@ -160,9 +165,9 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", em
             yield from t.append_column("leaf", pa.array(leaf.astype(np.int32))).to_batches()
 
     dealt = cut(rows.mapInArrow(to_leaves, "vec_id long, embedding array<double>, leaf int"))
-    count = np.zeros(tree.leaves, dtype=np.int64)
-    for r in dealt.groupBy("leaf").count().collect():  # a row for each leaf
-        count[r["leaf"]] = r["count"]
+    count, apart = np.zeros(tree.leaves, dtype=np.int64), np.zeros(tree.leaves, dtype=np.int64)
+    for r in dealt.groupBy("leaf", "vec_id").count().groupBy("leaf").agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("ids")).collect():  # a row for each leaf
+        count[r["leaf"]], apart[r["leaf"]] = r["rows"], r["ids"]
     # Leaves in tree order fill blocks; a leaf beyond BLOCK spans several.
     first, blocks = np.zeros(tree.leaves, dtype=np.int64), np.ones(tree.leaves, dtype=np.int64)
     at = filled = 0
@@ -186,11 +191,11 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", em
             ids, vecs = q["vec_id"].to_numpy(), matrix(q["embedding"])
             out: dict[str, list] = {"query_id": [], "q": [], "block": [], "part": [], "leaves": []}
             for i, v in zip(ids.tolist(), vecs, strict=True):
-                found, seen, rows_seen = {}, 0, 0
+                found, seen, ids_seen = {}, 0, 0
                 for leaf in t.best_bins(v):
-                    if seen >= visits and rows_seen > enough:
+                    if seen >= visits and ids_seen > enough:
                         break
-                    seen, rows_seen = seen + 1, rows_seen + int(count[leaf])
+                    seen, ids_seen = seen + 1, ids_seen + int(apart[leaf])
                     if count[leaf]:
                         for block in range(int(first[leaf]), int(first[leaf] + blocks[leaf])):
                             found.setdefault(block, []).append(leaf)
@@ -209,15 +214,17 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", em
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(left) and len(right):
             ids, leaf, vecs = right["vec_id"].to_numpy(), right["leaf"].to_numpy(), matrix(right["embedding"])
+            repeats = len(np.unique(ids)) < len(ids)
             for i, q, leaves in zip(left["query_id"].to_pylist(), matrix(left["q"]), left["leaves"].to_pylist(), strict=True):
                 rows = np.flatnonzero(np.isin(leaf, leaves) & (ids != i))
                 d = np.sqrt(((vecs[rows] - q) ** 2).sum(axis=1))
+                if repeats:  # the nearest copy of each vec_id, before the k nearest are cut
+                    own = np.lexsort((d, ids[rows]))
+                    own = own[np.r_[True, np.diff(ids[rows][own]) != 0]] if len(own) else own
+                    rows, d = rows[own], d[own]
                 if len(rows) > k:
                     rows, d = rows[d <= (most := np.partition(d, k - 1)[k - 1])], d[d <= most]
-                best = np.lexsort((ids[rows], d))
-                # Copies of one vec_id could crowd out others, so k distinct ids are kept.
-                own = ids[rows][best]
-                best = best[np.sort(np.unique(own, return_index=True)[1])][:k]
+                best = np.lexsort((ids[rows], d))[:k]
                 out["query_id"] += [i] * len(best)
                 out["vec_id"] += ids[rows][best].tolist()
                 out["score"] += d[best].tolist()

@@ -201,6 +201,22 @@ def test_ann_against_brute_force(spark):
     assert ann.search(rows.where("vec_id < 4"), lambda i: i % 100 == 0).count() == 3
 
 
+def test_ann_with_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(600, 8)), np.zeros((1, 8))])
+    x[600] = x[100] + 0.001  # next to a query, and repeated more than k times
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] * 2 + [(600, x[600].tolist())] * 40
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0).toPandas()
+    hit = 0
+    for q in range(0, 601, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        own = got[got["query_id"] == q]["vec_id"].tolist()
+        assert len(own) == len(set(own)) == 10
+        hit += len(set(own) & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.9 * 130
+
+
 def test_toxicity(spark, empty):
     texts = [(k, f"this {'idiot' if k % 4 == 0 else 'person'} reads book {k} about {'women' if k % 4 == 0 else 'men'}.") for k in range(400)]
     docs = spark.createDataFrame([*texts, (1000, None)], "doc_id long, text string")
