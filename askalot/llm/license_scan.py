@@ -1,7 +1,8 @@
 """Licence scan by sentence rules, row by row, in DataFrame functions only.
 
-A text is split into sentences, each sentence is normalised and looked up among
-known licence sentences; the identifiers found, in text order, are then matched
+A text is normalised, with marks where sentences, lines and paragraphs end, and known
+licence sentences are looked for between two marks; line and sentence ends may also fall
+inside a known sentence (wrapped text, "free software: you can"), paragraph ends may not; the identifiers found, in text order, are then matched
 against an ordered list of rules. A rule names the identifiers that must follow
 each other (other sentences may stand between them); what a rule has matched is
 used up, so the full licence text wins over the one-line notice inside it.
@@ -88,26 +89,39 @@ RULES: list[tuple[str, str, list[str]]] = [
     ("all_rights", "Proprietary", ["all_rights"]),
 ]
 
-#: Every known sentence holds one of these words; lines without one aren't split.
+#: For the SQL, which looks at single lines: every known sentence holds one of these words.
 TRIGGER = "(?i)licens|copyright|permission|redistribut|warrant|rights reserved|gnu general"
-#: A sentence ends at .;:!? before white space or the line's end. Needs no look-around.
+#: For the SQL: a sentence ends at .;:!? before white space or the line's end. Needs no look-around.
 SENTENCE_END = r"[.;:!?]+(\s+|$)"
+#: Every known sentence holds one of these words, wherever its lines break; texts without one aren't looked at.
+WORDS = "(?i)licens|copyright|permission|redistribut|warrant|rights|gnu"
+#: Marks of the ends of sentences, lines and paragraphs.
+SENTENCE, LINE, PARAGRAPH = "\x01", "\x02", "\x03"
 
 
-def normalise(sentence: Column) -> Column:
-    """ASCII lower case; runs of other than a-z 0-9 . become one space; outer spaces and full stops go."""
-    plain = F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(plain, "[^a-z0-9.]+", " "), F.lit(" ."))
+def marked(text: Column) -> Column:
+    """ASCII lower case; runs of other than a-z 0-9 . become one space; ends become marks, without spaces and full stops around them."""
+    t = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\x01\x02\x03", "abcdefghijklmnopqrstuvwxyz   ")
+    t = F.regexp_replace(t, r"[.;:!?]+(?=\s|$)", SENTENCE)
+    t = F.regexp_replace(t, f"[^a-z0-9.\n{SENTENCE}]+", " ")
+    t = F.regexp_replace(t, "[ .]{3,}", " . ")  # so that the next steps take time in proportion to the text
+    t = F.regexp_replace(t, f"[ .]*([\n{SENTENCE}])[ .]*", "$1")
+    t = F.regexp_replace(t, f"{SENTENCE}*\n{SENTENCE}*\n[\n{SENTENCE}]*", PARAGRAPH)
+    t = F.regexp_replace(t, f"{SENTENCE}*\n{SENTENCE}*", LINE)
+    t = F.regexp_replace(t, f"{SENTENCE}+", SENTENCE)
+    return F.concat(F.lit(PARAGRAPH), F.trim(t, F.lit(" .")), F.lit(PARAGRAPH))
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known licence sentences of a text, in order (array of string; empty for null)."""
-    known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES for x in (sentence, name)])
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(TRIGGER))
-    ids = F.transform(
-        lines, lambda line: F.transform(F.split(line, SENTENCE_END), lambda s: F.try_element_at(known, normalise(s)))
-    )
-    return F.filter(F.flatten(ids), lambda i: i.isNotNull())
+    plain = lambda s: s.replace(". ", " ")  # noqa: E731  - "v. 2.0" has a sentence end inside
+    known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES for x in (plain(sentence), name)])
+    # The longest first; sentences have no characters but a-z 0-9 . and spaces.
+    each = [plain(s).replace(".", "[.]").replace(" ", f"[ {SENTENCE}{LINE}]") for _, s in sorted(SENTENCES, key=lambda x: -len(x[1]))]
+    ends = f"[{SENTENCE}{LINE}{PARAGRAPH}]"
+    hits = F.regexp_extract_all(marked(text), F.lit(f"{ends}({'|'.join(each)})(?={ends})"), F.lit(1))
+    ids = F.transform(hits, lambda s: F.try_element_at(known, F.translate(s, SENTENCE + LINE, "  ")))
+    return F.when(text.rlike(WORDS), ids).otherwise(F.array().cast("array<string>"))
 
 
 def match_rules(ids: Column) -> Column:

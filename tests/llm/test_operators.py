@@ -66,6 +66,77 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan_licenses(docs).count() == docs.count() and license_scan.scan_licenses(empty).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+BSD = """Copyright (c) 2020, Some One.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License."""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+MPL = """   This Source Code Form is subject to the terms of the Mozilla Public
+   License, v. 2.0. If a copy of the MPL was not distributed with this
+   file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
+
+def test_license_scan_of_official_texts(spark):
+    comment = lambda s: "/*\n" + "\n".join(f" * {x.strip()}".rstrip() for x in s.split("\n")) + "\n */\nint main;"
+    texts = [MIT, BSD, APACHE, GPL, MPL]
+    want = [["mit_full", "mit_title"], ["bsd3_full", "all_rights"], ["apache_header"], ["gpl3_header"], ["mpl_notice"]]
+    for form in (str, comment, lambda s: s.replace("\n", "\r\n"), lambda s: "Word.\n" + "\n\n".join(" ".join(p.split()) for p in s.split("\n\n"))):
+        rows = spark.createDataFrame([(form(t),) for t in texts], "text string")
+        assert [[x["rule"] for x in r["license_rules"]] for r in license_scan.scan_licenses(rows).collect()] == want
+    other = ["released under the\n\nMIT license at", "not released under the MIT license at all", "." * 200_000 + " license", "all rights reserved\x01\x02", "a | all rights reserved"]
+    rows = spark.createDataFrame([(t,) for t in other], "text string")
+    assert [list(r["license_sentences"]) for r in license_scan.scan_licenses(rows).collect()] == [[], [], [], ["all_rights"], []]
+
+
 def test_byte_bpe_equals_tiktoken(docs, empty):
     import base64
 
