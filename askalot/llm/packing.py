@@ -1,9 +1,10 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
 Texts become pieces of at most MAX tokens; their length histogram (MAX numbers, whatever
-the corpus) goes to the driver. There, patterns of up to three lengths that fill a
-sequence are enumerated, their repeat counts are fitted to the histogram by non-negative
-least squares and rounded down, and what is left is packed best-fit, longest first. The
+the corpus) goes to the driver. There, patterns of lengths that fill a sequence are
+enumerated, their repeat counts are fitted to the histogram by non-negative least squares
+and rounded down, and what is left is packed best-fit, longest first, into the room that
+the patterns leave and into further sequences. The
 result is a plan: "of the pieces of length L, those ranked a..b go to sequences s.. at
 offset o". Ranking and placing every piece is Spark's work again.
 """
@@ -143,34 +144,52 @@ def tokenised_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     )
 
 
-def patterns(lengths: np.ndarray, size: int, grid: int = 24) -> list[tuple[int, ...]]:
-    """Patterns of one to three of the lengths, longest first, that leave as little room as any third or second length can.
+Pattern = tuple[tuple[int, int], ...]
 
-    The middle length of three comes from at most ``grid`` evenly spaced ones, so there are at most (grid + 2) x len(lengths).
+
+def patterns(lengths: np.ndarray, size: int, grid: int = 24) -> list[Pattern]:
+    """Patterns, each (length, times) longest first: one to three of the lengths, or one or two short ones repeated, then filled up.
+
+    A pattern is filled with the longest length that fits, as often as it fits, until none does. The second length
+    comes from at most ``grid`` evenly spaced ones, so there are at most (2 grid + 3) x len(lengths) patterns.
     """
     have = np.zeros(size + 1, dtype=np.int64)
     have[lengths] = lengths
-    best = np.maximum.accumulate(have)  # the longest length that fits a room; 0 for none
-    out = {(int(a),) for a in lengths if not best[size - a]}
+    best = np.maximum.accumulate(have).tolist()  # the longest length that fits a room; 0 for none
+    out = set()
+
+    def add(*parts: tuple[int, int]) -> None:
+        times: dict[int, int] = {}
+        room = size
+        for a, n in parts:
+            times[a] = times.get(a, 0) + n
+            room -= a * n
+        while c := best[room]:
+            times[c] = times.get(c, 0) + room // c
+            room %= c
+        out.add(tuple(sorted(times.items(), reverse=True)))
+
     middle = lengths[np.unique(np.linspace(0, len(lengths) - 1, grid).astype(int))] if len(lengths) else lengths
     for a in lengths.tolist():
-        if b := int(best[size - a]):
-            out.add(tuple(sorted((a, b), reverse=True)))
-        for m in middle[middle + a < size].tolist():
-            if c := int(best[size - a - m]):
-                out.add(tuple(sorted((a, m, c), reverse=True)))
+        if 4 * a <= size or not best[size % a]:
+            add((a, size // a))
+        add((a, 1), *([(b, 1)] if (b := best[size - a]) else []))
+        for m in middle[middle + a <= size].tolist():
+            add((a, 1), (m, 1), *([(c, 1)] if (c := best[size - a - m]) else []))
+            if 4 * max(a, m) <= size:
+                add((a, size // (a + m)), (m, size // (a + m)))
     return sorted(out, reverse=True)
 
 
-def fit_counts(pats: list[tuple[int, ...]], histogram: np.ndarray, size: int, steps: int = 400) -> np.ndarray:
+def fit_counts(pats: list[Pattern], histogram: np.ndarray, size: int, steps: int = 400) -> np.ndarray:
     """Non-negative least squares ||A x - h|| by accelerated projected gradient; A counts each pattern's lengths, room left costs a little."""
-    rows = np.concatenate([np.asarray(p) for p in pats])
+    rows, times = np.asarray([part for p in pats for part in p], dtype=np.int64).T
     cols = np.repeat(np.arange(len(pats)), [len(p) for p in pats])
     # Longer pieces weigh more: they are harder to place among the residuals.
     weight = np.sqrt(np.arange(len(histogram)) / size)
-    room = np.asarray([size - sum(p) for p in pats]) / size
-    forward = lambda x: np.bincount(rows, weights=x[cols], minlength=len(histogram)) * weight
-    backward = lambda r: np.bincount(cols, weights=(r * weight)[rows], minlength=len(pats))
+    room = np.asarray([size - sum(a * n for a, n in p) for p in pats]) / size
+    forward = lambda x: np.bincount(rows, weights=x[cols] * times, minlength=len(histogram)) * weight
+    backward = lambda r: np.bincount(cols, weights=(r * weight)[rows] * times, minlength=len(pats))
     target = histogram * weight
     probe = np.ones(len(pats))
     for _ in range(20):
@@ -186,9 +205,11 @@ def fit_counts(pats: list[tuple[int, ...]], histogram: np.ndarray, size: int, st
     return x
 
 
-def best_fit(counts: dict[int, int], size: int, first: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def best_fit(counts: dict[int, int], size: int, first: int, opened: list[tuple[int, int, int]] = ()) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Best-fit decreasing over counts of equal lengths. Sequences that are alike are handled as one range.
 
+    ``opened``: sequences that are begun, as (room, first sequence, how many).
+
     Returns (length, pieces, first sequence, pieces of this length in each sequence, offset) rows, in the order
     in which they take the pieces of a length, and the next free sequence number.
     """
@@ -203,6 +224,8 @@ def best_fit(counts: dict[int, int], size: int, first: int) -> tuple[list[tuple[
                 rooms.insert(int(np.searchsorted(rooms, room)), room)
             free[room].append((base, n))
 
+    for begun in opened:
+        give(*begun)
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left:
@@ -231,36 +254,42 @@ def best_fit(counts: dict[int, int], size: int, first: int) -> tuple[list[tuple[
     return placed, first
 
 
+def fit(counts: dict[int, int], size: int = MAX) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]], dict[int, int], int]:
+    """The fitted patterns, placed as ``best_fit`` places; the sequences they leave open; the counts left; the next free sequence."""
+    left, placed, opened, first = dict(counts), [], [], 0
+    if not counts:
+        return placed, opened, left, first
+    dense = np.zeros(size + 1)
+    for k, n in counts.items():
+        dense[k] = n
+    pats = patterns(np.asarray(sorted(counts), dtype=np.int64), size)
+    times = np.floor(fit_counts(pats, dense, size) + 1e-6).astype(np.int64)
+    for k in np.argsort(-times, kind="stable"):
+        n = min(int(times[k]), *(left[a] // each for a, each in pats[k]))
+        if n > 0:
+            at = 0
+            for a, each in pats[k]:
+                placed.append((a, n * each, first, each, at))
+                at += a * each
+                left[a] -= n * each
+            opened.append((size - at, first, n))
+            first += n
+    return placed, opened, {k: n for k, n in left.items() if n}, first
+
+
+def fitted_share(counts: dict[int, int], size: int = MAX) -> float:
+    """The share of the pieces that fitted patterns place."""
+    return sum(row[1] for row in fit(counts, size)[0]) / max(1, sum(counts.values()))
+
+
 def make_plan(histogram: dict[int, int], size: int = MAX) -> pd.DataFrame:
     """Where the pieces of each length go: length, from_rank, to_rank, sequence, each, offset.
 
-    Of two plans, the fitted patterns with residuals packed best-fit and best-fit alone, the one with fewer
-    sequences counts. A plan has a few rows for each length, whatever the number of pieces.
+    The fitted patterns first, then the residuals, best-fit into the room of the patterns and into further
+    sequences. A plan has a few rows for each length, whatever the number of pieces.
     """
-    counts = {int(k): int(n) for k, n in histogram.items() if n}
-    lengths = np.asarray(sorted(counts), dtype=np.int64)
-    dense = np.zeros(size + 1)
-    for k, n in counts.items():
-        dense[k] = n
-    plans = []
-    for fitted in (True, False):
-        left, placed, first = dict(counts), [], 0
-        if fitted and len(lengths):
-            pats = patterns(lengths, size)
-            times = np.floor(fit_counts(pats, dense, size) + 1e-6).astype(np.int64)
-            for k in np.argsort(-times, kind="stable"):
-                p = pats[k]
-                n = min(int(times[k]), *(left[a] // p.count(a) for a in set(p)))
-                if n > 0:
-                    at = 0
-                    for a in p:
-                        placed.append((a, n, first, 1, at))
-                        at += a
-                        left[a] -= n
-                    first += n
-        rest, first = best_fit({k: n for k, n in left.items() if n}, size, first)
-        plans.append((first, placed + rest))
-    rows = min(plans, key=lambda x: x[0])[1]
+    placed, opened, left, first = fit({int(k): int(n) for k, n in histogram.items() if n}, size)
+    rows = placed + best_fit(left, size, first, opened)[0]
     plan = pd.DataFrame(rows, columns=["length", "pieces", "sequence", "each", "offset"]).astype("int64")
     plan["to_rank"] = plan.groupby("length")["pieces"].cumsum()
     plan["from_rank"] = plan["to_rank"] - plan["pieces"]

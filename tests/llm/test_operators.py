@@ -183,6 +183,22 @@ def test_plan_is_close_to_the_bound():
     assert used <= 1.01 * (lengths * n).sum() / 2048 and (plan["to_rank"] - plan["from_rank"]).sum() == 20_000
 
 
+@pytest.mark.parametrize(("low", "high", "n"), [(1, 60, 2_000_000), (100, 400, 20_000), (250, 600, 5_000), (700, 1000, 200_000), (1, 2048, 20_000)])
+def test_plan_is_fitted_for_short_and_long_pieces(low, high, n):
+    rng = np.random.default_rng(1)
+    lengths, times = np.unique(rng.integers(low, high + 1, n), return_counts=True)
+    counts = dict(zip(lengths.tolist(), times.tolist(), strict=True))
+    plan = packing.make_plan(counts)
+    used = (plan["sequence"] + (plan["to_rank"] - plan["from_rank"] - 1) // plan["each"]).max() + 1
+    assert (plan["to_rank"] - plan["from_rank"]).sum() == n and used <= 1.01 * packing.best_fit(counts, 2048, 0)[1]
+    filled = np.zeros(used, dtype=int)
+    for r in plan.itertuples():
+        k = np.arange(r.to_rank - r.from_rank)
+        np.add.at(filled, r.sequence + k // r.each, r.length)
+    assert filled.max() <= 2048 and filled.min() > 0
+    assert packing.fitted_share(counts) >= 0.5  # of the pieces, those in fitted patterns
+
+
 def test_warc(spark, tmp_path):
     big = "<p>" + "z" * 1500 + "</p>"
     rows = [(1, "u1", big), (2, None, big), (3, "u3", None), (4, "u4", "short"), (5, "u5", "short"), (None, "u6", "no id")]
