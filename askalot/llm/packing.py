@@ -12,11 +12,11 @@ offset o". Ranking and placing every piece is Spark's work again.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 from pathlib import Path
 
@@ -40,8 +40,9 @@ PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 TOGETHER = 256
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str):
+    # Spark runs a task for each core already; threads of the library would each keep memory of their own.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -49,7 +50,6 @@ def tokenizer(path: str):
     return t
 
 
-@lru_cache(maxsize=2)
 def merges_only(path: str):
     """The tokenizer without its normaliser and pre-tokenizer, if those are the usual ones of a byte-level BPE over words; else None."""
     from tokenizers import Tokenizer
@@ -116,11 +116,6 @@ class WordIds:
                 yield b"".join(map(self.memo.__getitem__, w))
 
 
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 def tokenised_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", size: int = MAX, separator: int = 0) -> DataFrame:
     """Pieces of every text's ids, each text closed by ``separator``: doc_id, piece, start, length, ids_crc32.
 
@@ -129,7 +124,7 @@ def tokenised_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     end = np.asarray([separator], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = word_ids(path)
+        ids = WordIds(path)  # one for each task, so that a worker keeps nothing between stages
         for batch in batches:
             rows = []
             for i, own in zip(batch["doc_id"], ids.encode_all([t or "" for t in batch["text"]]), strict=True):
