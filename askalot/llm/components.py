@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of the edges (a, b): the component is its smallest node.
 
     Each round links every node to its smallest neighbour; the number of rounds grows with the logarithm of the
-    longest path. Edges to oneself and repeated edges don't matter; no edges give no rows.
+    longest path. Edges to oneself and repeated edges don't matter; no edges give no rows. The join with the smallest
+    neighbours has one row a node on its other side, so Spark splits the edges of a hub over tasks where they are many.
     """
     now, seen = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()), None
     while True:
@@ -21,7 +22,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        before, now = now, stored(small.unionByName(least.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        discard(before)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -2,7 +2,8 @@
 
 1. Every document becomes a set of hashed shingles. Equal sets are one node, named by a
    hash of the set, so exact copies cost nothing further. A frequency sketch of fixed size
-   is filled from all documents on the way.
+   is filled from all documents on the way. Its median is what rare shingles alone put in a
+   cell, so what stands out of it is a frequency, however many shingles there are.
 2. A node's shingles are put in order, rare ones first. Two sets that are similar enough
    share a shingle among their first n - ceil(t n) + 1; only these are shuffled.
 3. Nodes that meet in a short list are paired, in a long one linked to its first node, if
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discard, drop_stored, stored, stored_by, table
 from .components import connected_components
 
 #: Two documents link when SHARE times the intersection is at least PART times the union.
@@ -46,6 +47,8 @@ MANY = 4
 BLOOM, PROBES, MOST_BITS = 12, 4, 27
 #: Parts of the suffix filter.
 PARTS = 512
+#: Bytes kept of a shingle for verification, and bytes of sets in a bucket of their table, about.
+KEPT, BUCKET_BYTES = 7, 32 << 20
 MEMO = 600_000
 ENTRY = np.dtype([("token", "<u4"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 ODD = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -74,9 +77,17 @@ class Shingler:
         return np.unique(h ^ (h >> np.uint64(29)))
 
 
-def set_name(s: np.ndarray) -> int:
-    h = xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0
-    return h - (1 << 64) if h >> 63 else h
+def set_name(s: np.ndarray, clashes: frozenset[int] = frozenset()) -> int:
+    """A name of 64 bits; of sets whose name is in ``clashes``, a second one."""
+    name, second = set_names(s)
+    return second if name in clashes else name
+
+
+def set_names(s: np.ndarray) -> tuple[int, int]:
+    if not len(s):
+        return 0, 0
+    h = xxhash.xxh3_128_intdigest(s.tobytes())
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (h & (1 << 64) - 1, h >> 64))
 
 
 def cell(s: np.ndarray) -> np.ndarray:
@@ -103,31 +114,31 @@ def texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, n, node, parts), and rows of the frequency sketch (chunk, cells)."""
+    """A row for each document (doc_id, n, node, second, parts), and rows of the frequency sketch (chunk, cells)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh, sketch = Shingler(), np.zeros(CELLS, dtype=np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("parts", pa.binary()), ("chunk", pa.int32()), ("cells", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("second", pa.int64()), ("parts", pa.binary()), ("chunk", pa.int32()), ("cells", pa.binary())])
         seen = False
         for b in batches:
-            n, node, own, held = [], [], [], []
+            n, names, own, held = [], [], [], []
             for t in b.column("text").to_pylist():
                 s = sh.shingles(t)
                 n.append(len(s))
-                node.append(set_name(s))
+                names.append(set_names(s))
                 own.append(parts(s) if len(s) else b"")
                 held.append(cell(s))
             if held:
                 sketch += np.bincount(np.concatenate(held), minlength=CELLS)
                 seen = True
             none = [None] * len(n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(own, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), *(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)), pa.array(own, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=schema)
         if seen:
             none = [None] * CHUNKS
             cells = [zlib.compress(c.astype("<u4").tobytes(), 1) for c in np.split(np.minimum(sketch, 2**32 - 1), CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64())] * 3 + [pa.array(none, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(cells, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64())] * 4 + [pa.array(none, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(cells, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, parts binary, chunk int, cells binary")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, second long, parts binary, chunk int, cells binary")
 
 
 def sketch_of(described: DataFrame) -> np.ndarray:
@@ -147,8 +158,12 @@ def sketch_of(described: DataFrame) -> np.ndarray:
     return whole
 
 
-def prefixes(docs: DataFrame, sketch: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, salt, entries): each set's prefix shingles, packed by bucket."""
+def prefixes(docs: DataFrame, sketch: np.ndarray, buckets: int, clashes: frozenset[int] = frozenset()) -> DataFrame:
+    """(bucket, salt, entries): each set's prefix shingles, packed by bucket.
+
+    Cells order the shingles. How long a list is, for the salts, is what its cell holds beyond the median one.
+    """
+    common = int(np.median(sketch))
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +172,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, buckets: int) -> DataFrame:
             held = []
             for t in b.column("text").to_pylist():
                 s = sh.shingles(t)
-                node = set_name(s)
+                node = set_name(s, clashes)
                 if not len(s) or node in seen:
                     continue
                 seen.add(node)
@@ -167,7 +182,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, buckets: int) -> DataFrame:
                 e = np.zeros(len(order), dtype=[("bucket", "<i8"), ("salt", "<i4"), ("entry", ENTRY)])
                 token = s[order]
                 e["bucket"] = (token >> np.uint64(33)) % np.uint64(buckets)
-                salts = 1 + often[order].astype(np.int64) // HOT
+                salts = 1 + np.maximum(0, often[order].astype(np.int64) - common) // HOT
                 e["salt"] = np.where(salts > 1, 1 + node % salts, 0)  # 0 says that the list is whole
                 e["entry"]["token"] = token & np.uint64(0xFFFFFFFF)
                 e["entry"]["node"], e["entry"]["n"], e["entry"]["pos"] = node, n, np.arange(len(order))
@@ -282,33 +297,40 @@ def bloom_of(ids: DataFrame, bits: int) -> np.ndarray:
     return whole
 
 
-def sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, set) of the nodes in ``wanted``, and of a few others, from one reading of the texts, without a shuffle of them.
+def sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, clashes: frozenset[int] = frozenset()) -> str:
+    """The table (node, set) of the nodes in ``wanted``, from one reading of the texts, without a shuffle of them; dealt by node once and for all.
 
     A Bloom filter says which documents to take. It has BLOOM bits for each, up to a fixed size; where that is
-    too small, more sets are written than are needed, and the joins that follow pass them over. A task writes a node
-    once; several tasks may write the same one.
+    too small, more sets are made than are needed, and the join with ``wanted`` drops them.
     """
-    ids = stored(wanted.distinct().join(nodes.select("node", "doc_id"), "node").select("doc_id"))
-    bits = 1 << min(MOST_BITS, max(16, (BLOOM * ids.count()).bit_length()))
-    shared = docs.sparkSession.sparkContext.broadcast(bloom_of(ids, bits))
+    need = stored(wanted.distinct().join(nodes.select("node", "doc_id", "n"), "node"))
+    count, shingles = need.agg(F.count(F.lit(1)), F.sum("n")).first()
+    bits = 1 << min(MOST_BITS, max(16, (BLOOM * count).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_of(need, bits))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh, seen = Shingler(), set()
+        sh = Shingler()
         for b in batches:
             at = probes(b.column("doc_id").to_numpy(), bits)
             own = b.filter(pa.array(((shared.value[at >> 3] >> (at & 7).astype("u1")) & 1).all(axis=0)))
-            found = {set_name(s): s for t in own.column("text").to_pylist() if len(s := sh.shingles(t))}
-            held = {node: s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for node, s in found.items() if node not in seen}  # 48 bits of each
-            seen.update(held)
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.binary())], ["node", "set"])
+            found = {set_name(s, clashes): s for t in own.column("text").to_pylist() if len(s := sh.shingles(t))}
+            held = [s.view(np.uint8).reshape(-1, 8)[:, 8 - KEPT :].tobytes() for s in found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(held, pa.binary())], ["node", "set"])
+
+    made = docs.mapInArrow(sets, "node long, set binary").join(need.select("node"), "node", "left_semi")
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, (shingles or 0) * KEPT // BUCKET_BYTES)
+    whole = stored_by(made.dropDuplicates(["node"]), "node", buckets)
+    discard(need)
+    return whole
+
 
-    return docs.mapInArrow(sets, "node long, set binary")
+def read_set(raw: bytes) -> np.ndarray:
+    kept = np.frombuffer(raw, dtype=np.uint8).reshape(-1, KEPT)
+    return np.pad(kept, ((0, 0), (8 - KEPT, 0))).view(np.uint64).ravel()
 
 
 def verify(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     """The linked ones of distinct pairs (a, b), by the size of the whole sets' intersection."""
-    whole = whole.dropDuplicates(["node"])
     # A node's partners are dealt to groups of TOGETHER; its own set goes to each of them once.
     many = pairs.groupBy("a").count().withColumn("__groups", (F.col("count") / TOGETHER).cast("long") + 1).drop("count")
     dealt = pairs.join(many, "a").withColumn("group", F.pmod(F.xxhash64("b"), "__groups")).select("a", "b", "group")
@@ -317,13 +339,9 @@ def verify(pairs: DataFrame, whole: DataFrame) -> DataFrame:
 
     def compare(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group["b"].to_pylist(), group["set"].to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0))
-        code = lambda raw: np.frombuffer(raw, dtype=np.dtype([("x", "<u4"), ("y", "<u2")]))
-        number = lambda raw: (c := code(raw))["x"].astype(np.uint64) | (c["y"].astype(np.uint64) << np.uint64(32))
-        hub, linked = number(rows[0][1]), []
+        hub, linked = read_set(rows[0][1]), []
         for b, raw in rows[1:]:
-            if b is None or (linked and linked[-1] == b):
-                continue  # a set that several rows of one doc_id have
-            other = number(raw)
+            other = read_set(raw)
             both = len(np.intersect1d(hub, other, assume_unique=True))
             if SHARE * both >= PART * (len(hub) + len(other) - both):
                 linked.append(b)
@@ -400,20 +418,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     rows = texts(docs, doc_id, text)
     described = stored(describe(rows))
-    each = described.where("chunk is null").select("doc_id", "n", "node", "parts")
+    each = described.where("chunk is null").select("doc_id", "n", "node", "second", "parts")
     real = each.where("doc_id is not null and n > 0")
+    same = real.groupBy("node").agg(F.min("second").alias("s1"), F.max("second").alias("s2")).where("s1 <> s2")
+    # Names that two sets share: some n^2 / 2^65 of n sets, so none below a thousand million. Their sets take the second name.
+    clashes = frozenset(r["node"] for r in same.select("node").collect())
+    if clashes:
+        each = each.withColumn("node", F.when(F.col("node").isin(*clashes), F.col("second")).otherwise(F.col("node")))
+        real = each.where("doc_id is not null and n > 0")
     nodes = stored(real.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("parts").alias("parts")))
     rows = rows.where("doc_id is not null and text is not null")
     shingles = nodes.agg(F.sum("n")).first()[0] or 0
-    met = stored(prefixes(rows, sketch_of(described), max(16, shingles // 4 // BUCKET)).groupBy("bucket", "salt").applyInArrow(meet, "a long, b long, n long, pos long, token long"))
+    entries = prefixes(rows, sketch_of(described), max(16, shingles // 4 // BUCKET), clashes)
+    met = stored(entries.groupBy("bucket", "salt").applyInArrow(meet, "a long, b long, n long, pos long, token long"))
     pairs = stored(suffix_filter(met.where("b is not null").select("a", "b").distinct(), nodes))
     lists = met.where("b is null").select("token", F.col("a").alias("node"), "n", "pos")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(lists.select("node"))
-    whole = stored(sets_of(wanted, rows, nodes))
-    links = stored(verify(pairs, whole))
+    sets = sets_of(wanted, rows, nodes, clashes)
+    whole = docs.sparkSession.table(sets)
+    links, used = stored(verify(pairs, whole)), [met, pairs]
     for forest in (True, False) if not lists.isEmpty() else ():
         so_far = connected_components(links).select(F.col("node").alias("of"), "component")
         found = stored(across(lists, so_far, nodes, forest))
+        used.append(found)
         pairs = found.where("b is not null")
         if not pairs.isEmpty():
             links = links.unionByName(stored(verify(pairs, whole)))
@@ -426,6 +453,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     edges = links.join(first.select(F.col("node").alias("a"), F.col("d").alias("d1")), "a").join(first.select(F.col("node").alias("b"), F.col("d").alias("d2")), "b")
     own = real.join(first, "node").where("doc_id <> d").select(F.col("doc_id").alias("a"), F.col("d").alias("b"))
     found = connected_components(edges.select(F.col("d1").alias("a"), F.col("d2").alias("b")).unionByName(own)).withColumnRenamed("node", "of")
+    discard(*used, links, nodes)
+    drop_stored(docs.sparkSession, sets)
     return each.join(found, each["doc_id"] == found["of"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
