@@ -67,11 +67,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def stored_by(df: DataFrame, key: str, buckets: int) -> str:
-    """The name of a table of ``df``, dealt by ``key``: joins on that key don't shuffle it again. ``drop_stored`` ends it."""
+    """The name of a table of ``df``, which is partitioned by ``key`` into ``buckets``: joins on that key don't shuffle it again. ``drop_stored`` ends it."""
     spark = df.sparkSession
     name = f"askalot_{uuid.uuid4().hex}"
     with shuffle_files_freed(spark):
-        df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", shared_path(spark, "table")).saveAsTable(name)
+        df.write.bucketBy(buckets, key).sortBy(key).option("path", shared_path(spark, "table")).saveAsTable(name)
     return name
 
 
