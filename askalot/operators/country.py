@@ -24,6 +24,28 @@ def option_spread(decoded: DataFrame, respondents: DataFrame) -> DataFrame:
     )
 
 
+def country_specific(spread: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Adds ``country_specific``: whether a country shows fewer of the answers than ``threshold``, on average and strictly."""
+    return spread.withColumn("country_specific", F.col("avg_country") / F.col("n_global") < threshold)
+
+
+def override(targets: DataFrame, codes: list[str]) -> DataFrame:
+    """(code, known): a given list in place of detection; codes that are no target are not known, for a warning."""
+    own = targets.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(codes)], "code string")
+    return own.join(targets.select("code", F.lit(True).alias("known")).distinct(), "code", "left").select("code", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def option_counts(by_country: DataFrame, targets: DataFrame) -> DataFrame:
+    """(code, n_global, avg_country): valid options of the codebook, and of a country on average."""
+    per = by_country.groupBy("code").agg(F.round(F.avg(F.size("options")), 6).alias("avg_country"))
+    return targets.select("code", F.size("options").alias("n_global")).join(per, "code")
+
+
+def codes_of(values: DataFrame, variable: str) -> DataFrame:
+    """(raw, label) of the variable that holds the country."""
+    return values.where(F.col("code") == variable).select("raw", "label")
+
+
 def country_options(decoded: DataFrame, values: DataFrame) -> DataFrame:
     """(country, code, options): valid labels seen in the country, in codebook order."""
     seen = decoded.where(~is_missing(F.col("label"))).select("country", "code", "label").distinct()
@@ -38,7 +60,7 @@ def country_of(code: Column, prefix: str) -> Column:
 
 
 def concept_vars(variables: DataFrame, concept: str, prefixes: list[str], countries: DataFrame, min_countries: int = 3) -> DataFrame:
-    """(concept, country, code, pos): a concept's variables by country, in codebook order; none if fewer than ``min_countries`` have one."""
+    """(concept, country, code, pos, var_pos): a concept's variables by country, in codebook order; none if fewer than ``min_countries`` have one."""
     found = None
     for p in prefixes:
         rows = variables.where(F.col("code").startswith(p)).select("code", "var_pos", country_of(F.col("code"), p).alias("country"))
@@ -46,7 +68,34 @@ def concept_vars(variables: DataFrame, concept: str, prefixes: list[str], countr
     found = found.dropDuplicates(["code"]).join(countries.select("country").distinct(), "country", "left_semi")
     enough = found.agg(F.count_distinct("country").alias("k")).where(F.col("k") >= min_countries)
     pos = F.row_number().over(Window.partitionBy("country").orderBy("var_pos")) - 1
-    return found.crossJoin(enough).select(F.lit(concept).alias("concept"), "country", "code", pos.alias("pos"))
+    return found.crossJoin(enough).select(F.lit(concept).alias("concept"), "country", "code", pos.alias("pos"), "var_pos")
+
+
+#: The section of a concept among targets.
+CONCEPT = "__concept__"
+
+# Prefixes of the variables of concepts that surveys share.
+PRESETS = {
+    "education_level": ["edlv"],
+    "religion_denomination": ["rlgdn"],
+    "religion_raised": ["rlgde"],
+    "party_voted": ["prtvt", "prtvg", "prtvc"],
+    "party_close": ["prtcl"],
+}
+
+
+def concepts(variables: DataFrame, prefixes: dict[str, list[str]], countries: DataFrame, min_countries: int = 3) -> DataFrame:
+    """``concept_vars`` of several concepts."""
+    found = None
+    for name, own in prefixes.items():
+        rows = concept_vars(variables, name, own, countries, min_countries)
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def representatives(found: DataFrame) -> DataFrame:
+    """(code, section, first_code): each concept as one target, whose section marks it, with its first variable."""
+    return found.groupBy("concept").agg(F.min_by("code", "var_pos").alias("first_code")).select(F.col("concept").alias("code"), F.lit(CONCEPT).alias("section"), "first_code")
 
 
 def resolve(decoded: DataFrame, concepts: DataFrame) -> DataFrame:

@@ -12,6 +12,12 @@ def accuracy(predictions: DataFrame, instances: DataFrame, by: str = "target_cod
     return joined.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("prediction") == F.col("answer")).cast("double")), 6).alias("accuracy"))
 
 
+def compare_levels(rows: DataFrame, levels: list[str]) -> DataFrame:
+    """(base_id, one column a level): 1 where the prediction is the answer, 0 where not, null without an instance at that level."""
+    right = (F.col("prediction") == F.col("answer")).cast("int")
+    return rows.withColumn("__right", right).groupBy("base_id").pivot("profile_type", levels).agg(F.max("__right"))
+
+
 def consistency(predictions: DataFrame) -> DataFrame:
     """(example_id, all_agree, n_unique, majority, majority_count) over (example_id, pos, prediction); of equal counts the first by pos."""
     counts = predictions.groupBy("example_id", "prediction").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +57,49 @@ LINE = {
 }
 
 
-def to_prompt(instances: DataFrame, line: str = "qa", separator: str = "\n") -> DataFrame:
-    """Adds ``prompt``: the profile's lines, the target question and its options."""
-    profile = F.array_join(F.transform("questions", lambda x: LINE[line](x["question"], x["answer"])), separator)
-    listed = F.array_join(F.transform("options", lambda o, i: F.concat((i + 1).cast("string"), F.lit(". "), o)), "\n")
-    return instances.withColumn("prompt", F.concat(profile, F.lit("\n\n"), F.col("target_question"), F.lit("\n"), listed))
+def formatted(questions: Column, line: str | Callable[[Column, Column], Column] = "colon", separator: str = "\n") -> Column:
+    """The profile as text: a preset's name or any function of question and answer columns for each line."""
+    one = LINE[line] if isinstance(line, str) else line
+    return F.array_join(F.transform(questions, lambda x: one(x["question"], x["answer"])), separator)
+
+
+def numbered(options: Column) -> Column:
+    return F.array_join(F.transform(options, lambda o, i: F.concat((i + 1).cast("string"), F.lit(". "), o)), "\n")
+
+
+def target_text(question: Column, options: Column, include_options: bool = True, style: str = "list") -> Column:
+    """The target question, with its options as a numbered ``list``, ``inline`` or as ``bullets``; without options the question alone."""
+    if not include_options:
+        return question
+    listed = {
+        "list": lambda: F.concat(F.lit("\n\nOptions:\n"), numbered(options)),
+        "inline": lambda: F.concat(F.lit("\n\nOptions: "), F.array_join(options, ", ")),
+        "bullets": lambda: F.concat(F.lit("\n\nOptions:\n"), F.array_join(F.transform(options, lambda o: F.concat(F.lit("\u2022 "), o)), "\n")),
+    }
+    if style not in listed:
+        raise ValueError(f"unknown options style: {style}")
+    return F.when(F.size(options) > 0, F.concat(question, listed[style]())).otherwise(question)
+
+
+DEFAULT_TEMPLATE = "Here is information about a survey respondent:\n\n{profile}\n\nBased on this information, please answer:\n{target_with_options}"
+
+
+def fill(template: str, parts: dict[str, Column]) -> Column:
+    """A template's text with {name} places filled; what a part holds is never read as a place. Doubled braces stand for one."""
+    pieces = [(text, name) for text, name, _, _ in Formatter().parse(template)]
+    return F.concat(*[c for text, name in pieces for c in ([F.lit(text)] if text else []) + ([parts[name]] if name is not None else [])])
+
+
+def to_prompt(instances: DataFrame, line: str | Callable[[Column, Column], Column] = "colon", separator: str = "\n", include_options: bool = True, style: str = "list", template: str | None = None) -> DataFrame:
+    """Adds ``prompt``: by the default template, or one with {profile}, {target}, {options} and {target_with_options}."""
+    question, options = F.col("target_question"), F.col("options")
+    parts = {
+        "profile": formatted(F.col("questions"), line, separator), "target": question, "options": numbered(options),
+        "target_with_options": target_text(question, options, include_options, style),
+    }
+    return instances.withColumn("prompt", fill(template or DEFAULT_TEMPLATE, parts))
+
+
+def qa_text(questions: Column) -> Column:
+    """The profile as questions and answers, an empty line between them."""
+    return formatted(questions, "qa", "\n\n")

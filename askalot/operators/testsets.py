@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.answer_patterns import OPTION_RE, QUESTION_RE, is_scale_option, is_special, is_substantive
 from ..functions.hashing import order_key
+from .instances import fill, formatted
 
 
 def option_type(options: Column) -> Column:
@@ -59,12 +60,12 @@ def random_ordering(items: Column, example_id: Column, i: int, seed: int) -> Col
 
 
 def feature_orderings(instances: DataFrame, items: Column, seed: int = 42) -> DataFrame:
-    """(example_id, n_features, name, ordering) of instances with three or more features whose answer is an option: original, reversed, two by hash, a third from five features on."""
+    """(example_id, options, n_features, name, ordering) of instances with three or more features whose answer is an option: original, reversed, two by hash, a third from five features on."""
     kept = instances.withColumn("__items", items).where((F.size("__items") >= 3) & (F.size("options") >= 2) & F.array_contains("options", F.col("answer")))
     x, n = F.col("__items"), F.size("__items")
     named = [("original", x), ("reversed", F.reverse(x)), *((f"random_{i}", random_ordering(x, F.col("example_id"), i, seed)) for i in (1, 2)), ("random_3", F.when(n >= 5, random_ordering(x, F.col("example_id"), 3, seed)))]
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), o.alias("ordering")) for name, o in named])).alias("__o")
-    return kept.select("example_id", n.alias("n_features"), each).select("example_id", "n_features", "__o.name", "__o.ordering").where("ordering is not null")
+    return kept.select("example_id", "options", n.alias("n_features"), each).select("example_id", "options", "n_features", "__o.name", "__o.ordering").where("ordering is not null")
 
 
 def sample(rows: DataFrame, n: int, seed: int, key: str = "example_id") -> DataFrame:
@@ -88,3 +89,29 @@ def sample_by_size(rows: DataFrame, size: str, n: int, seed: int, key: str = "ex
     ranked = rows.withColumn("__r", rank).where(F.col("__r") <= n).join(shares, size)
     late = F.col("__r") > F.col("__take")
     return ranked.orderBy(late, F.when(~late, F.col(size)), order_key(seed, F.col(key)), key).limit(n).drop("__r", "__take")
+
+
+def generate_options_context(instances: DataFrame, n: int | None = None, stratify: bool = True, seed: int = 42) -> DataFrame:
+    """Eligible option tests, all or a sample, with ``conditions``: the answer's index is -1 where options are hidden."""
+    rows = options_context(instances).where("reason is null")
+    shown = F.array(F.lit("hidden"), F.lit("shown_natural"))
+    rows = rows.withColumn("conditions", F.when(F.col("option_type") == "scale", F.concat(shown, F.array(F.lit("shown_reversed")))).otherwise(shown))
+    if n is None:
+        return rows
+    return sample_by_type(rows, n, seed) if stratify else sample(rows, n, seed)
+
+
+def ordering_text(name: str, template: str = "Q: {question}\nA: {answer}", questions: Column | None = None) -> Column:
+    """An ordering (an array of question and answer) as text, a template filled for each feature."""
+    return formatted(F.col(name) if questions is None else questions, lambda q, a: fill(template, {"question": q, "answer": a}), "\n")
+
+
+def ordering_statistics(instances: DataFrame, orderings: DataFrame) -> DataFrame:
+    """(measure, value, n): instances, eligible ones, by features, orderings in all and by number."""
+    per = orderings.groupBy("example_id").agg(F.max("n_features").alias("f"), F.count(F.lit(1)).alias("k"))
+    each = F.explode(F.array(
+        F.struct(F.lit("eligible").alias("measure"), F.lit("all").alias("value"), F.lit(1).cast("long").alias("n")), F.struct(F.lit("n_features"), F.col("f").cast("string"), F.lit(1).cast("long")),
+        F.struct(F.lit("orderings"), F.lit("all"), F.col("k")), F.struct(F.lit("n_orderings"), F.col("k").cast("string"), F.lit(1).cast("long")),
+    )).alias("x")
+    counted = per.select(each).groupBy("x.measure", "x.value").agg(F.sum("x.n").alias("n"))
+    return counted.unionByName(instances.agg(F.count(F.lit(1)).alias("n")).select(F.lit("processed").alias("measure"), F.lit("all").alias("value"), "n"))

@@ -1 +1,6 @@
-"""Part of askalot."""
+"""Registered queries of the survey operators, and SQL for each."""
+
+from . import respondent_queries, survey_queries, testset_queries, variation_queries
+
+#: Modules with QUERIES and oracles().
+ALL = (survey_queries, testset_queries, variation_queries, respondent_queries)

@@ -12,6 +12,7 @@ from ..operators import country as cty
 from ..operators import decode as dec
 from ..operators import instances as ins
 from ..operators import profiles as prf
+from ..operators import respondents as rsp
 from ..sources import star_survey as star
 
 TARGETS = ["PRIO", "QTY", "PARTY"]
@@ -24,6 +25,11 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dec.decode_answers(dec.to_long(wide, star.CODES), star.codebook(spark)[1])
 
 
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per respondent with all answers: one scan of the survey, no exchange of it."""
+    return rsp.answer_rows(star.wide(spark, sf_dir), rsp.book(*star.codebook(spark), star.CODES), star.CODES)
+
+
 def pool(spark: SparkSession) -> DataFrame:
     return prf.feature_pool(star.codebook(spark)[0], excluded=TARGETS)
 
@@ -57,8 +63,8 @@ def prf_11_shortfall(spark, d):
 
 
 def prf_13_profile(spark, d):
-    rows = decoded(spark, d)
-    return prf.profiles(rows, pool(spark), rows.select("respondent_id").distinct(), CONFIG).select("respondent_id", "section", "code", "label", "pick")
+    rows = rsp.with_profile(answers(spark, d), rsp.Draw(CONFIG, tuple(TARGETS)))
+    return rows.select("respondent_id", F.explode("features").alias("f")).select("respondent_id", "f.section", "f.code", "f.label", "f.pick")
 
 
 def cty_1_detect(spark, d):
@@ -70,7 +76,7 @@ def cty_2_options(spark, d):
 
 
 def instances(spark, d):
-    return ins.build_instances(decoded(spark, d), *star.codebook(spark), TARGETS, CONFIG, "star")
+    return rsp.instances(answers(spark, d), TARGETS, rsp.Draw(CONFIG), "star")
 
 
 def ins_1_instances(spark, d):
@@ -103,11 +109,11 @@ feat AS (SELECT * FROM (SELECT d.*, p.section, p.section_pos, p.question, row_nu
 prof AS (SELECT f.* FROM feat f JOIN secs s ON s.respondent_id = f.respondent_id AND s.section = f.section)"""
     inst = f"""{prof},
 asked AS (SELECT respondent_id, question, min(section_pos * 100 + pick) AS pos, arg_max(label, section_pos * 100 + pick) AS answer FROM prof GROUP BY ALL),
-qs AS (SELECT respondent_id, string_agg(question || '=' || answer, '|' ORDER BY pos) AS questions, string_agg('Q: ' || question || chr(10) || 'A: ' || answer, chr(10) ORDER BY pos) AS lines FROM asked GROUP BY respondent_id),
+qs AS (SELECT respondent_id, string_agg(question || '=' || answer, '|' ORDER BY pos) AS questions, string_agg('Q: ' || question || chr(10) || 'A: ' || answer, chr(10) ORDER BY pos) AS lines, string_agg(question || ': ' || answer, chr(10) ORDER BY pos) AS colons FROM asked GROUP BY respondent_id),
 opts AS (SELECT code, list(label ORDER BY label_pos) AS options FROM vals WHERE NOT {miss} GROUP BY code),
-inst AS (SELECT 'star_' || d.respondent_id || '_' || d.code AS base_id, d.respondent_id AS id, d.country, q.questions, q.lines, d.code AS target_code, v.question AS target_question, d.label AS answer,
-                CASE WHEN list_contains(o.options, d.label) THEN o.options ELSE list_append(o.options, d.label) END AS options
-         FROM dec d JOIN vars v ON v.code = d.code JOIN opts o ON o.code = d.code JOIN qs q ON q.respondent_id = d.respondent_id WHERE d.{is_target} AND NOT {dec.missing_sql('d.label')})"""
+inst AS (SELECT 'star_' || d.respondent_id || '_' || d.code AS base_id, d.respondent_id AS id, d.country, q.questions, q.lines, q.colons, d.code AS target_code, v.question AS target_question, v.section AS target_section, d.blabel AS answer, d.raw AS answer_raw,
+                CASE WHEN list_contains(o.options, d.blabel) THEN o.options ELSE list_append(o.options, d.blabel) END AS options
+         FROM dec d JOIN vars v ON v.code = d.code JOIN opts o ON o.code = d.code JOIN qs q ON q.respondent_id = d.respondent_id WHERE d.{is_target} AND NOT {dec.missing_sql('d.blabel')})"""
     return prof, inst
 
 
@@ -132,6 +138,6 @@ def oracles() -> dict[str, str]:
         "cty_2_options": f"""{with_} SELECT s.country, s.code, string_agg(s.label, '|' ORDER BY o.label_pos) AS options FROM (SELECT DISTINCT country, code, label FROM dec WHERE NOT {miss}) s
             JOIN (SELECT code, label, min(label_pos) AS label_pos FROM vals GROUP BY ALL) o ON o.code = s.code AND o.label = s.label GROUP BY 1, 2""",
         "ins_1_instances": f"{inst} SELECT base_id || '_s3m2' AS example_id, base_id, id, country, questions, target_code, answer, array_to_string(options, '|') AS options FROM inst",
-        "fmt_14_prompt": f"""{inst} SELECT base_id || '_s3m2' AS example_id, lines || chr(10) || chr(10) || target_question || chr(10) ||
-            array_to_string(list_transform(options, lambda o, i: i || '. ' || o), chr(10)) AS prompt FROM inst""",
+        "fmt_14_prompt": f"""{inst} SELECT base_id || '_s3m2' AS example_id, 'Here is information about a survey respondent:' || chr(10) || chr(10) || colons || chr(10) || chr(10) ||
+            'Based on this information, please answer:' || chr(10) || target_question || chr(10) || chr(10) || 'Options:' || chr(10) || array_to_string(list_transform(options, lambda o, i: i || '. ' || o), chr(10)) AS prompt FROM inst""",
     }

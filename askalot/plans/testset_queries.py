@@ -13,9 +13,10 @@ from ..operators import decode as dec
 from ..operators import evaluation as evl
 from ..operators import instances as ins
 from ..operators import profiles as prf
+from ..operators import respondents as rsp
 from ..operators import testsets as tst
 from ..sources import star_survey as star
-from .survey_queries import CONFIG, decoded, instance_ctes, instances, pool
+from .survey_queries import CONFIG, TARGETS, answers, decoded, instance_ctes, instances
 
 LEVELS = [(2, 1), (3, 2), (5, 3)]
 FORMATS = ["qa", "interview", "bullet", "colon", "arrow", "brackets", "xml", "json", "narrative", "card"]
@@ -38,22 +39,23 @@ def cln_3_validate(spark, d):
     return evl.id_checks(star.wide(spark, d), "respondent_id", "country")
 
 
-def prf_16_levels(spark, d):
-    """Features are ranked once; the levels are cuts of the ranks."""
-    rows, own = decoded(spark, d), pool(spark)
-    people = rows.select("respondent_id").distinct()
-    found = None
+def levels(spark, d) -> DataFrame:
+    """A profile column for each level over one reading of the answers; ranks are the same, so levels are cuts of them."""
+    rows = answers(spark, d)
     for n, m in LEVELS:
-        level = prf.profiles(rows, own, people, prf.ProfileConfig(n, m, 42)).groupBy("respondent_id").agg(F.count(F.lit(1)).alias("n_features")).withColumn("level", F.lit(f"s{n}m{m}"))
-        found = level if found is None else found.unionByName(level)
-    return found.groupBy("level", "n_features").agg(F.count(F.lit(1)).alias("n"))
+        rows = rsp.with_profile(rows, rsp.Draw(prf.ProfileConfig(n, m, 42), tuple(TARGETS)), f"s{n}m{m}")
+    return rows
+
+
+def prf_16_levels(spark, d):
+    names = [f"s{n}m{m}" for n, m in LEVELS]
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.size(x).cast("long").alias("n_features")) for x in names])).alias("x")
+    return levels(spark, d).select(each).select("x.*").where("n_features > 0").groupBy("level", "n_features").agg(F.count(F.lit(1)).alias("n"))
 
 
 def prf_17_nested(spark, d):
-    rows, own = decoded(spark, d), pool(spark)
-    people = rows.select("respondent_id").distinct()
-    small, large = (prf.profiles(rows, own, people, prf.ProfileConfig(n, m, 42)) for n, m in LEVELS[:2])
-    return evl.nested(small, large)
+    small, large = (F.transform(f"s{n}m{m}", lambda a: a["code"]) for n, m in LEVELS[:2])
+    return levels(spark, d).where(F.size(small) > 0).select("respondent_id", (F.size(F.array_except(small, large)) == 0).alias("nested"))
 
 
 def concepts(spark, d) -> DataFrame:
@@ -61,7 +63,7 @@ def concepts(spark, d) -> DataFrame:
 
 
 def cty_7_concept(spark, d):
-    return concepts(spark, d)
+    return concepts(spark, d).drop("var_pos")
 
 
 def cty_10_resolve(spark, d):
@@ -77,8 +79,8 @@ def ins_12_summary(spark, d):
 
 
 def fmt_1_formats(spark, d):
-    rows = prf.profiles(decoded(spark, d), pool(spark), decoded(spark, d).select("respondent_id").distinct(), CONFIG).join(star.codebook(spark)[0].select("code", "question"), "code")
-    return rows.select("respondent_id", "code", *[ins.LINE[f](F.col("question"), F.col("label")).alias(f) for f in FORMATS])
+    rows = rsp.with_profile(answers(spark, d), rsp.Draw(CONFIG, tuple(TARGETS))).select("respondent_id", F.explode("features").alias("f"))
+    return rows.select("respondent_id", "f.code", *[ins.LINE[f](F.col("f.question"), F.col("f.label")).alias(f) for f in FORMATS])
 
 
 def sft_1_eligibility(spark, d):
@@ -107,10 +109,9 @@ def ord_1_orderings(spark, d):
 
 def predictions(spark, d) -> DataFrame:
     """An answer for each ordering by a rule, as a stand-in for a model: the length of the first question picks an option."""
-    rows = orderings(spark, d).select("example_id", "name", F.length(F.element_at("ordering", 1)).alias("k"))
+    rows = orderings(spark, d).withColumn("k", F.length(F.element_at("ordering", 1)))
     pos = F.array_position(F.array(*map(F.lit, ("original", "reversed", "random_1", "random_2", "random_3"))), F.col("name"))
-    joined = rows.join(instances(spark, d).select("example_id", "options"), "example_id")
-    return joined.select("example_id", pos.alias("pos"), F.element_at("options", (F.col("k") % F.size("options") + 1).cast("int")).alias("prediction"))
+    return rows.select("example_id", pos.alias("pos"), F.element_at("options", (F.col("k") % F.size("options") + 1).cast("int")).alias("prediction"))
 
 
 def ord_5_consistency(spark, d):
@@ -142,11 +143,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _instances_sql() -> str:
+    return instance_ctes()[1] + ", ins AS (SELECT base_id || '_s3m2' AS example_id, inst.*, string_split(questions, '|') AS items FROM inst)"
+
+
+def _matches(c: str, pattern: str) -> str:
+    return f"regexp_matches(lower({c}), {pat.quoted(pattern)})"
+
+
+def option_ctes() -> str:
+    """Up to ``opts4``: the option conditions of each instance."""
+    inst, reg = _instances_sql(), _matches
+    return f"""{inst}, sub AS (SELECT *, list_filter(options, lambda o: {pat.substantive_sql('o')}) AS shown FROM ins),
+opt AS (SELECT *, CASE WHEN len(options) < 2 THEN 'insufficient_options' WHEN len(shown) < 2 THEN 'all_special_values' WHEN NOT list_contains(shown, answer) THEN 'ground_truth_filtered' END AS reason,
+        list_position(shown, answer) - 1 AS gt, CASE WHEN len(list_filter(shown, lambda o: {reg('o', pat.SCALE_RE)})) * 2 >= len(shown) THEN 'scale' ELSE 'categorical' END AS kind FROM sub),
+opts4 AS (SELECT example_id, CASE WHEN reason IS NULL THEN kind ELSE 'unknown' END AS option_type, reason, CASE WHEN reason IS NULL THEN gt END AS natural_index,
+        CASE WHEN reason IS NULL AND kind = 'scale' THEN len(shown) - 1 - gt END AS reversed_index, array_to_string(shown, '|') AS shown FROM opt)"""
+
+
+def ordering_ctes() -> str:
+    """Up to ``ord`` (orderings) and ``pred`` (predictions by a rule)."""
+    inst = _instances_sql()
+    perm = lambda i, k: f"list_transform(list_sort(list_transform(items, lambda x: substr(md5(concat_ws('|', '42', example_id, '{i}', x)), {2 * k + 1}, 12) || x)), lambda x: substr(x, 13))"
+    tried = lambda i: f"list_filter([{', '.join(perm(i, k) for k in range(tst.TRIES))}], lambda p: p <> items AND p <> list_reverse(items))[1]"
+    rand = lambda i: f"coalesce({tried(i)}, {perm(i, tst.TRIES - 1)})"
+    return f"""{inst}, fit AS (SELECT *, len(items) AS n_features FROM ins WHERE len(items) >= 3 AND len(options) >= 2 AND list_contains(options, answer)),
+ord AS (SELECT example_id, n_features, 1 AS pos, 'original' AS name, items AS ordering FROM fit UNION ALL SELECT example_id, n_features, 2, 'reversed', list_reverse(items) FROM fit
+        UNION ALL SELECT example_id, n_features, 3, 'random_1', {rand(1)} FROM fit UNION ALL SELECT example_id, n_features, 4, 'random_2', {rand(2)} FROM fit
+        UNION ALL SELECT example_id, n_features, 5, 'random_3', {rand(3)} FROM fit WHERE n_features >= 5),
+pred AS (SELECT o.example_id, o.pos, i.options[length(o.ordering[1]) % len(i.options) + 1] AS prediction, i.answer, i.target_code FROM ord o JOIN ins i ON i.example_id = o.example_id)"""
+
+
 def oracles() -> dict[str, str]:
     with_, miss = star.oracle_ctes(), dec.missing_sql("label")
-    prof, inst = instance_ctes()
-    inst = inst + ", ins AS (SELECT base_id || '_s3m2' AS example_id, inst.*, string_split(questions, '|') AS items FROM inst)"
-    reg = lambda c, pattern: f"regexp_matches(lower({c}), {pat.quoted(pattern)})"
+    prof, inst, reg = instance_ctes()[0], _instances_sql(), _matches
     special = ", ".join(map(pat.quoted, pat.SPECIAL))
 
     def level(n: int, m: int) -> str:
@@ -161,19 +191,7 @@ ranked AS (SELECT d.respondent_id, d.code, p.section, row_number() OVER (PARTITI
     concept = f"""{with_}, con0 AS (SELECT code, var_pos, upper(right(rtrim(substr(code, 4), '0123456789'), 2)) AS country FROM vars WHERE starts_with(code, 'brd')),
 con1 AS (SELECT * FROM con0 WHERE country IN (SELECT country FROM wide)),
 con AS (SELECT 'brand_voted' AS concept, country, code, row_number() OVER (PARTITION BY country ORDER BY var_pos) - 1 AS pos FROM con1 WHERE (SELECT count(DISTINCT country) FROM con1) >= 3)"""
-    opt = f"""{inst}, sub AS (SELECT *, list_filter(options, lambda o: {pat.substantive_sql('o')}) AS shown FROM ins),
-opt AS (SELECT *, CASE WHEN len(options) < 2 THEN 'insufficient_options' WHEN len(shown) < 2 THEN 'all_special_values' WHEN NOT list_contains(shown, answer) THEN 'ground_truth_filtered' END AS reason,
-        list_position(shown, answer) - 1 AS gt, CASE WHEN len(list_filter(shown, lambda o: {reg('o', pat.SCALE_RE)})) * 2 >= len(shown) THEN 'scale' ELSE 'categorical' END AS kind FROM sub),
-opts4 AS (SELECT example_id, CASE WHEN reason IS NULL THEN kind ELSE 'unknown' END AS option_type, reason, CASE WHEN reason IS NULL THEN gt END AS natural_index,
-        CASE WHEN reason IS NULL AND kind = 'scale' THEN len(shown) - 1 - gt END AS reversed_index, array_to_string(shown, '|') AS shown FROM opt)"""
-    perm = lambda i, k: f"list_transform(list_sort(list_transform(items, lambda x: substr(md5(concat_ws('|', '42', example_id, '{i}', x)), {2 * k + 1}, 12) || x)), lambda x: substr(x, 13))"
-    tried = lambda i: f"list_filter([{', '.join(perm(i, k) for k in range(tst.TRIES))}], lambda p: p <> items AND p <> list_reverse(items))[1]"
-    rand = lambda i: f"coalesce({tried(i)}, {perm(i, tst.TRIES - 1)})"
-    order = f"""{inst}, fit AS (SELECT *, len(items) AS n_features FROM ins WHERE len(items) >= 3 AND len(options) >= 2 AND list_contains(options, answer)),
-ord AS (SELECT example_id, n_features, 1 AS pos, 'original' AS name, items AS ordering FROM fit UNION ALL SELECT example_id, n_features, 2, 'reversed', list_reverse(items) FROM fit
-        UNION ALL SELECT example_id, n_features, 3, 'random_1', {rand(1)} FROM fit UNION ALL SELECT example_id, n_features, 4, 'random_2', {rand(2)} FROM fit
-        UNION ALL SELECT example_id, n_features, 5, 'random_3', {rand(3)} FROM fit WHERE n_features >= 5),
-pred AS (SELECT o.example_id, o.pos, i.options[length(o.ordering[1]) % len(i.options) + 1] AS prediction, i.answer, i.target_code FROM ord o JOIN ins i ON i.example_id = o.example_id)"""
+    opt, order = option_ctes(), ordering_ctes()
     key = "md5('42|' || example_id)"
     lines = {
         "qa": "'Q: ' || question || chr(10) || 'A: ' || label", "interview": "'Interviewer: ' || question || chr(10) || 'Respondent: ' || label", "bullet": "'- ' || question || ': ' || label",
