@@ -317,7 +317,8 @@ def sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, clashes: froze
             held = [s.view(np.uint8).reshape(-1, 8)[:, 8 - KEPT :].tobytes() for s in found.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(held, pa.binary())], ["node", "set"])
 
-    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, (shingles or 0) * KEPT // BUCKET_BYTES)
+    # With fewer buckets than shuffles have partitions, Spark would deal the table anew for every join.
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (shingles or 0) * KEPT // BUCKET_BYTES)
     # One shuffle, by node, for the join with what is wanted, for dropping what several tasks wrote, and for the table.
     made = docs.mapInArrow(sets, "node long, set binary").repartition(buckets, "node")
     whole = stored_by(made.join(need.select("node"), "node", "left_semi").dropDuplicates(["node"]), "node", buckets)
