@@ -14,3 +14,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     A column that is named in a step of its own may be merged into a lambda by the optimizer, and be computed for every element.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def measures(*rows: tuple[str | Column, str | Column, int | Column]) -> Column:
+    """Rows (measure, value, n) made of one row, exploded as ``x``; text that is no column is itself."""
+    of = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.explode(F.array(*[F.struct(of(m).alias("measure"), of(v).cast("string").alias("value"), of(n).cast("long").alias("n")) for m, v, n in rows])).alias("x")

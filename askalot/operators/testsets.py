@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answer_patterns import OPTION_RE, QUESTION_RE, is_scale_option, is_special, is_substantive
+from ..functions.binding import measures
 from ..functions.hashing import order_key
 from .instances import fill, formatted
 
@@ -109,9 +110,6 @@ def ordering_text(name: str, template: str = "Q: {question}\nA: {answer}", quest
 def ordering_statistics(instances: DataFrame, orderings: DataFrame) -> DataFrame:
     """(measure, value, n): instances, eligible ones, by features, orderings in all and by number."""
     per = orderings.groupBy("example_id").agg(F.max("n_features").alias("f"), F.count(F.lit(1)).alias("k"))
-    each = F.explode(F.array(
-        F.struct(F.lit("eligible").alias("measure"), F.lit("all").alias("value"), F.lit(1).cast("long").alias("n")), F.struct(F.lit("n_features"), F.col("f").cast("string"), F.lit(1).cast("long")),
-        F.struct(F.lit("orderings"), F.lit("all"), F.col("k")), F.struct(F.lit("n_orderings"), F.col("k").cast("string"), F.lit(1).cast("long")),
-    )).alias("x")
+    each = measures(("eligible", "all", 1), ("n_features", F.col("f"), 1), ("orderings", "all", F.col("k")), ("n_orderings", F.col("k"), 1))
     counted = per.select(each).groupBy("x.measure", "x.value").agg(F.sum("x.n").alias("n"))
     return counted.unionByName(instances.agg(F.count(F.lit(1)).alias("n")).select(F.lit("processed").alias("measure"), F.lit("all").alias("value"), "n"))

@@ -6,12 +6,14 @@ questions (times countries), and join the result back.
 
 from __future__ import annotations
 
+import json
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answer_patterns import OPTION_RE, is_special
+from ..functions.binding import measures
 from ..functions.hashing import order_key
 from ..functions.variation_rules import PHRASES, PRONOUNS, REORDERED, WORDS
 from .testsets import surface_form_reason
@@ -46,18 +48,19 @@ def pronoun_rules() -> dict[str, list[tuple[str, str]]]:
 
 
 def _known(option: Column, rules: dict[str, list[tuple[str, str]]]) -> Column:
-    entries = [F.struct(F.lit(k).alias("k"), F.array(*[F.struct(F.lit(v).alias("variation"), F.lit(r).alias("rule")) for v, r in own]).alias("v")) for k, own in rules.items()]
-    return F.coalesce(F.map_from_entries(F.array(*entries))[F.lower(option)], F.array().cast(NONE))
+    """Entries of a constant map."""
+    entries = json.dumps({k: [{"variation": v, "rule": r} for v, r in own] for k, own in rules.items()})
+    return F.coalesce(F.try_element_at(F.from_json(F.lit(entries), f"map<string,{NONE}>"), F.lower(option)), F.array().cast(NONE))
 
 
 def _words(option: Column) -> Column:
-    """For each pair of words the first one replaced, or else the second one; null where neither occurs or nothing changes."""
-    def one(a: str, b: str) -> Column:
-        found, other = (rf"(?i)\b{re.escape(w)}\b" for w in (a, b))
-        make = lambda pattern, to, rule: F.struct(F.regexp_replace(option, pattern, to).alias("variation"), F.lit(rule).alias("rule"))
-        return F.when(option.rlike(found), make(found, b, f"'{a}' -> '{b}'")).when(option.rlike(other), make(other, a, f"'{b}' -> '{a}'"))
-
-    return F.filter(F.array(*[one(a, b) for a, b in WORDS]), lambda x: x.isNotNull() & (x["variation"] != option))
+    """For each pair of words the first one replaced, or else the second one; nothing where neither occurs or nothing changes."""
+    whole = lambda w: rf"(?i)\b{re.escape(w)}\b"
+    entries = [{"a": a, "b": b, "pa": whole(a), "pb": whole(b), "ra": f"'{a}' -> '{b}'", "rb": f"'{b}' -> '{a}'"} for a, b in WORDS]
+    rules = F.from_json(F.lit(json.dumps(entries)), "array<struct<a:string,b:string,pa:string,pb:string,ra:string,rb:string>>")
+    make = lambda r, pattern, to, rule: F.struct(F.regexp_replace(option, r[pattern], r[to]).alias("variation"), r[rule].alias("rule"))
+    one = lambda r: F.when(F.regexp_like(option, r["pa"]), make(r, "pa", "b", "ra")).when(F.regexp_like(option, r["pb"]), make(r, "pb", "a", "rb"))
+    return F.filter(F.transform(rules, one), lambda x: x.isNotNull() & (x["variation"] != option))
 
 
 def is_ineligible(option: Column) -> Column:
@@ -146,21 +149,21 @@ def has_any() -> Column:
 def sample_by_variation(rows: DataFrame, n: int, seed: int, key: str = "example_id") -> DataFrame:
     """min(50, n // 6) each with a pronoun, then a reordered, then a synonym variation among those not yet taken, then others, n at most.
 
-    The first n by hash of each kind are all that can be taken, so the three passes run over at most 4 n keys.
+    One pass: of each kind and of all rows the first n + 3 min(50, n // 6) by hash are all that can be taken, and Spark cuts to them
+    inside its tasks; the three steps are windows over those few rows.
     """
-    most, order = min(50, n // 6), [order_key(seed, F.col(key)), F.col(key)]
-    flags = [f"has_{k}" for k in ("pronoun", "reorder", "synonym")]
-    small = rows.select(key, *flags)
-    first = [small.where(f).orderBy(*order).limit(3 * most + n) for f in flags] + [small.orderBy(*order).limit(n)]
-    pool = first[0].unionByName(first[1]).unionByName(first[2]).unionByName(first[3]).distinct()
-    taken = None
+    most, flags = min(50, n // 6), [f"has_{k}" for k in ("pronoun", "reorder", "synonym")]
+    order = ["__order", key]
+    own = rows.withColumn("__order", order_key(seed, F.col(key)))
+    group = F.explode(F.filter(F.array(F.lit("all"), *[F.when(F.col(f), f) for f in flags]), lambda g: g.isNotNull()))
+    rank = F.row_number().over(Window.partitionBy("__group").orderBy(*order))
+    few = own.withColumn("__group", group).withColumn("__r", rank).where(F.col("__r") <= n + 3 * most).drop("__group", "__r").dropDuplicates([key])
+    few = few.withColumn("__taken", F.lit(False))
     for f in flags:
-        left = pool.where(f) if taken is None else pool.where(f).join(taken, key, "left_anti")
-        own = left.orderBy(*order).limit(most).select(key)
-        taken = own if taken is None else taken.unionByName(own)
-    rest = pool.join(taken, key, "left_anti").orderBy(*order).select(key)
-    chosen = taken.withColumn("__late", F.lit(0)).unionByName(rest.withColumn("__late", F.lit(1))).orderBy("__late", *order).limit(n).select(key)
-    return rows.join(chosen, key, "left_semi")
+        free = F.col(f) & ~F.col("__taken")
+        few = few.withColumn("__free", free).withColumn("__r", F.row_number().over(Window.partitionBy("__free").orderBy(*order)))
+        few = few.withColumn("__taken", F.col("__taken") | (F.col("__free") & (F.col("__r") <= most)))
+    return few.orderBy(~F.col("__taken"), *order).limit(n).select(*rows.columns)
 
 
 def generate(instances: DataFrame, n: int | None = None, require_variations: bool = True, stratify: bool = True, seed: int = 42) -> DataFrame:
@@ -177,13 +180,11 @@ def statistics(tests: DataFrame) -> DataFrame:
     """(measure, value, n): rows processed, eligible, by reason, slots and filled slots by type, instances by survey."""
     filled = lambda k: F.coalesce(F.size(F.filter(k, lambda v: v.isNotNull())), F.lit(0))
     slots = F.when(F.col("reason").isNull(), F.size("original")).otherwise(0)
-    each = F.explode(F.array(
-        F.struct(F.lit("processed").alias("measure"), F.lit("all").alias("value"), F.lit(1).alias("n")),
-        F.struct(F.lit("eligibility"), F.coalesce("reason", F.lit("eligible")), F.lit(1)),
-        F.struct(F.lit("survey"), F.col("survey"), F.lit(1)), F.struct(F.lit("slots"), F.lit("all"), slots),
-        *[F.struct(F.lit("filled"), F.lit(k), F.when(F.col("reason").isNull(), filled(k)).otherwise(0)) for k in TYPES],
-        *[F.struct(F.lit("with_variation"), F.lit(k), F.col(f"has_{k}").cast("int")) for k in TYPES],
-    )).alias("x")
+    ok = F.col("reason").isNull()
+    each = measures(
+        ("processed", "all", 1), ("eligibility", F.coalesce("reason", F.lit("eligible")), 1), ("survey", F.col("survey"), 1), ("slots", "all", slots),
+        *[("filled", k, F.when(ok, filled(k)).otherwise(0)) for k in TYPES], *[("with_variation", k, F.col(f"has_{k}").cast("int")) for k in TYPES],
+    )
     return tests.select(each).groupBy("x.measure", "x.value").agg(F.sum("x.n").alias("n"))
 
 

@@ -2,28 +2,61 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 VARIABLE = "struct<question:string,description:string,notes:string,values:string>"
 INSTANCE = """example_id string, base_id string, survey string, id string, country string, questions array<struct<question:string,answer:string>>,
 target_question string, target_code string, target_section string, answer string, answer_raw string, options array<string>, profile_type string"""
 
 
+#: Encodings that are tried after the one given.
+ENCODINGS = ("UTF-8", "windows-1252", "ISO-8859-1")
+#: The character that stands for bytes an encoding doesn't have.
+UNREADABLE = "\ufffd"
+
+
 def read_survey_csv(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
     """All columns as strings, as answers are codes. ``multi_line`` (line breaks inside quotes) makes files unsplittable."""
     return spark.read.csv(paths, header=True, inferSchema=False, encoding=encoding, multiLine=multi_line, escape='"')
 
 
-def read_survey_files(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") -> DataFrame:
-    """The union of files whose columns may differ, with ``_source_file``; no path is an error."""
-    if not paths:
-        raise ValueError("no survey files")
+def fitting_encoding(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> str:
+    """The first encoding that reads every line of the files without an unreadable character, else the last. A distributed scan for each try."""
+    for e in encodings[:-1]:
+        lines = spark.read.csv(path, sep="\x01", quote="", encoding=e, header=False)
+        if lines.where(F.col("_c0").contains(UNREADABLE)).isEmpty():
+            return e
+    return encodings[-1]
+
+
+def read_survey_files(spark: SparkSession, paths: list[str], encoding: str | None = "UTF-8", skip_errors: bool = True) -> DataFrame:
+    """The union of files whose columns may differ, with ``_source_file``. Without an ``encoding`` each file gets the first that fits.
+
+    With ``skip_errors`` a path that can't be read is left out with a warning; no path, or none that can be read, is an error. Broken blocks
+    inside a file are Spark's ``spark.sql.files.ignoreCorruptFiles``.
+    """
     found = None
     for p in paths:
-        rows = read_survey_csv(spark, p, encoding)
+        try:
+            rows = read_survey_csv(spark, p, encoding or fitting_encoding(spark, p))
+        except AnalysisException:
+            if not skip_errors:
+                raise
+            log.warning("survey file %s is left out", p, exc_info=True)
+            continue
         rows = rows.select("*", F.col("_metadata.file_name").alias("_source_file"))
         found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+    if found is None:
+        raise ValueError("no survey files")
     return found
 
 
@@ -52,3 +85,99 @@ def write_jsonl(rows: DataFrame, path: str, by_survey: bool = False) -> None:
 def read_instances(spark: SparkSession, path: str) -> DataFrame:
     """Instances as written; blank lines are skipped."""
     return spark.read.schema(INSTANCE).json(path)
+
+
+def write_json_array(rows: DataFrame, path: str) -> None:
+    """A small export as one file with one JSON array, a row a line. One task writes it; for datasets use ``write_jsonl``."""
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    lines = rows.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value"))
+    one = lines.coalesce(1).withColumn("k", F.monotonically_increasing_id())
+    first = one.select("k", F.concat(F.when(F.col("k") == 0, "[").otherwise(","), "value").alias("value"))
+    last = rows.sparkSession.range(1).select(F.lit(2**62).alias("k"), F.lit("]").alias("value"))
+    head = rows.limit(1).groupBy().count().where("count = 0").select(F.lit(-1).cast("long").alias("k"), F.lit("[").alias("value"))
+    head.unionByName(first).unionByName(last).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+
+
+def codebook_from_html(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, code, question, raw, label, label_pos) of pages where an ``h3`` with an id opens a variable.
+
+    The texts up to the next ``div`` of class data-table are the question: parts of one element joined by " - ", elements by line breaks.
+    The table's rows with two or more cells are raw value and label; blank raw values go. A variable without labels has one row without them.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, *r) for k, text in zip(batch["key"], batch["html"], strict=True) for r in _variables(text or "")]
+            yield pd.DataFrame(rows, columns=["key", "code", "question", "raw", "label", "label_pos"]).astype({"label_pos": "Int32"})
+
+    out = pages.select(F.col(key).cast("string").alias("key"), F.col(html).alias("html"))
+    return out.mapInPandas(run, "key string, code string, question string, raw string, label string, label_pos int")
+
+
+class _Codebook(HTMLParser):
+    """Collects variables as it goes; depth is counted from the element that follows a heading."""
+
+    def __init__(self):
+        super().__init__()
+        self.found: list[dict] = []
+        self.depth, self.table, self.cell, self.heading = 0, 0, None, False
+
+    def handle_starttag(self, tag, attrs):
+        own = dict(attrs)
+        if tag == "h3":
+            self.heading = True
+            if own.get("id"):
+                self.found.append({"code": own["id"], "parts": [], "open": True, "rows": []})
+                self.depth = 0
+        elif self.found and self.found[-1]["open"]:
+            if tag == "div" and "data-table" in (own.get("class") or "").split():
+                self.found[-1]["open"], self.table = False, 1
+            elif tag not in ("br", "hr", "img", "input", "meta", "link"):
+                if self.depth == 0:
+                    self.found[-1]["parts"].append([])
+                self.depth += 1
+        elif self.table:
+            self.table += tag == "div"
+            if tag == "tr":
+                self.found[-1]["rows"].append([])
+            elif tag == "td" and self.found[-1]["rows"]:
+                self.cell = []
+                self.found[-1]["rows"][-1].append(self.cell)
+
+    def handle_endtag(self, tag):
+        if tag == "h3":
+            self.heading = False
+        elif self.found and self.found[-1]["open"]:
+            if self.depth:
+                self.depth -= 1
+            else:
+                self.found[-1]["open"] = False  # the end of what holds the heading
+        elif self.table:
+            self.table -= tag == "div"
+            if tag == "td":
+                self.cell = None
+
+    def handle_data(self, data):
+        text = data.strip()
+        if not text or self.heading or not self.found:
+            return
+        if self.cell is not None:
+            self.cell.append(text)
+        elif self.found[-1]["open"]:
+            if self.depth == 0:
+                self.found[-1]["parts"].append([text])
+            else:
+                self.found[-1]["parts"][-1].append(text)
+
+
+def _variables(html: str) -> Iterator[tuple]:
+    p = _Codebook()
+    p.feed(html)
+    p.close()
+    for v in p.found:
+        question = "\n".join(" - ".join(part) for part in v["parts"] if part)
+        labels = {"".join(r[0]): " ".join(r[1]) for r in v["rows"] if len(r) >= 2 and "".join(r[0])}
+        for k, (raw, label) in enumerate(labels.items()):
+            yield v["code"], question, raw, label, k
+        if not labels:
+            yield v["code"], question, None, None, None

@@ -1 +1 @@
-"""Part of askalot."""
+"""Streams."""
