@@ -18,8 +18,8 @@ INSTANCE = """example_id string, base_id string, survey string, id string, count
 target_question string, target_code string, target_section string, answer string, answer_raw string, options array<string>, profile_type string"""
 
 
-#: Encodings that are tried after the one given.
-ENCODINGS = ("UTF-8", "windows-1252", "ISO-8859-1")
+#: Encodings that are tried in order. Spark reads these and UTF-16 and 32; the last one reads any bytes.
+ENCODINGS = ("UTF-8", "ISO-8859-1")
 #: The character that stands for bytes an encoding doesn't have.
 UNREADABLE = "\ufffd"
 

@@ -1,8 +1,13 @@
 import json
 
+import pytest
+
 from askalot.operators import instances
+from askalot.operators import testsets as tst
 from askalot.plans import survey_queries
-from askalot.sources import files
+from askalot.operators import codebook, profiles, respondents, similarity
+from askalot.sources import files, star_survey, surveys
+from askalot.streaming import instances as streams
 
 
 def test_survey_files_with_different_columns(spark, tmp_path):
@@ -32,3 +37,97 @@ def test_instances_round_trip(spark, tmp_path):
 def test_json_line_is_ascii(spark):
     row = spark.createDataFrame([('Où "là"?', "\U0001f600 ok")], "q string, a string")
     assert row.select(instances.LINE["json"](row["q"], row["a"])).first()[0] == json.dumps({"q": 'Où "là"?', "a": "\U0001f600 ok"})
+
+
+def test_encodings_are_tried_and_failing_files_skipped(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("id,Q1\n1,früh\n".encode("cp1252"))
+    (tmp_path / "b.csv").write_bytes("id,Q1\n2,spät\n".encode())
+    paths = [str(tmp_path / n) for n in ("a.csv", "none.csv", "b.csv")]
+    rows = files.read_survey_files(spark, paths, encoding=None).orderBy("id").collect()
+    assert [(r["Q1"], r["_source_file"]) for r in rows] == [("früh", "a.csv"), ("spät", "b.csv")]
+    with pytest.raises(ValueError):
+        files.read_survey_files(spark, paths[1:2])
+
+
+def test_surveys_load_from_csv_and_parquet(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("wave,idno,cntry,Q1\n1, 7,AT,1\n1,8,,2\n", encoding="utf-8")
+    (tmp_path / "book.json").write_text(json.dumps({"a": {"Q1": {"question": "One, please?", "values": {"1": "Yes", "2": "No"}}, "Q9": {"question": "Nine, please?"}}}), encoding="utf-8")
+    one = surveys.SurveyConfig("csv", (str(tmp_path / "s.csv"),), str(tmp_path / "book.json"), ("wave", "idno"), "cntry")
+    s = surveys.load_survey(spark, one)
+    s.wide.write.parquet(str(tmp_path / "p"))
+    two = surveys.SurveyConfig("parquet", (str(tmp_path / "p"),), str(tmp_path / "book.json"), ("respondent_id",), "country", "parquet")
+    lost = surveys.SurveyConfig("lost", (str(tmp_path / "p"),), str(tmp_path / "book.json"), ("nothing",), None, "parquet")
+    found = surveys.load_all(spark, [one, lost, two])
+    rows = surveys.long_responses(found).orderBy("survey", "respondent_id").collect()
+    assert [tuple(r) for r in rows] == [(n, i, c, "Q1", v) for n in ("csv", "parquet") for i, c, v in (("1_7", "AT", "1"), ("1_8", None, "2"))]
+    with pytest.raises(ValueError):
+        surveys.load_all(spark, [lost], skip_errors=False)
+
+
+def test_test_sets_are_written_and_read_back_typed(spark, tmp_path):
+    rows = survey_queries.instances(spark, "/root/testdata/sf0.001").where("id like '%00'").cache()
+    written = surveys.write_test_sets(rows, str(tmp_path), n=20, skip=("surface_form",), prefix="x_")
+    assert [w.rpartition("/")[2] for w in written] == ["x_options_context", "x_feature_order"]
+    want = tst.generate_options_context(rows, 20)
+    back = surveys.read_test_set(spark, written[0], want)
+    assert sorted(map(str, back.collect())) == sorted(map(str, want.collect()))
+    assert spark.read.json(written[1]).select("example_id").distinct().count() <= 20
+
+
+def test_json_array(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None), (2, "é")], "a int, b string")
+    for name, df in (("two", rows), ("none", rows.where("a > 2"))):
+        files.write_json_array(df, str(tmp_path / name))
+        text = "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / name).glob("part-*")))
+        assert sorted(map(str, json.loads(text))) == sorted(str(r.asDict()) for r in df.collect())
+
+
+def test_codebook_from_html(spark):
+    html = """<html><body><div><h3 id="Q1">Q1 head</h3><p>How <b>often</b> ?</p> and then <p>do you go?</p>
+    <div class="x data-table"><table><tr><th>c</th></tr><tr><td>1</td><td>Very <i>often</i></td></tr><tr><td> </td><td>lost</td></tr><tr><td>2</td><td>Never</td><td>3</td></tr></table></div></div>
+    <div><h3>no id</h3><p>text</p></div><div><h3 id="Q2">Second</h3><p>Open?</p></div></body></html>"""
+    got = files.codebook_from_html(spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")).collect()
+    assert [tuple(r)[1:] for r in got] == [("Q1", "How - often - ?\nand then\ndo you go?", "1", "Very often", 0), ("Q1", "How - often - ?\nand then\ndo you go?", "2", "Never", 1), ("Q2", "Open?", None, None, None)]
+
+
+def test_enrichment_tries_failures_once_more(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "k int, t string").repartition(1)
+
+    def service(batch):
+        if len(batch) == 5:  # the first pass
+            return batch.assign(out=batch["t"].str.upper(), failed=batch["k"] % 2 == 1)
+        if (batch["k"] == 5).any() and len(batch) == 1:
+            raise RuntimeError("down")
+        return batch.assign(out="again", failed=batch["k"] == 5)
+
+    got = {r["k"]: (r["out"], r["failed"], r["retried"]) for r in codebook.enrich(rows, service, "out string", "k", skip=1).collect()}
+    assert got == {1: ("again", False, True), 2: ("T2", False, False), 3: ("again", False, True), 4: ("T4", False, False), 5: ("again", True, True)}
+
+
+def test_zero_vectors_are_near_nothing(spark):
+    rows = spark.createDataFrame([("t", [1.0, 0.0]), ("a", [0.0, 0.0]), ("b", [2.0, 0.0])], "code string, embedding array<double>")
+    scores = similarity.similarities(rows.where("code = 't'"), rows)
+    assert {r["feature"]: r["similarity"] for r in scores.collect()} == {"a": None, "b": 1.0}
+    assert [r["excluded"] for r in similarity.exclusions(scores).collect()] == [["b"]]
+
+
+def test_a_stream_gives_the_instances_of_a_batch(spark, tmp_path):
+    wide = star_survey.wide(spark, "/root/testdata/sf0.001").cache()
+    wide.repartition(3).write.json(str(tmp_path / "in"))
+    variables, values = star_survey.codebook(spark)
+    make = lambda rows: streams.instances(rows, variables, values, star_survey.CODES, survey_queries.TARGETS, respondents.Draw(profiles.ProfileConfig(3, 2, 42)), "star")
+    arriving = make(streams.respondents(spark, str(tmp_path / "in"), wide.schema.simpleString()[7:-1].replace(":", " ")))
+    streams.write(arriving, str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination(120)
+    show = lambda df: sorted(map(str, df.select("example_id", "questions", "options", "answer").collect()))
+    assert show(spark.read.parquet(str(tmp_path / "out"))) == show(make(wide))
+    tests = streams.option_tests(arriving).select("example_id", "option_type")
+    streams.write(tests, str(tmp_path / "tests"), str(tmp_path / "c2")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "tests")).count() == streams.option_tests(make(wide)).count()
+
+
+def test_an_audit_runs_on_a_stream(spark, tmp_path):
+    spark.createDataFrame([(1, "SHOWCARD 2 in [country]"), (2, None), (3, "a plain sentence of words")], "k int, text string").write.json(str(tmp_path / "in"))
+    found = streams.audit(streams.respondents(spark, str(tmp_path / "in"), "k int, text string"))
+    streams.write(found, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(60)
+    got = {(r["k"], r["pattern_name"], r["severity"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, "showcard_instruction", "warning"), (1, "country_placeholder", "critical")}

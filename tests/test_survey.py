@@ -2,8 +2,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from askalot.operators import country, decode, instances, profiles
-from askalot.plans import survey_queries, testset_queries
+from askalot.operators import builder, country, decode, instances, profiles, respondents
+from askalot.plans import ALL
 from askalot.sources import star_survey
 
 DIR = "/root/testdata/sf0.001"
@@ -49,14 +49,21 @@ def test_country_in_a_name(spark):
     assert got == ["AT", "DE", "LT"]
 
 
-@pytest.mark.parametrize("name", sorted(survey_queries.QUERIES | testset_queries.QUERIES))
+QUERIES = {name: query for module in ALL for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in ALL for name, sql in module.oracles().items()}
+
+
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLES)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("orders", "customer", "nation", "lineitem"):
+    for t in ("orders", "customer", "nation", "lineitem", "part", "documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
-    got = (survey_queries.QUERIES | testset_queries.QUERIES)[name](spark, DIR)
-    sql = (survey_queries.oracles() | testset_queries.oracles())[name]
-    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()
+    got = QUERIES[name](spark, DIR)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
     rows = lambda found: sorted(str(tuple(r)) for r in found)
     assert want and rows(got.collect()) == rows(want)
 
@@ -65,3 +72,83 @@ def test_long_form_has_one_exchange(spark):
     wide = star_survey.wide(spark, DIR).repartition("respondent_id")
     plan = decode.to_long(wide, star_survey.CODES).groupBy("respondent_id").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(respondent_id") == 1
+
+
+@pytest.fixture(scope="module")
+def answered(spark, small):
+    variables, values, _ = small
+    codes = ["AGE", "GENDER", "Q1", "Q2", "Q3"]
+    wide = spark.createDataFrame([("0", "AT", "1", "M", "1", "2", "1"), ("1", "AT", "2", "F", "99", "1", "2.0"), ("2", None, None, None, None, None, None)], "respondent_id string, country string, " + ", ".join(f"{c} string" for c in codes))
+    return respondents.answer_rows(wide, respondents.book(variables, values, codes), codes)
+
+
+def codes_of(rows, name="features"):
+    return {r["respondent_id"]: [a["code"] for a in r[name]] for r in rows.collect()}
+
+
+def test_both_forms_of_a_profile_are_equal(small, answered):
+    variables, _, decoded = small
+    long = profiles.profiles(decoded, profiles.feature_pool(variables, excluded=["Q1"]), decoded.select("respondent_id").distinct(), CONFIG)
+    own = codes_of(respondents.with_profile(answered, respondents.Draw(CONFIG, ("Q1",))))
+    assert {(r["respondent_id"], r["code"]) for r in long.collect()} == {(k, c) for k, v in own.items() for c in v}
+    assert own["2"] == []
+
+
+def test_always_included_come_first_unless_missing(answered):
+    own = codes_of(respondents.with_profile(answered, respondents.Draw(CONFIG, ("AGE",), ("Q2", "Q1"))))
+    assert own["0"][:2] == ["Q2", "Q1"] and own["1"][0] == "Q2" and "Q1" not in own["1"]  # of respondent 1, Q1 is missing
+    assert all("AGE" not in v for v in own.values())
+
+
+def test_expansion_keeps_the_profile_and_adds_to_it(answered):
+    draw = respondents.Draw(profiles.ProfileConfig(1, 1, 42))
+    rows = respondents.with_expanded(respondents.with_profile(answered, draw), draw, 1, 1).where("respondent_id = '0'").first()
+    old, new = [a["code"] for a in rows["features"]], [a["code"] for a in rows["expanded"]]
+    assert new[:1] == old and len(new) == len(set(new)) == 4  # one more of the old section, two of the new one
+
+
+def test_draws_that_cannot_be_satisfied_are_errors(small):
+    variables, draw = small[0], respondents.Draw
+    assert respondents.check_draw(variables, draw(CONFIG, ("NOPE",))) == {"unknown_exclusions": ["NOPE"]}
+    for bad in (draw(profiles.ProfileConfig(3, 1, 1)), draw(profiles.ProfileConfig(2, 3, 1)), draw(CONFIG, ("AGE",), ("AGE",)), draw(CONFIG, (), ("NOPE",))):
+        with pytest.raises(ValueError):
+            respondents.check_draw(variables, bad)
+
+
+def test_exclusions_are_replaced_or_joined():
+    draw = respondents.Draw(CONFIG, ("A",))
+    assert draw.exclude(["B"]).excluded == ("A", "B") and draw.exclude(["B"], add=False).excluded == ("B",)
+
+
+def test_target_labels_need_whole_numbers(spark, small):
+    variables, values, _ = small
+    wide = spark.createDataFrame([("0", "AT", "1.0", "1")], "respondent_id string, country string, Q1 string, Q3 string")
+    rows = respondents.answer_rows(wide, respondents.book(variables, values, ["Q1", "Q3"]), ["Q1", "Q3"])
+    got = respondents.instances(rows, ["Q1"], respondents.Draw(profiles.ProfileConfig(1, 1, 1)), "unit").first()
+    assert got["answer"] == "1.0" and got["options"] == ["Yes", "No", "1.0"]
+    assert rows.first()["answers"][0]["label"] == "Yes"
+
+
+def test_an_empty_list_of_country_options_stays_empty(spark, answered):
+    options = spark.createDataFrame([("AT", "Q1", [])], "country string, code string, options array<string>")
+    got = respondents.instances(answered, ["Q1"], respondents.Draw(CONFIG), "", country_options=options).first()
+    assert got["options"] == ["Yes"] and got["base_id"] == "0_Q1"
+
+
+def test_row_local_plan_has_one_scan_of_the_survey_and_no_exchange(spark, small):
+    variables, values, _ = small
+    wide = spark.read.parquet(f"{DIR}/orders.parquet").selectExpr("cast(o_orderkey as string) respondent_id", "o_orderstatus country", "o_orderpriority AGE", "o_orderstatus Q1")
+    rows = respondents.answer_rows(wide, respondents.book(variables, values, ["AGE", "Q1"]), ["AGE", "Q1"])
+    plan = respondents.instances(rows, ["Q1"], respondents.Draw(CONFIG), "x")._jdf.queryExecution().executedPlan().toString()
+    survey = plan[: plan.index("BroadcastExchange")]
+    assert "Exchange hashpartitioning" not in survey and plan.count("FileScan parquet") == 1
+
+
+def test_failing_surveys_are_left_out(spark, small):
+    variables, values, _ = small
+    codes = ["AGE", "GENDER", "Q1", "Q2", "Q3"]
+    wide = spark.createDataFrame([("0", "AT", "1", "M", "1", "2", "1")], "respondent_id string, country string, " + ", ".join(f"{c} string" for c in codes))
+    good = builder.Survey("good", wide, variables, values, codes)
+    bad = builder.Survey("bad", wide.drop("Q1"), variables, values, codes)
+    rows, failed = builder.build_dataset([bad, good], respondents.Draw(profiles.ProfileConfig(1, 1, 1)), 2, 5)
+    assert failed == ["bad"] and {r["survey"] for r in rows.collect()} == {"good"}
