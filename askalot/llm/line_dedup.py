@@ -75,9 +75,13 @@ def drop_boilerplate_lines(
     row of the smallest doc_id that shows it (rows without an id come last), so that no line is
     lost altogether and of a document copied to many sites one copy stays whole. Null texts stay null and have no
     lines; null sites don't count as a site. Every row stays, repeated rows too, an emptied
-    text as ''. Other columns pass through; columns named n_lines or n_removed are replaced.
+    text as ''. Other columns pass through, whatever their names; columns named n_lines or n_removed are replaced.
     """
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    # Names of its own for the columns given, so that none clashes with those made here.
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    own = {c: k for k, c in names.items()}
+    keep = [k for k, c in names.items() if c not in ("n_lines", "n_removed")]
+    docs, doc_id, text, site = docs.toDF(*names), own[doc_id], own[text], own[site]
     rows = docs.select(*[docs[c] for c in keep], F.xxhash64(docs[doc_id], docs[text]).alias("__row"), docs[doc_id].alias("__id"))
     place = _place(docs, doc_id, text) if keep_first else None
     found = boilerplate_lines(docs, text, site, min_sites, place)
@@ -97,7 +101,7 @@ def drop_boilerplate_lines(
         F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop")), lambda i: F.get(lines, i)
     )
     return joined.select(
-        *[F.col(c) if c != text else F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text) for c in keep],
+        *[(F.col(c) if c != text else F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).alias(names[c]) for c in keep],
         F.coalesce(F.size(F.filter(lines, lambda x: F.trim(x) != "")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_removed"),
     )

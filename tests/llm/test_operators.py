@@ -357,3 +357,30 @@ def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(50, 40), (40, 50), (60, 60)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert got == {k: 0 for k in range(31)} | {40: 40, 50: 40}
+
+
+def test_warc_named_gz_and_repeated_rows_and_empty_table(spark, tmp_path):
+    long = "<p>" + "x" * 2000 + "</p>"
+    inner = "a\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\nb\r\n\r\nWARC/1.0"
+    rows = [(1, "u", long), (2, "u", long), (2, "u", long), (3, None, None), (None, "u", "short"), (4, "u", inner)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    for f in (tmp_path / "w").glob("part-*"):
+        f.rename(f.with_name(f.stem + ".warc.gz"))
+    got = sorted((r["record_id"], r["record_type"], r["payload_bytes"], r["refers_to"] or "") for r in warc.read_warc(spark, str(tmp_path / "w" / "*.warc.gz")).collect())
+    assert got == [("urn:page:", "response", 5, ""), ("urn:page:1", "revisit", len(long), "urn:page:2"), *[("urn:page:2", "response", len(long), "")] * 2, ("urn:page:3", "response", 0, ""), ("urn:page:4", "response", len(inner), "")]
+    warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e"))
+    assert warc.read_warc(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_columns_whose_names_clash_pass_through(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    extra = ["__id", "__row", "__drop", "__id2", "__place", "__line", "c0", "node", "component_id", "n", "score", "__gone"]
+    rows = [(i, f"Shared line here\nown line {i} of this text", f"s{i}", *[f"{c}{i}" for c in extra]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in extra))
+    got = line_dedup.drop_boilerplate_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert all(r["text"] == f"own line {r['doc_id']} of this text" and r["__id"] == f"__id{r['doc_id']}" and r["c0"] == f"c0{r['doc_id']}" and r["n_removed"] == 1 for r in got.collect())
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.ngram_join):
+        assert stage(spark, docs.withColumn("n_chars", F.length("text")), "").select(*extra).count() == 12
