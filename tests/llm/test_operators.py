@@ -304,6 +304,32 @@ def test_ann_with_repeated_rows(spark):
     assert hit >= 0.9 * 130
 
 
+def test_ann_leaves_grow_trees_and_searches_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 400)
+    monkeypatch.setattr(ann, "PART", 400)
+    monkeypatch.setattr(ann, "GROW", 100)
+    monkeypatch.setattr(ann, "QUERIES", 20)  # blocks that meet their queries in parts
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 12))
+    x = centres[rng.integers(30, size=6_000)] + rng.normal(size=(6_000, 12)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.search(df, lambda i: i % 100 == 0, 10).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = 0
+    for q, found in got.items():
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:10].tolist()) & set(found))
+    assert len(got) == 60 and all(len(f) == 10 for f in got.values()) and hits >= 0.9 * 600
+    tree = ann.Tree(x[:400])
+    before = tree.leaves
+    tree.graft({0: ann.Tree(x[tree.assign(x) == 0])})
+    own = tree.assign(x)
+    assert tree.leaves > before and 0 not in own and len(tree.centres) == len(tree.leaf) == len(tree.children)
+    assert set(tree.best_bins(x[0])) == set(range(tree.leaves)) - {0} and tree.ranks(x[0], [int(own[0])])[0] < tree.leaves
+
+
 def test_toxicity(spark, empty):
     texts = [(k, f"this {'idiot' if k % 4 == 0 else 'person'} reads book {k} about {'women' if k % 4 == 0 else 'men'}.") for k in range(400)]
     docs = spark.createDataFrame([*texts, (1000, None)], "doc_id long, text string")
