@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answer_patterns import OPTION_RE, QUESTION_RE, is_scale_option, is_special, is_substantive
-from ..functions.binding import measures
+from ..functions.binding import let, measures
 from ..functions.hashing import order_key
 from .instances import fill, formatted
 
@@ -52,12 +52,19 @@ TRIES = 11
 def random_ordering(items: Column, example_id: Column, i: int, seed: int) -> Column:
     """The items by hash; of TRIES orderings the first that differs from the original and its reverse, else the last."""
 
-    def by(k: Column) -> Column:
-        keyed = F.transform(items, lambda x: F.concat(F.substr(order_key(seed, example_id, i, x), 2 * k + 1, F.lit(12)), x))
-        return F.transform(F.array_sort(keyed), lambda x: F.substr(x, F.lit(13)))
+    keyed = F.transform(items, lambda x: F.struct(order_key(seed, example_id, i, x).alias("digest"), x.alias("item")))
+    fresh = lambda p: (p != items) & (p != F.reverse(items))
 
-    tried = F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), by)
-    return F.coalesce(F.try_element_at(F.filter(tried, lambda p: (p != items) & (p != F.reverse(items))), F.lit(1)), F.element_at(tried, -1))
+    def pick(own: Column) -> Column:
+        def by(k: Column) -> Column:
+            cut = F.transform(own, lambda y: F.concat(F.substr(y["digest"], 2 * k + 1, F.lit(12)), y["item"]))
+            return F.transform(F.array_sort(cut), lambda x: F.substr(x, F.lit(13)))
+
+        tried = F.transform(F.sequence(F.lit(1), F.lit(TRIES - 1)), by)
+        others = lambda: let(tried, lambda t: F.coalesce(F.try_element_at(F.filter(t, fresh), F.lit(1)), F.element_at(t, -1)))
+        return let(by(F.lit(0)), lambda first: F.when(fresh(first), first).otherwise(others()))  # the first nearly always does
+
+    return let(keyed, pick)
 
 
 def feature_orderings(instances: DataFrame, items: Column, seed: int = 42) -> DataFrame:
