@@ -31,10 +31,14 @@ def options_context(instances: DataFrame) -> DataFrame:
 
     The hidden condition shows no options, so it has no index.
     """
-    shown = instances.withColumn("shown", F.filter(F.transform("options", lambda o: F.trim(o)), is_substantive))
+    kinds = lambda rows: rows.withColumn("shown", F.filter(F.transform("options", lambda o: F.trim(o)), is_substantive)).withColumn("__kind", option_type(F.col("shown")))
+    if instances.isStreaming:
+        shown = kinds(instances)
+    else:  # patterns run over the distinct lists, which are as many as questions
+        shown = instances.join(kinds(instances.select("options").distinct()), "options", "left").select(*instances.columns, "shown", "__kind")
     at = F.array_position("shown", F.col("answer")) - 1
     reason = F.when(F.size("options") < 2, "insufficient_options").when(F.size("shown") < 2, "all_special_values").when(at < 0, "ground_truth_filtered")
-    out = shown.withColumn("reason", reason).withColumn("option_type", F.when(F.col("reason").isNull(), option_type(F.col("shown"))).otherwise("unknown"))
+    out = shown.withColumn("reason", reason).withColumn("option_type", F.when(F.col("reason").isNull(), F.col("__kind")).otherwise("unknown")).drop("__kind")
     eligible = F.col("reason").isNull()
     return out.withColumn("natural_index", F.when(eligible, at)).withColumn("reversed_index", F.when(eligible & (F.col("option_type") == "scale"), F.size("shown") - 1 - at))
 
