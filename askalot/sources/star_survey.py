@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .splits import spread
+
 STAR = """
 SELECT concat(n.cc, '_', CAST(o.o_orderkey AS STRING)) AS respondent_id, n.cc AS country, c.c_mktsegment AS SEG,
        CAST(n.n_regionkey AS STRING) AS REG,
@@ -60,7 +62,9 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = STAR
     for name in ("orders", "customer", "nation", "lineitem"):
         query = query.replace(f"FROM {name}", f"FROM {{{name}}}").replace(f"JOIN {name}", f"JOIN {{{name}}}")
-    return spark.sql(query, **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("orders", "customer", "nation", "lineitem")})
+    tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("orders", "customer", "nation", "lineitem")}
+    orders = tables["orders"].select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    return spark.sql(query, **tables | {"orders": spread(orders, "o_orderkey")})
 
 
 def codebook(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,7 @@ from ..operators.respondents import Draw
 from ..operators.testsets import feature_orderings, generate_options_context, sample_by_size
 from ..operators.variations import generate as generate_surface_forms
 from .files import load_codebook, read_survey_files, write_jsonl
+from .splits import spread
 
 log = logging.getLogger(__name__)
 
@@ -46,6 +47,7 @@ def load_survey(spark: SparkSession, config: SurveyConfig) -> Survey:
     A missing id or country column is an error; codes that the data lacks are passed over with a warning. Rows are read lazily.
     """
     rows = read_survey(spark, config)
+    rows = rows if config.format == "table" else spread(rows)
     lost = [c for c in (*config.id_columns, *([config.country_column] if config.country_column else [])) if c not in rows.columns]
     if lost:
         raise ValueError(f"{config.name}: no column {', '.join(lost)}")
