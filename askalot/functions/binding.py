@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def each_of(rows: DataFrame, array: Column, name: str, *keep: str | Column) -> DataFrame:
+    """``keep`` and each element of ``array`` as ``name``; elements that are null go.
+
+    ``explode`` has the optimizer filter rows by the array's size below it, which computes the array a second time; the outer form doesn't.
+    """
+    return rows.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def measures(*rows: tuple[str | Column, str | Column, int | Column]) -> Column:
     """Rows (measure, value, n) made of one row, exploded as ``x``; text that is no column is itself."""
     of = lambda x: x if isinstance(x, Column) else F.lit(x)

@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binding import let
+from ..functions.binding import each_of, let
 from ..functions.hashing import order_key
 from .decode import integer_key, is_missing
 from .profiles import ProfileConfig
@@ -205,11 +205,12 @@ def instances(rows: DataFrame, targets: list[str], draw: Draw, survey: str, excl
     held = F.filter("answers", lambda a: a["code"].isin(targets) & ~is_missing(a["target_label"]) & (a["n_labels"] > 0))
     if exclusions is None:  # one profile serves all targets of a respondent
         rows = with_profile(rows, own, pool_sections=pool_sections).select("respondent_id", "country", "answers", asked(F.col("features")).alias("questions"))
-        each = rows.select("respondent_id", "country", "questions", F.explode(held).alias("t"))
+        # Rows without questions have no targets: a filter on questions would compute them a second time.
+        each = each_of(rows, F.when(F.size("questions") > 0, held), "t", "respondent_id", "country", "questions")
     else:
-        each = rows.select("respondent_id", "country", "answers", "book_sections", F.explode(held).alias("t"))
+        each = each_of(rows, held, "t", "respondent_id", "country", "answers", "book_sections")
         each = each.join(exclusions.select(F.col("target_code").alias("__t"), "excluded"), F.col("t.code") == F.col("__t"), "left")
-        each = with_profile(each, own, more="excluded", pool_sections=pool_sections).withColumn("questions", asked(F.col("features")))
+        each = with_profile(each, own, more="excluded", pool_sections=pool_sections).withColumn("questions", asked(F.col("features"))).where(F.size("questions") > 0)
     options = F.col("t.options")
     if country_options is not None:
         listed = country_options.select(F.col("country").alias("__c"), F.col("code").alias("__code"), F.col("options").alias("__options"))
@@ -217,8 +218,7 @@ def instances(rows: DataFrame, targets: list[str], draw: Draw, survey: str, excl
         options = F.coalesce("__options", "t.options")
     base = base_id(survey, F.col("respondent_id"), F.col("t.code"))
     kind = draw.config.profile_type
-    out = each.where(F.size("questions") > 0)
-    return out.select(
+    return each.select(
         F.concat_ws("_", base, F.lit(kind)).alias("example_id"), base.alias("base_id"), F.lit(survey).alias("survey"), F.col("respondent_id").alias("id"), "country", "questions",
         F.col("t.question").alias("target_question"), F.col("t.code").alias("target_code"), F.col("t.section").alias("target_section"), F.col("t.target_label").alias("answer"),
         F.col("t.raw").alias("answer_raw"), with_answer(options, F.col("t.target_label")).alias("options"), F.lit(kind).alias("profile_type"),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import each_of
 from ..functions.hashing import order_key, respondent_seed
 from ..operators import country as cty
 from ..operators import decode as dec
@@ -64,7 +65,7 @@ def prf_11_shortfall(spark, d):
 
 def prf_13_profile(spark, d):
     rows = rsp.with_profile(answers(spark, d), rsp.Draw(CONFIG, tuple(TARGETS)))
-    return rows.select("respondent_id", F.explode("features").alias("f")).select("respondent_id", "f.section", "f.code", "f.label", "f.pick")
+    return each_of(rows, F.col("features"), "f", "respondent_id").select("respondent_id", "f.section", "f.code", "f.label", "f.pick")
 
 
 def cty_1_detect(spark, d):
