@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, exact_dedup, html_extract, license_scan, line_dedup, ngram_join, packing, toxicity, warc
+from . import ann, byte_bpe, exact_dedup, html_extract, license_scan, line_dedup, ngram_join, packing, spelling, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_license_scan": license_scan.op10_license_scan,
+        "op11_spelling": spelling.op11_spelling,
     }
 
 
