@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, exact_dedup, html_extract, license_scan, line_dedup, ngram_join, packing, spelling, toxicity, warc
+from . import ann, byte_bpe, centroids, exact_dedup, html_extract, license_scan, line_dedup, ngram_join, packing, spelling, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_license_scan": license_scan.op10_license_scan,
         "op11_spelling": spelling.op11_spelling,
+        "op12_centroids": centroids.op12_centroids,
+        "op13_token_counts": token_counts.op13_token_counts,
     }
 
 
@@ -31,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_exact_dedup": exact_dedup.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
         "op10_license_scan": license_scan.oracle(),
+        "op12_centroids": centroids.oracle(),
     }
