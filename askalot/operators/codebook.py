@@ -8,10 +8,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from ..functions.artifact_patterns import CRITICAL, OTHERWISE, PATTERNS, SUGGESTIONS, WARNING
-from ..functions.binding import measures
+from ..functions.binding import each_of, let, measures
+from ..functions.matching import needs
+from ..sources.shared import shared_path
 
 # Labels that a star marks as no answer.
 STARRED = ["Refusal*", "Not applicable*", "No answer*", "Don't know*", "Not available*"]
@@ -51,17 +53,26 @@ def drop_listed(variables: DataFrame, denied: DataFrame) -> DataFrame:
     return variables.join(denied.select("code").distinct(), "code", "left_anti")
 
 
+def json_text(text: Column) -> Column:
+    """A string as JSON writes it, with quotes."""
+    listed = F.to_json(F.array(text))
+    return F.coalesce(F.substring(listed, F.lit(2), F.length(listed) - 2), F.lit("null"))
+
+
 def nested_json(variables: DataFrame, values: DataFrame) -> DataFrame:
-    """(survey, section, variables): a section's variables as one JSON object {code: {question, description, values}}, in order; of a code used twice the later one counts.
+    """(survey, section, variables): a section's variables as one JSON object {code: {question, description, values}}, in order; of a code or a raw value used twice the later one counts.
 
-    Variables without a code go. A section has as many variables as a questionnaire.
+    Variables without a code and labels without a raw value go, absent texts are null. A section has as many variables as a questionnaire.
     """
     last = variables.where("code is not null").groupBy("survey", "section", "code").agg(F.max_by(F.struct("var_pos", "question", "description"), "var_pos").alias("v"))
-    labels = values.groupBy("survey", "code").agg(F.array_sort(F.collect_list(F.struct("label_pos", "raw", "label"))).alias("l"))
-    rows = last.join(labels, ["survey", "code"], "left")
-    pairs = F.map_from_entries(F.transform(F.coalesce("l", F.array().cast("array<struct<label_pos:int,raw:string,label:string>>")), lambda x: F.struct(x["raw"], x["label"])))
-    listed = rows.groupBy("survey", "section").agg(F.array_sort(F.collect_list(F.struct("v.var_pos", "code", F.to_json(F.struct("v.question", "v.description", pairs.alias("values"))).alias("entry")))).alias("x"))
-    return listed.select("survey", "section", F.concat(F.lit("{"), F.array_join(F.transform("x", lambda e: F.concat(F.lit('"'), e["code"], F.lit('":'), e["entry"])), ","), F.lit("}")).alias("variables"))
+    kept = values.where("raw is not null").groupBy("survey", "code", "raw").agg(F.max(F.struct("label_pos", "label")).alias("l"))
+    entry = F.concat(json_text(F.col("raw")), F.lit(":"), json_text(F.col("l.label")))
+    labels = kept.groupBy("survey", "code").agg(F.array_sort(F.collect_list(F.struct("l.label_pos", "raw", entry.alias("entry")))).alias("l"))
+    labels = labels.select("survey", "code", F.array_join(F.transform("l", lambda x: x["entry"]), ",").alias("l"))
+    own = [F.lit('{"question":'), json_text(F.col("v.question")), F.lit(',"description":'), json_text(F.col("v.description")), F.lit(',"values":{'), F.coalesce("l", F.lit("")), F.lit("}}")]
+    rows = last.join(labels, ["survey", "code"], "left").withColumn("entry", F.concat(json_text(F.col("code")), F.lit(":"), *own))
+    listed = rows.groupBy("survey", "section").agg(F.array_sort(F.collect_list(F.struct("v.var_pos", "code", "entry"))).alias("x"))
+    return listed.select("survey", "section", F.concat(F.lit("{"), F.array_join(F.transform("x", lambda e: e["entry"]), ","), F.lit("}")).alias("variables"))
 
 
 def structure(variables: DataFrame, values: DataFrame) -> DataFrame:
@@ -80,6 +91,58 @@ def structure(variables: DataFrame, values: DataFrame) -> DataFrame:
     return each.unionByName(twice)
 
 
+#: Of keys without quotes.
+LOOSE = {"allowUnquotedFieldNames": "true"}
+
+
+def opened(text: Column) -> Column:
+    """The entries of a JSON object, values as text; keys that are written twice stay twice. Null for anything else."""
+    return F.map_entries(F.from_json(text, "map<string,string>", LOOSE))
+
+
+def file_variables(files: DataFrame, text: str = "text") -> DataFrame:
+    """(survey, section, code, t) of codebooks as raw JSON text: what stands for each code of each section that is an object."""
+    sections = files.select("survey", F.explode(opened(F.col(text))).alias("e")).select("survey", F.col("e.key").alias("section"), opened(F.col("e.value")).alias("v"))
+    return sections.select("survey", "section", F.explode("v").alias("e")).select("survey", "section", F.col("e.key").alias("code"), F.col("e.value").alias("t"))
+
+
+def file_structure(files: DataFrame, text: str = "text") -> DataFrame:
+    """(survey, section, code, problem, severity) of codebooks as raw JSON text, a file a row: what ``load_codebook`` can't show, as it reads what has the right shape.
+
+    Critical: ``file_not_object``, ``section_not_object``, ``variable_not_object``, ``missing_<field>`` (question, description, values), ``values_not_object``, ``duplicate_code``
+    (of a survey, in one section or several) and ``duplicate_section``. Warnings: ``<field>_not_string``, ``short_question``, ``empty_values``, ``repeated_value_code``
+    and, of a file, ``non_string_key`` (a key without quotes). A null text is no object. An object written as a string counts as one, as ``load_codebook`` reads it.
+    Whether fields are strings isn't known where a variable writes a key twice or without quotes.
+    """
+    said = lambda name, grade: F.struct(F.lit(name).alias("problem"), F.lit(grade).alias("severity"))
+    start = files.select("survey", F.col(text).alias("t")).withColumn("s", opened(F.col("t")))
+    none = F.lit(None).cast("string")
+    top = start.where("s is null").select("survey", none.alias("section"), none.alias("code"), said("file_not_object", "critical").alias("x"))
+    bare = F.regexp_replace("t", r'"(\\.|[^"\\])*"', '""').rlike(r'[{,]\s*[^"\s{}\[\],:]+\s*:')
+    loosely = start.where(bare).select("survey", none.alias("section"), none.alias("code"), said("non_string_key", "warning").alias("x"))
+    sections = start.select("survey", F.explode("s").alias("e")).select("survey", F.col("e.key").alias("section"), F.col("e.value").alias("t")).withColumn("v", opened(F.col("t")))
+    twice = sections.groupBy("survey", "section").count().where("count > 1").select("survey", "section", none.alias("code"), said("duplicate_section", "critical").alias("x"))
+    shapeless = sections.where("v is null").select("survey", "section", none.alias("code"), said("section_not_object", "critical").alias("x"))
+    variables = file_variables(files, text)
+    again = variables.groupBy("survey", "code").count().where("count > 1").select("survey", none.alias("section"), "code", said("duplicate_code", "critical").alias("x"))
+    fields = F.from_json("t", "struct<question:string,description:string,values:string>", LOOSE)
+    rows = variables.withColumn("o", opened(F.col("t"))).withColumn("f", fields).withColumn("r", F.expr("try_parse_json(t)"))
+    rows = rows.withColumn("l", opened(F.col("f.values")))
+    has = lambda name: F.exists("o", lambda e: e["key"] == name)
+    kind = lambda name: F.schema_of_variant(F.try_variant_get("r", f"$.{name}", "variant"))
+    codes = F.transform("l", lambda e: e["key"])
+    checks = [
+        *[(~has(f), said(f"missing_{f}", "critical")) for f in ("question", "description", "values")],
+        *[(has(f) & (kind(f) != "STRING"), said(f"{f}_not_string", "warning")) for f in ("question", "description")],
+        (F.coalesce(kind("question") == "STRING", has("question")) & (F.length("f.question") < 10), said("short_question", "warning")),
+        (has("values") & F.col("l").isNull(), said("values_not_object", "critical")), (F.size("l") == 0, said("empty_values", "warning")),
+        (F.size("l") > F.size(F.array_distinct(codes)), said("repeated_value_code", "warning")),
+    ]
+    found = F.when(F.col("o").isNull(), F.array(said("variable_not_object", "critical"))).otherwise(F.filter(F.array(*[F.when(is_so, x) for is_so, x in checks]), lambda x: x.isNotNull()))
+    each = rows.select("survey", "section", "code", F.explode(found).alias("x"))
+    return top.unionByName(loosely).unionByName(twice).unionByName(shapeless).unionByName(again).unionByName(each).select("survey", "section", "code", "x.*")
+
+
 def severity(name: Column) -> Column:
     return F.when(name.isin(CRITICAL), "critical").when(name.isin(WARNING), "warning").otherwise("info")
 
@@ -88,27 +151,38 @@ def suggestion(name: Column) -> Column:
     return F.coalesce(F.try_element_at(F.from_json(F.lit(json.dumps(SUGGESTIONS)), "map<string,string>"), name), F.lit(OTHERWISE))
 
 
-def find_artifacts(texts: DataFrame, text: str = "text", only: str | None = None) -> DataFrame:
+def find_artifacts(texts: DataFrame, text: str = "text", only: str | Column | None = None) -> DataFrame:
     """Adds (type, pattern_name, matched) for every match of every pattern in a text, in any case; each row of the texts as often as it has matches.
 
-    ``only``: one group of patterns. Row-local: no shuffle, so it runs on streams and on any table with text.
+    A pattern is tried on a text only if that holds the literals that every match has (``functions/matching.py``), which few texts do.
+    ``only``: one group of patterns, also by row (null: all). Row-local: no shuffle, so it runs on streams and on any table with text.
     """
-    rules = [{"t": t, "n": n, "p": f"(?i){p}"} for t, n, p in PATTERNS if only in (None, t)]
-    given = F.from_json(F.lit(json.dumps(rules)), "array<struct<t:string,n:string,p:string>>")
-    found = F.flatten(F.transform(given, lambda r: F.transform(F.regexp_extract_all(F.col(text), r["p"], F.lit(0)), lambda m: F.struct(r["t"].alias("type"), r["n"].alias("pattern_name"), m.alias("matched")))))
-    return texts.where(F.col(text).isNotNull()).select("*", F.explode(found).alias("__f")).select(*texts.columns, "__f.*")
+    rules = [{"t": t, "n": n, "p": f"(?i){p}", "most": need.most, "need": need.clauses} for t, n, p in PATTERNS for need in [needs(p)] if not isinstance(only, str) or t == only]
+    given = F.from_json(F.lit(json.dumps(rules)), "array<struct<t:string,n:string,p:string,most:int,need:array<array<string>>>>")
+    own = F.col(text)
+
+    def possible(low: Column) -> Column:
+        holds = lambda r: F.forall(r["need"], lambda c: F.exists(c, lambda literal: F.contains(low["text"], literal)))
+        fits = lambda r: r["most"].isNull() | (low["n"] <= r["most"])
+        asked = (lambda r: only.isNull() | (r["t"] == only)) if isinstance(only, Column) else (lambda r: F.lit(True))
+        return F.filter(given, lambda r: asked(r) & fits(r) & holds(r))
+
+    tried = let(F.struct(F.lower(own).alias("text"), F.length(own).alias("n")), possible)
+    found = F.flatten(F.transform(tried, lambda r: F.transform(F.regexp_extract_all(own, r["p"], F.lit(0)), lambda m: F.struct(r["t"].alias("type"), r["n"].alias("pattern_name"), m.alias("matched")))))
+    return each_of(texts.where(own.isNotNull()), found, "__f", "*").select(*texts.columns, "__f.*")
 
 
 def codebook_artifacts(variables: DataFrame, values: DataFrame) -> DataFrame:
     """(survey, code, field, type, pattern_name, matched, severity, suggestion) over descriptions, questions of ten characters or more, labels, and raw values.
 
-    Raw values are held against the patterns of special values alone.
+    Raw values are held against the patterns of special values alone. Variables and values are read once each.
     """
-    parts = F.explode(F.array(F.struct(F.lit("description").alias("field"), F.col("description").alias("text")), F.struct(F.lit("question").alias("field"), F.when(F.length("question") >= 10, F.col("question")).alias("text")))).alias("x")
-    texts = variables.select("survey", "code", parts).select("survey", "code", "x.field", "x.text")
-    labels = values.select("survey", "code", F.concat(F.lit("values["), "raw", F.lit("]")).alias("field"), F.col("label").alias("text"))
-    keys = values.select("survey", "code", F.concat(F.lit("value_code["), "raw", F.lit("]")).alias("field"), F.col("raw").alias("text"))
-    found = find_artifacts(texts.unionByName(labels)).unionByName(find_artifacts(keys, only="special_values")).drop("text")
+    part = lambda field, text, only=None: F.struct(field.alias("field"), text.alias("text"), F.lit(only).cast("string").alias("only"))
+    shown = F.explode(F.array(part(F.lit("description"), F.col("description")), part(F.lit("question"), F.when(F.length("question") >= 10, F.col("question"))))).alias("x")
+    labels = part(F.concat(F.lit("values["), "raw", F.lit("]")), F.col("label"))
+    keys = part(F.concat(F.lit("value_code["), "raw", F.lit("]")), F.col("raw"), "special_values")
+    texts = variables.select("survey", "code", shown).unionByName(values.select("survey", "code", F.explode(F.array(labels, keys)).alias("x")))
+    found = find_artifacts(texts.select("survey", "code", "x.*"), only=F.col("only")).drop("text", "only")
     return found.withColumn("severity", severity(F.col("pattern_name"))).withColumn("suggestion", suggestion(F.col("pattern_name")))
 
 
@@ -151,6 +225,12 @@ def label_review(values: DataFrame) -> DataFrame:
     return per.withColumn("issue", issue).drop("__d", "__numbers")
 
 
+def open_text(variables: DataFrame) -> DataFrame:
+    """(survey, section, code, kind): variables whose ``values`` (raw JSON text) is given but is no object, such as "String variable": answered in words. ``kind`` is what stands there."""
+    given = F.col("values").isNotNull() & F.from_json("values", "map<string,string>").isNull()
+    return variables.where(given).select("survey", "section", "code", F.col("values").alias("kind"))
+
+
 def label_summary(review: DataFrame) -> DataFrame:
     """(survey, n_variables, n_with_missing, n_scales, min_options, max_options, median_options, n_issues)."""
     return review.groupBy("survey").agg(
@@ -232,32 +312,60 @@ def clean_notes(notes: Column) -> Column:
     return F.when(F.lower(own).rlike(r"^(none|no changes?)\.?$"), "").otherwise(own)
 
 
-def enrich(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], added: str, key: str, attempts: int = 2, skip: int = 0) -> DataFrame:
-    """``rows`` with the columns ``added`` (DDL) that ``fn`` gives for a batch, ``failed`` and ``retried``; rows that failed, and only they, are tried again.
+def enrich(
+    rows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], added: str, key: str, attempts: int = 2, skip: int = 0, log: str | None = None, batch_rows: int | None = None, parts: int = 1,
+) -> DataFrame:
+    """``rows`` with the columns ``added`` (DDL) that ``fn`` gives, ``failed``, ``retried``, ``attempt`` and ``error``; rows that failed, and only they, are tried again, ``attempts`` times in all.
+
+    ``fn`` takes and returns a pandas frame of at most ``batch_rows`` rows (None: a whole batch of Spark's) with a boolean ``failed``. If it raises on
+    several rows, each is tried alone, so a row fails for its own sake. ``skip``: the first rows by ``key`` that are left out.
 
-    ``fn`` takes and returns a pandas frame with a boolean ``failed``. ``skip``: the first rows by ``key`` that are left out. A batch that
-    raises counts as failed. Results of a pass are joined to those of the next by ``key``, which is unique.
+    Calls are dear and needn't give the same twice: every result is written to the table ``log`` (by default a new one in the shared folder) before anything is
+    made of it, and looked up there by key. A key is called once an attempt, and a run that is given the ``log`` of one that broke off goes on from there. A part
+    (of ``parts``, by hash of the key) is in the log when all of it is done; only what was under way then, or in a task that was lost, is called again.
+    Runs its calls at once. ``key`` is unique; a null one counts as a key.
     """
-    new = StructType.fromDDL(added)
+    spark, new = rows.sparkSession, StructType.fromDDL(added)
     names = [f.name for f in new]
-    schema = StructType([*rows.schema.fields, *new.fields, *StructType.fromDDL("failed boolean").fields])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            try:
-                out = fn(batch.copy())
-            except Exception:  # the batch is tried again in the next pass
-                out = batch.assign(**dict.fromkeys(names), failed=True)
-            yield out[[f.name for f in schema]]
-
+    log = log or shared_path(spark, "attempts")
+    written = StructType([StructField("key", StringType()), StructField("attempt", IntegerType()), *new.fields, StructField("failed", BooleanType()), StructField("error", StringType())])
+    empty = spark.createDataFrame([], written)
+    empty.write.mode("append").parquet(log)
     if skip:
         first = rows.select(key).orderBy(key).limit(skip)
-        rows = rows.join(first, key, "left_anti")
-    done = rows.mapInPandas(run, schema).withColumn("retried", F.lit(False))
-    for _ in range(attempts - 1):
-        again = done.where("failed").select(*rows.columns).mapInPandas(run, schema).withColumn("retried", F.lit(True))
-        done = done.where("not failed").unionByName(again)
-    return done
+        rows = rows.join(first, rows[key].eqNullSafe(first[key]), "left_anti")
+
+    def call(batch: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return fn(batch.copy()).assign(error=None)
+        except Exception as e:
+            if len(batch) == 1:
+                return batch.assign(**dict.fromkeys(names), failed=True, error=f"{type(e).__name__}: {e}")
+            return pd.concat([call(batch.iloc[[k]]) for k in range(len(batch))])
+
+    def run(attempt: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                keys = batch.pop("__key").to_numpy()
+                size = batch_rows or max(1, len(batch))
+                for at in range(0, len(batch), size):
+                    out = call(batch.iloc[at : at + size].reset_index(drop=True)).assign(key=keys[at : at + size], attempt=attempt)
+                    yield out[written.names]
+
+        return of
+
+    keyed = rows.withColumn("__key", F.col(key).cast("string"))
+    for attempt in range(1, attempts + 1):
+        for part in range(parts):
+            known = spark.read.schema(written).parquet(log).groupBy("key").agg(F.max("attempt").alias("__tried"), F.max_by("failed", "attempt").alias("__failed")).withColumnRenamed("key", "__k")
+            due = keyed.join(known, F.col("__key").eqNullSafe(F.col("__k")), "left").where(F.coalesce("__tried", F.lit(0)) == attempt - 1)
+            due = due.where((F.coalesce("__failed", F.lit(True))) & (F.pmod(F.xxhash64(F.coalesce("__key", F.lit(""))), F.lit(parts)) == part))
+            due.select(*keyed.columns).mapInPandas(run(attempt), written).write.mode("append").parquet(log)
+        if spark.read.schema(written).parquet(log).where((F.col("attempt") == attempt) & F.col("failed")).isEmpty():
+            break
+    last = spark.read.schema(written).parquet(log).groupBy(F.col("key").alias("__k")).agg(F.max_by(F.struct(*written.names[1:]), "attempt").alias("__last"))
+    done = keyed.join(last, F.col("__key").eqNullSafe(F.col("__k")))
+    return done.select(*rows.columns, *[F.col(f"__last.{n}").alias(n) for n in names], "__last.failed", (F.col("__last.attempt") > 1).alias("retried"), "__last.attempt", "__last.error")
 
 
 def pack_chunks(pages: DataFrame, doc: str, order: str, text: str, most: int = 50_000) -> DataFrame:

@@ -53,14 +53,29 @@ def _known(option: Column, rules: dict[str, list[tuple[str, str]]]) -> Column:
     return F.coalesce(F.try_element_at(F.from_json(F.lit(entries), f"map<string,{NONE}>"), F.lower(option)), F.array().cast(NONE))
 
 
+def word_index() -> dict[str, list[int]]:
+    """Where a word in lower case begins a side of a rule for words: the rules' numbers."""
+    found: dict[str, set[int]] = {}
+    for k, pair in enumerate(WORDS):
+        for side in pair:
+            found.setdefault(re.match(r"\w+", side.lower())[0], set()).add(k)
+    return {w: sorted(own) for w, own in found.items()}
+
+
 def _words(option: Column) -> Column:
-    """For each pair of words the first one replaced, or else the second one; nothing where neither occurs or nothing changes."""
+    """For each pair of words the first one replaced, or else the second one; nothing where neither occurs or nothing changes.
+
+    The option's own words name the rules that can apply, so an option costs what its words do and not what there are rules.
+    """
     whole = lambda w: rf"(?i)\b{re.escape(w)}\b"
     entries = [{"a": a, "b": b, "pa": whole(a), "pb": whole(b), "ra": f"'{a}' -> '{b}'", "rb": f"'{b}' -> '{a}'"} for a, b in WORDS]
     rules = F.from_json(F.lit(json.dumps(entries)), "array<struct<a:string,b:string,pa:string,pb:string,ra:string,rb:string>>")
+    index = F.from_json(F.lit(json.dumps(word_index())), "map<string,array<int>>")
+    own = F.array_distinct(F.regexp_extract_all(F.lower(option), F.lit(r"([A-Za-z0-9_]+)"), F.lit(1)))
+    named = F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform(own, lambda w: F.try_element_at(index, w)), lambda x: x.isNotNull()))))
     make = lambda r, pattern, to, rule: F.struct(F.regexp_replace(option, r[pattern], r[to]).alias("variation"), r[rule].alias("rule"))
     one = lambda r: F.when(F.regexp_like(option, r["pa"]), make(r, "pa", "b", "ra")).when(F.regexp_like(option, r["pb"]), make(r, "pb", "a", "rb"))
-    return F.filter(F.transform(rules, one), lambda x: x.isNotNull() & (x["variation"] != option))
+    return F.filter(F.transform(named, lambda k: one(F.get(rules, k))), lambda x: x.isNotNull() & (x["variation"] != option))
 
 
 def is_ineligible(option: Column) -> Column:

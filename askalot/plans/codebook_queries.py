@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +43,10 @@ def cln_7_deny_list(spark, d):
 
 
 def cln_8_nested(spark, d):
-    rows = cbk.nested_json(*parts.codebook(spark, d))
-    return rows.select("survey", "section", F.size(F.json_object_keys("variables")).alias("n_variables"))
+    """Sections as JSON; codes hold quotes, backslashes and line breaks here."""
+    variables, values = parts.codebook(spark, d)
+    odd = F.when(F.substring("code", -1, 1) == "7", F.concat("code", F.lit('"\\\n/'))).otherwise(F.col("code"))
+    return cbk.nested_json(variables.withColumn("code", odd), values.withColumn("code", odd))
 
 
 def cln_10_base_name(spark, d):
@@ -54,6 +57,34 @@ def cbk_1_structure(spark, d):
     return cbk.structure(*parts.codebook(spark, d))
 
 
+#: Variables of one JSON file, whose texts are told by the remainder of ``var_pos`` by 13.
+FILE, FAULTS = 100, 13
+
+
+def codebook_files(spark, d) -> DataFrame:
+    """(survey, text): the codebook as JSON files of some variables each, with faults of every kind."""
+    q, text = F.col("question"), cbk.json_text
+    whole = lambda question, values: F.concat(F.lit('{"question":'), question, F.lit(',"description":'), text(F.col("description")), F.lit(f',"values":{values}}}'))
+    said = text(F.coalesce(q, F.lit("What is it about?")))
+    fault = F.col("var_pos") % FAULTS
+    entry = (
+        F.when(fault == 0, F.lit('"no object"')).when(fault == 1, F.lit('{"description":"d","values":{"1":"a"}}')).when(fault == 2, whole(said, '"String variable"')).when(fault == 3, whole(said, "{}"))
+        .when(fault == 4, whole(F.lit("5"), '{"1":"a"}')).when(fault == 5, whole(said, '{"1":"a","1":"b"}')).when(fault == 6, whole(said, '{1:"a","2":"b"}')).when(fault == 7, F.concat(F.lit('{"question":'), said, F.lit(',"description":null}')))
+        .when(fault == 8, whole(F.lit('"Q1"'), '{"1":"a"}')).otherwise(whole(said, '{"1":"a","2":"String {variable}: x"}'))
+    )
+    variables = parts.codebook(spark, d)[0].withColumn("block", F.floor(F.col("var_pos") / FILE)).withColumn("entry", F.concat(text(F.col("code")), F.lit(":"), entry))
+    keys = [F.concat("survey", F.lit("/"), F.col("block").cast("string")).alias("survey"), "block"]
+    sections = variables.groupBy(*keys, "section").agg(F.array_join(F.array_sort(F.collect_list("entry")), ",").alias("t"))
+    shape = F.when(F.length("section") % 7 == 0, F.lit("[1]")).otherwise(F.concat(F.lit("{"), "t", F.lit("}")))
+    files = sections.groupBy("survey", "block").agg(F.array_join(F.array_sort(F.collect_list(F.concat(text(F.col("section")), F.lit(":"), shape))), ",").alias("t"))
+    extra = F.when(F.col("block") % 3 == 0, ',"extra":{},"extra":{}').otherwise("")
+    return files.select("survey", F.when(F.col("block") % 10 == 9, F.lit("{broken")).otherwise(F.concat(F.lit("{"), "t", extra, F.lit("}"))).alias("text"))
+
+
+def cbk_1_files(spark, d):
+    return cbk.file_structure(codebook_files(spark, d))
+
+
 def artifacts(spark, d) -> DataFrame:
     return cbk.codebook_artifacts(*parts.codebook(spark, d))
 
@@ -85,6 +116,13 @@ def cbk_7_labels(spark, d):
     return cbk.label_review(parts.codebook(spark, d)[1])
 
 
+def cbk_7_open_text(spark, d):
+    """Variables of the JSON files that are answered in words."""
+    rows = cbk.file_variables(codebook_files(spark, d)).select("survey", "section", "code", F.from_json("t", "struct<values:string>", cbk.LOOSE).alias("v"))
+    rows = rows.select("survey", "section", "code", "v.values")
+    return cbk.open_text(rows)
+
+
 def cbk_7_summary(spark, d):
     return cbk.label_summary(cbk.label_review(parts.codebook(spark, d)[1]))
 
@@ -142,6 +180,16 @@ def cbk_15_enrich(spark, d):
     return done.select("var_pos", "enriched", "failed", "retried")
 
 
+def cbk_15_random(spark, d):
+    """A stand-in for a service that fails by chance, four calls in ten, whatever the row: each variable comes once all the same."""
+    variables = parts.codebook(spark, d)[0].where("question is not null").select("var_pos", "question")
+
+    def service(batch):
+        return batch.assign(enriched=batch["question"].str.upper(), failed=np.random.default_rng().random(len(batch)) < 0.4)
+
+    return cbk.enrich(variables, service, "enriched string", "var_pos", attempts=60, parts=2).select("var_pos", "enriched", "failed")
+
+
 def cbk_16_category(spark, d):
     return parts.codebook(spark, d)[0].groupBy(cbk.closed_category(F.col("category")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -203,8 +251,8 @@ def sim_7_counts(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        cln_4_normalise, cln_5_apostrophes, cln_6_category_key, cln_7_deny_list, cln_8_nested, cln_10_base_name, cbk_1_structure, cbk_2_artifacts, cbk_2_documents, cbk_3_severity, cbk_4_statistics,
-        cbk_5_recommendations, cbk_7_labels, cbk_7_summary, cbk_8_alignment, cbk_10_compare, cbk_11_scale_key, cbk_12_mapping, cbk_12_conflicts, cbk_13_apply, cbk_14_collapse, cbk_15_enrich, cbk_16_category,
+        cln_4_normalise, cln_5_apostrophes, cln_6_category_key, cln_7_deny_list, cln_8_nested, cln_10_base_name, cbk_1_structure, cbk_1_files, cbk_2_artifacts, cbk_2_documents, cbk_3_severity, cbk_4_statistics,
+        cbk_5_recommendations, cbk_7_labels, cbk_7_open_text, cbk_7_summary, cbk_8_alignment, cbk_10_compare, cbk_11_scale_key, cbk_12_mapping, cbk_12_conflicts, cbk_13_apply, cbk_14_collapse, cbk_15_enrich, cbk_15_random, cbk_16_category,
         cbk_17_clean, src_11_chunks, src_12_merge, sim_1_texts, sim_2_embed, sim_3_exclusions, sim_4_scores, sim_5_report, sim_6_keywords, sim_7_counts,
     )
 }
@@ -233,6 +281,8 @@ found AS (SELECT *, {sev} AS severity, {sug} AS suggestion FROM hits)"""
     recs = f"""{with_}, recs AS (SELECT s.survey, s.code, pos, scale, CASE WHEN pos % 3 = 0 THEN scale ELSE adjusted END AS adjusted FROM (SELECT survey, code, min(var_pos) AS pos FROM part_vars GROUP BY ALL) p
         JOIN (SELECT survey, code, string_agg(raw || '=' || label, ';' ORDER BY raw, label) AS scale, string_agg(raw || '=' || new, ';' ORDER BY raw, new) AS adjusted FROM (SELECT *, {coll} AS new FROM part_vals) GROUP BY ALL) s ON s.survey = p.survey AND s.code = p.code),
 mapping AS (SELECT scale, arg_min(adjusted, pos) AS mapped FROM recs GROUP BY scale)"""
+    files = f"""{with_}, f AS (SELECT * REPLACE (survey || '/' || var_pos // {FILE} AS survey), var_pos // {FILE} AS block, var_pos % {FAULTS} AS k FROM part_vars),
+        live AS (SELECT * FROM f WHERE block % 10 <> 9), objs AS (SELECT * FROM live WHERE length(section) % 7 <> 0)"""
     vec = "WITH v AS (SELECT vec_id AS code, any_value(embedding)::DOUBLE[] AS e FROM embeddings GROUP BY 1), s AS (SELECT t.code AS target, f.code AS feature, CASE WHEN list_dot_product(t.e, t.e) > 0 AND list_dot_product(f.e, f.e) > 0 THEN list_cosine_similarity(t.e, f.e) END AS similarity FROM v t, v f WHERE t.code % 50 = 0 AND f.code % 50 <> 0)"
     text = "coalesce(question, description, code)"
     words = "list_distinct(list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: length(w) > 4), lambda w: regexp_replace(w, '^[?.,!]+|[?.,!]+$', '', 'g')))"
@@ -241,11 +291,26 @@ mapping AS (SELECT scale, arg_min(adjusted, pos) AS mapped FROM recs GROUP BY sc
         "cln_5_apostrophes": f"{with_} SELECT {straight('t')} AS text, count(*) AS n FROM (SELECT question AS t FROM part_vars UNION ALL SELECT label FROM part_vals) GROUP BY 1",
         "cln_6_category_key": f"{with_} SELECT {key} AS key, count(*) AS n FROM part_vars GROUP BY 1",
         "cln_7_deny_list": f"{with_} SELECT survey, code, var_pos FROM part_vars WHERE code NOT IN (SELECT code FROM part_vals GROUP BY code HAVING count(*) < 10)",
-        "cln_8_nested": f"{with_} SELECT survey, section, count(DISTINCT code)::INT AS n_variables FROM part_vars GROUP BY 1, 2",
+        "cln_8_nested": rf"""{with_}, odd AS (SELECT * REPLACE (CASE WHEN code LIKE '%7' THEN code || '"\' || chr(10) || '/' ELSE code END AS code) FROM part_vars),
+            last AS (SELECT survey, section, code, max(var_pos) AS pos, arg_max(row(question, description), var_pos) AS v FROM odd GROUP BY ALL),
+            labels AS (SELECT survey, CASE WHEN code LIKE '%7' THEN code || '"\' || chr(10) || '/' ELSE code END AS code, string_agg(to_json(raw) || ':' || to_json(label), ',' ORDER BY label_pos, raw) AS l FROM part_vals GROUP BY 1, 2)
+            SELECT survey, section, '{{' || string_agg(to_json(code) || ':{{"question":' || coalesce(to_json(v[1]), 'null') || ',"description":' || coalesce(to_json(v[2]), 'null') || ',"values":{{' || coalesce(l, '') || '}}}}', ',' ORDER BY pos, code) || '}}' AS variables
+            FROM last LEFT JOIN labels USING (survey, code) GROUP BY 1, 2""",
         "cln_10_base_name": f"{with_} SELECT survey, code, regexp_replace(code, '_[0-9]+$', '') AS base FROM part_vars",
         "cbk_1_structure": f"""{with_} SELECT survey, code, 'no_question' AS problem, 'critical' AS severity FROM part_vars WHERE question IS NULL UNION ALL SELECT survey, code, 'no_description', 'critical' FROM part_vars WHERE description IS NULL
             UNION ALL SELECT survey, code, 'short_question', 'warning' FROM part_vars WHERE length(question) < 10 UNION ALL SELECT survey, code, 'no_values', 'warning' FROM part_vars v WHERE NOT EXISTS (SELECT 1 FROM part_vals x WHERE x.survey = v.survey AND x.code = v.code)
             UNION ALL SELECT survey, code, 'duplicate_code', 'critical' FROM part_vars GROUP BY 1, 2 HAVING count(*) > 1""",
+        "cbk_1_files": f"""{files}
+            SELECT DISTINCT survey, NULL AS section, NULL AS code, 'file_not_object' AS problem, 'critical' AS severity FROM f WHERE block % 10 = 9
+            UNION ALL SELECT DISTINCT survey, NULL, NULL, 'non_string_key', 'warning' FROM objs WHERE k = 6 UNION ALL SELECT DISTINCT survey, 'extra', NULL, 'duplicate_section', 'critical' FROM live WHERE block % 3 = 0
+            UNION ALL SELECT DISTINCT survey, section, NULL, 'section_not_object', 'critical' FROM live WHERE length(section) % 7 = 0 UNION ALL SELECT survey, NULL, code, 'duplicate_code', 'critical' FROM objs GROUP BY survey, code HAVING count(*) > 1
+            UNION ALL SELECT survey, section, code, 'variable_not_object', 'critical' FROM objs WHERE k = 0 UNION ALL SELECT survey, section, code, 'missing_question', 'critical' FROM objs WHERE k = 1
+            UNION ALL SELECT survey, section, code, 'missing_values', 'critical' FROM objs WHERE k = 7 UNION ALL SELECT survey, section, code, 'description_not_string', 'warning' FROM objs WHERE k = 7
+            UNION ALL SELECT survey, section, code, 'question_not_string', 'warning' FROM objs WHERE k = 4 UNION ALL SELECT survey, section, code, 'values_not_object', 'critical' FROM objs WHERE k = 2
+            UNION ALL SELECT survey, section, code, 'empty_values', 'warning' FROM objs WHERE k = 3 UNION ALL SELECT survey, section, code, 'repeated_value_code', 'warning' FROM objs WHERE k = 5
+            UNION ALL SELECT survey, section, code, 'short_question', 'warning' FROM objs WHERE k = 8 OR k NOT IN (0, 1, 4) AND length(question) < 10""",
+        "cbk_7_open_text": f"{files} SELECT survey, section, code, 'String variable' AS kind FROM objs WHERE k = 2",
+        "cbk_15_random": f"{with_} SELECT var_pos, upper(question) AS enriched, false AS failed FROM part_vars WHERE question IS NOT NULL",
         "cbk_2_artifacts": f"{found} SELECT survey, code, field, type, pattern_name, matched, count(*) AS n FROM found GROUP BY ALL",
         "cbk_2_documents": f"WITH {rules}, hits AS (SELECT doc_id, t, n, unnest(regexp_extract_all(text, p, 0, 'i')) AS m FROM documents, rules) SELECT t AS type, n AS pattern_name, count(*) AS n_matches, count(DISTINCT doc_id) AS n_documents FROM hits GROUP BY ALL",
         "cbk_3_severity": f"{found} SELECT pattern_name, severity, suggestion, count(*) AS n FROM found GROUP BY ALL",

@@ -63,14 +63,17 @@ def read_survey_files(spark: SparkSession, paths: list[str], encoding: str | Non
 def load_codebook(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(variables, values) of JSON files {section: {code: {question, description, values}}}, in the files' order.
 
-    A ``values`` that is no object gives no labels. Files are codebooks, so one is read by one task.
+    A ``values`` that is no object gives no labels; sections and variables that are none are passed over (``codebook.file_structure`` names them).
+    Files are codebooks, so one is read by one task.
     """
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,map<string,{VARIABLE}>>").alias("m"))
-    sections = text.select(F.posexplode(F.map_entries("m")).alias("section_pos", "s"))
-    rows = sections.select("section_pos", F.col("s.key").alias("section"), F.posexplode(F.map_entries("s.value")).alias("var_pos", "v"))
+    opened = lambda c: F.map_entries(F.from_json(c, "map<string,string>"))
+    text = spark.read.text(path, wholetext=True)
+    sections = text.select(F.posexplode(opened(F.col("value"))).alias("section_pos", "s"))
+    rows = sections.select("section_pos", F.col("s.key").alias("section"), F.posexplode(opened(F.col("s.value"))).alias("var_pos", "e"))
+    rows = rows.where(opened(F.col("e.value")).isNotNull()).withColumn("v", F.from_json("e.value", VARIABLE))
     variables = rows.select(
-        "section", "section_pos", F.col("v.key").alias("code"), "var_pos", "v.value.question", "v.value.description", "v.value.notes",
-        F.from_json("v.value.values", "map<string,string>").alias("labels"),
+        "section", "section_pos", F.col("e.key").alias("code"), "var_pos", "v.question", "v.description", "v.notes",
+        F.from_json("v.values", "map<string,string>").alias("labels"),
     )
     values = variables.select("code", F.posexplode(F.map_entries("labels")).alias("label_pos", "e")).select("code", F.col("e.key").alias("raw"), F.col("e.value").alias("label"), "label_pos")
     return variables.withColumn("has_values", F.coalesce(F.size("labels") > 0, F.lit(False))).withColumn("sampleable", F.col("section") != "EXCLUDED").drop("labels"), values

@@ -104,6 +104,83 @@ def test_enrichment_tries_failures_once_more(spark):
     assert got == {1: ("again", False, True), 2: ("T2", False, False), 3: ("again", False, True), 4: ("T4", False, False), 5: ("again", True, True)}
 
 
+def test_enrichment_by_chance_gives_each_row_once(spark, tmp_path):
+    """A service that fails at random, and writes each call down: every key once, calls as many as rows and retries, failures a row's own."""
+    import random
+
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(300)] + [(None, "none")], "k int, t string").repartition(5)
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def service(batch):
+        k = batch["k"].iloc[0]
+        (calls / f"{random.getrandbits(60)}-{k}").touch()
+        if random.random() < 0.5:
+            raise RuntimeError("down")
+        return batch.assign(out=batch["t"].str.upper(), failed=random.random() < 0.2)
+
+    log = str(tmp_path / "log")
+    got = codebook.enrich(rows, service, "out string", "k", attempts=3, batch_rows=1, parts=2, log=log)
+    for done in (got.collect(), got.collect()):
+        assert len(done) == 301 and {r["k"] for r in done} == {None, *range(300)}
+        assert all((r["out"] == r["t"].upper() and r["error"] is None) if not r["failed"] else r["attempt"] == 3 for r in done)
+        assert sum(r["attempt"] for r in done) == len(list(calls.iterdir())) == spark.read.parquet(log).count()
+        assert any(r["failed"] and "down" in (r["error"] or "") for r in done) and 0 < sum(r["retried"] for r in done) < 301
+    again = codebook.enrich(rows.unionByName(spark.createDataFrame([(900, "new")], "k int, t string")), service, "out string", "k", attempts=3, batch_rows=1, log=log)
+    new = [r["attempt"] for r in again.collect() if r["k"] == 900]
+    assert len(new) == 1 and len(list(calls.iterdir())) == sum(r["attempt"] for r in done) + new[0]
+
+
+def test_enrichment_of_batches(spark, tmp_path):
+    rows = spark.createDataFrame([(i,) for i in range(40)], "k int").repartition(1)
+
+    def service(batch):
+        if (batch["k"] == 7).any():
+            raise ValueError("seven")
+        return batch.assign(out=batch["k"] * 2, failed=False)
+
+    got = {r["k"]: (r["out"], r["failed"], r["attempt"]) for r in codebook.enrich(rows, service, "out long", "k", batch_rows=10).collect()}
+    assert got == {k: (None, True, 2) if k == 7 else (2 * k, False, 1) for k in range(40)}
+    assert codebook.enrich(rows.limit(0), service, "out long", "k").count() == 0
+
+
+def test_a_text_has_what_its_patterns_need(spark):
+    """Each pattern finds the same with and without the literals asked for first."""
+    import re
+
+    from askalot.functions.artifact_patterns import PATTERNS
+    from askalot.functions.matching import needs
+
+    assert needs(r"\[?\s*[Ii]nterviewer\s*x+").clauses == [["interviewer"], ["x"]] and needs("^9[0-9]$").most == 4
+    assert needs("(ab|c)d?").clauses == [["ab", "c"]] and needs("a*|b").clauses == [] and needs("(?:ab)*c?").clauses == [] and needs("^.{1,10}$").most == 12
+    texts = ["SHOWCARD 3", "(ShowCard)", "Party A, or", "party b", "97", "97\n", "ST. STGBS.", "DK/NA", "code 5: x", "Q12", "___", "( )", "interviewer's number", "[Name of President of x]", "SA SWA SWD SD", "1.2. x", "(3-4)", "short", ""]
+    texts += ["first most important, second most important", "it is 3a. and q4b", "Don’t know", "\u0130nterviewer", "x" * 5000 + " recode of"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(99, None)], "k int, text string")
+    got = sorted((r["k"], r["type"], r["pattern_name"], r["matched"]) for r in codebook.find_artifacts(rows).collect())
+    want = sorted((k, t, n, m.group()) for k, text in enumerate(texts) for t, n, p in PATTERNS for m in re.finditer(p, text, re.IGNORECASE | re.ASCII))
+    assert got == want and len(got) > 40
+
+
+def test_shapes_of_codebook_files(spark, tmp_path):
+    rows = [("a", '{"s":{"Q1":{"question":"How often do you?","description":"d","values":{"1":"x"}},"Q2":3},"t":"no"}'), ("b", None), ("c", "[1]"), ("d", "{}"), ("e", '{"s":{"Q1":{"question":null,"description":"d","values":[1]},"Q1":{}}}')]
+    got = {(r["survey"], r["section"], r["code"], r["problem"]) for r in codebook.file_structure(spark.createDataFrame(rows, "survey string, text string")).collect()}
+    assert got == {("a", "s", "Q2", "variable_not_object"), ("a", "t", None, "section_not_object"), ("b", None, None, "file_not_object"), ("c", None, None, "file_not_object"),
+        ("e", "s", "Q1", "question_not_string"), ("e", "s", "Q1", "values_not_object"), ("e", None, "Q1", "duplicate_code"), *(("e", "s", "Q1", f"missing_{f}") for f in ("question", "description", "values"))}
+    (tmp_path / "a.json").write_text(rows[0][1])
+    variables, values = files.load_codebook(spark, str(tmp_path / "a.json"))
+    assert [(r["section"], r["code"], r["has_values"]) for r in variables.collect()] == [("s", "Q1", True)] and values.count() == 1
+
+
+def test_nested_json_can_be_read(spark):
+    import json
+
+    odd = 'a"b\\c\n/é'
+    variables = spark.createDataFrame([("w", "s", odd, 1, odd, None), ("w", "s", odd, 2, None, odd), ("w", "s", None, 3, "x", "y")], "survey string, section string, code string, var_pos int, question string, description string")
+    values = spark.createDataFrame([("w", odd, odd, "first", 0), ("w", odd, odd, odd, 1), ("w", odd, "2", None, 0)], "survey string, code string, raw string, label string, label_pos int")
+    got = codebook.nested_json(variables, values).first()["variables"]
+    assert json.loads(got) == {odd: {"question": None, "description": odd, "values": {"2": None, odd: odd}}}
+
+
 def test_zero_vectors_are_near_nothing(spark):
     rows = spark.createDataFrame([("t", [1.0, 0.0]), ("a", [0.0, 0.0]), ("b", [2.0, 0.0])], "code string, embedding array<double>")
     scores = similarity.similarities(rows.where("code = 't'"), rows)
