@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +34,14 @@ OVERLAP = 256
 WIDEN = 8
 #: No match depends on more characters behind its end than this: three for a contraction, one for a look-ahead.
 LOOKS_AHEAD = 4
-#: Texts that are encoded in one call.
+#: Chunks that are written together.
 TOGETHER = 64
+#: Distinct words that a worker remembers; beyond that it starts anew.
+MEMO = 800_000
+# Fixed value: the words of byte-level vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Finds characters beyond those whose class (letter, number, space, other) is the same in every version of Unicode.
+UNSURE = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-\u024f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f\u2010-\u2026\u20ac]").search
 
 
 class Words:
@@ -55,13 +62,33 @@ class Words:
         self.spliced = simple and spec.get("normalizer") is None and before.get("type") == "ByteLevel" and bool(before.get("use_regex")) and not before.get("add_prefix_space")
         self.margin = max([LOOKS_AHEAD, *(len(a["content"]) for a in added)])
 
+        self.plain = self.spliced and regex.compile(PATTERN).findall
+        self.special = regex.compile("|".join(regex.escape(a["content"]) for a in added) or "(?!)").search
+        self.memo: dict[str, int] = {}
+
+    def counted(self, text: str) -> tuple[list[str], list[int]] | None:
+        """The words of a text and how many tokens each has: a word is encoded once and remembered. None for texts with a special string, or characters that Unicode's versions may class differently."""
+        if not self.plain or UNSURE(text) or self.special(text):
+            return None
+        words, memo = self.plain(text), self.memo
+        new = [w for w in set(words) if w not in memo]
+        if new:
+            if len(memo) > MEMO:
+                memo.clear()
+                new = list(set(words))
+            memo.update(zip(new, map(len, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        return words, list(map(memo.__getitem__, words))
+
     def counts(self, texts: list[str]) -> Iterator[int]:
-        for at in range(0, len(texts), TOGETHER):
-            for e in self.tokenizer.encode_batch_fast(texts[at : at + TOGETHER], add_special_tokens=False):
-                yield len(e)
+        for text in texts:
+            own = self.counted(text)
+            yield sum(own[1]) if own else len(self.tokenizer.encode(text, add_special_tokens=False))
 
     def places(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
         """Number of tokens; where words begin, in characters; how many tokens stand before each."""
+        own = self.counted(text)
+        if own:
+            return sum(own[1]), np.cumsum([0, *map(len, own[0][:-1])]), np.cumsum([0, *own[1][:-1]])
         e = self.tokenizer.encode(text, add_special_tokens=False)
         words = np.fromiter((-1 if w is None else w for w in e.word_ids), dtype=np.int64, count=len(e))
         starts = np.fromiter((a for a, _ in e.offsets), dtype=np.int64, count=len(e))

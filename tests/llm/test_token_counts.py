@@ -77,3 +77,11 @@ def test_a_place_that_both_have_is_one_of_the_text(text, start, end):
     theirs = {p + start: b for p, b in zip(starts.tolist(), counted.tolist(), strict=True)}
     for place in mine.keys() & theirs.keys():
         assert whole.get(place) == mine[place] and mine[place] + m - theirs[place] == total
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("'sdl \n\r\t\u00a0\u2003\u2028\x1c\x85²½ßœ"), st.characters(exclude_categories=["Cs"])), max_size=40))
+def test_remembered_words_equal_the_library(text):
+    w = token_counts.words_of(BYTES)
+    e = w.tokenizer.encode(text, add_special_tokens=False)
+    assert list(w.counts([text])) == [len(e)] and w.places(text)[0] == len(e)
