@@ -52,7 +52,8 @@ def concept_instances(rows: DataFrame, concepts: DataFrame, draw: rsp.Draw, surv
     drawn = rsp.with_profile(found, draw.exclude(barred), pool_sections=pool_sections)
     kind = draw.config.profile_type
     base = rsp.base_id(survey, F.col("respondent_id"), F.col("concept"))
-    out = drawn.withColumn("questions", rsp.asked(F.col("features"))).where(F.size("questions") > 0)
+    kept = ["respondent_id", "country", "concept", "label", "options", "raw", "question", "code", "section"]
+    out = rsp.with_questions(drawn.select(*kept, rsp.asked(F.col("features")).alias("questions")))
     return out.select(
         F.concat_ws("_", base, F.lit(kind)).alias("example_id"), base.alias("base_id"), F.lit(survey).alias("survey"), F.col("respondent_id").alias("id"), "country", "questions",
         F.col("question").alias("target_question"), F.col("code").alias("target_code"), F.col("section").alias("target_section"), F.col("label").alias("answer"), F.col("raw").alias("answer_raw"),

@@ -182,6 +182,12 @@ def asked(features: Column) -> Column:
     return let(features, collapse)
 
 
+def with_questions(rows: DataFrame) -> DataFrame:
+    """Rows with at least one of their ``questions``. A plain filter would be pushed below and compute the profile a second time."""
+    others = [c for c in rows.columns if c != "questions"]
+    return each_of(rows, F.array(F.when(F.size("questions") > 0, F.col("questions"))), "questions", *others)
+
+
 def base_id(survey: str, respondent_id: Column, code: Column) -> Column:
     """{survey}_{respondent}_{code}, the survey left out if empty; blanks and slashes as underscores."""
     return F.translate(F.concat_ws("_", *([F.lit(survey)] if survey else []), respondent_id, code), " /", "__")
@@ -210,7 +216,8 @@ def instances(rows: DataFrame, targets: list[str], draw: Draw, survey: str, excl
     else:
         each = each_of(rows, held, "t", "respondent_id", "country", "answers", "book_sections")
         each = each.join(exclusions.select(F.col("target_code").alias("__t"), "excluded"), F.col("t.code") == F.col("__t"), "left")
-        each = with_profile(each, own, more="excluded", pool_sections=pool_sections).withColumn("questions", asked(F.col("features"))).where(F.size("questions") > 0)
+        each = with_profile(each, own, more="excluded", pool_sections=pool_sections).select("t", "respondent_id", "country", asked(F.col("features")).alias("questions"))
+        each = with_questions(each)
     options = F.col("t.options")
     if country_options is not None:
         listed = country_options.select(F.col("country").alias("__c"), F.col("code").alias("__code"), F.col("options").alias("__options"))
