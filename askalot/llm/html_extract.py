@@ -4,7 +4,9 @@ Every page is parsed into a light tree of block elements. A node's composite den
 characters per tag, adjusted by the share of characters and tags inside links; a node's
 density sum adds up its children's densities. The subtree with the largest sum is the
 article; neighbours of the path from body to it join where they are as dense as the
-least dense node of that path, with a heading that stands right before what is taken. Pages are independent, so this is one map over the rows.
+least dense node of that path, with a heading that stands right before what is taken. An article element around it,
+or sections beside it, join by their share of links instead: short sections and captions belong to it, lists of links don't.
+Pages are independent, so this is one map over the rows.
 """
 
 from __future__ import annotations
@@ -22,14 +24,18 @@ from .common import table
 # Elements by what they mean for the text.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-DROPPED = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "svg", "math", "canvas", "object", "audio", "video", "dialog", "menu", "label", "fieldset", "datalist"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+DROPPED = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "svg", "annotation", "annotation-xml", "canvas", "object", "audio", "video", "dialog", "menu", "fieldset", "datalist"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"} | {"math", "maction", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics", "annotation", "annotation-xml"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul"}
 CLOSES_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "form", "menu", "menubar", "toolbar"}
 # Class tokens and ids that mark what isn't the article, unless ``mute`` finds the page's text there.
 NOISE = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "sidebar", "sidenav", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "disqus", "replies", "respond", "footer", "related", "recommended", "share", "sharing", "social", "newsletter", "subscribe", "subscription", "popup", "modal", "overlay", "widget", "widgets", "toolbar", "pagination", "pager", "skip", "login", "signup", "tags", "copyright", "disclaimer", "trending", "outbrain", "taboola"}
 ADS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "outbrain", "taboola"}
+#: Parts of compound names: with the first, the name says what is absent or how the page is laid out.
+NEGATED = {"no", "not", "has", "with", "without", "layout", "free"}
+AMBIGUOUS = {"nav", "notice", "notices", "promotion", "overlay", "skip", "tags", "site", "sharing", "login", "consent"}
+PART = re.compile(r"[-_:.]+|(?<=[a-z0-9])(?=[A-Z])")
 NOISE_OUTSIDE = {"header", "masthead", "topbar", "site", "logo", "branding"}
 
 TAG = re.compile(r"""<!--(?>.*?)(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']*(?>(?:"[^"]*"|'[^']*')[^>"']*)*))>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -50,6 +56,12 @@ class Node:
         self.density = self.total = 0.0
 
 
+def compound_noise(token: str) -> bool:
+    """Whether a name of several parts (ad-slot, comments_area, relatedPosts) has one that marks noise."""
+    parts = {x.lower() for x in PART.split(token) if x}
+    return len(parts) > 1 and bool(parts & (NOISE - AMBIGUOUS)) and not parts & NEGATED
+
+
 def is_noise(tag: str, attributes: str, in_article: bool) -> bool | set[str]:
     """Whether an element is no text by its tag, role or style; the tokens if only its class or id says so."""
     if tag in DROPPED or (tag == "header" and not in_article):
@@ -62,6 +74,7 @@ def is_noise(tag: str, attributes: str, in_article: bool) -> bool | set[str]:
         if name in ("class", "id"):
             tokens = set(value.lower().split())
             suspect |= tokens & NOISE if in_article else tokens & (NOISE | NOISE_OUTSIDE)
+            suspect |= {token for token in value.split() if compound_noise(token)}
         elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
@@ -242,6 +255,32 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def is_link_list(node: Node) -> bool:
+    """Three links or more that make up most of the text."""
+    return node.link_tags > 2 and 2 * node.link_chars > node.chars
+
+
+def join_by_links(best: Node, taken: set[int]) -> None:
+    """Takes the whole article element around the best node, its lists of links made noise; without one, the sections beside the best node or around it."""
+    path = [best]
+    while (up := path[-1].parent) is not None:
+        path.append(up)
+    articles = [x for x in path if x.tag == "article"]
+    if articles:
+        taken.add(id(articles[-1]))
+        todo = [articles[-1]]
+        while todo:
+            for c in todo.pop().children:
+                if isinstance(c, Node) and not c.noise:
+                    c.noise = is_link_list(c) and c not in path
+                    todo.append(c)
+        return
+    for x in path:
+        if x.tag == "section":
+            beside = [c for c in x.parent.children if isinstance(c, Node) and not c.noise and c.tag in ("section", "figure") and c.chars]
+            taken.update(id(c) for c in beside if not is_link_list(c))
+
+
 def content_roots(root: Node) -> list[Node]:
     mute(root)
     order = measure(root)
@@ -261,6 +300,7 @@ def content_roots(root: Node) -> list[Node]:
         if node is not best and node.density >= least and node.chars:
             taken.add(id(top[id(node)]))
             todo.extend(c for c in node.children if isinstance(c, Node) and not c.noise)
+    join_by_links(best, taken)
     chosen, todo = [], [root]
     while todo:
         node = todo.pop()

@@ -270,6 +270,48 @@ def test_html_density_decides_with_and_without_article_markup(tag):
     assert html_extract.main_text(page) == "\n".join([TEXT, "More", TEXT, TEXT])
 
 
+SECTIONS = f"<section><h2>One</h2>{BODY}</section><section><h2>Two</h2><p>Short one.</p></section><figure><img src=x><figcaption>Caption</figcaption></figure>"
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "main"])
+def test_html_keeps_all_sections_of_an_article(tag):
+    menu = "<div><a href=x>home</a></div>"
+    assert html_extract.main_text(f"<body>{menu}<{tag}>{SECTIONS}</{tag}>{menu}</body>") == f"One\n{TEXT}\nTwo\nShort one.\nCaption"
+    links = "<ul>" + "".join(f"<li><a href={k}>see page {k}</a></li>" for k in range(9)) + "</ul>"
+    page = f"<body><article><h1>Title</h1><p>Lead.</p>{links}<div><div>{BODY}</div><p>By <a href=y>some one</a></p></div><h2>Last</h2><ul><li>one</li><li>two</li></ul></article></body>"
+    assert html_extract.main_text(page) == f"Title\nLead.\n{TEXT}\nBy some one\nLast\none\ntwo"
+
+
+@pytest.mark.parametrize("name", ["comments-area", "comment-list", "ad-slot", "related-posts", "newsletter-signup", "adSlot top", "share_buttons", "post__comments", "reader-comments", "cookie-banner"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_html_compound_names_are_noise(name, tag):
+    noise = f'<div class="{name}"><p>Something that is no part of what the article says.</p></div>'
+    assert html_extract.main_text(f"<body><{tag}>{BODY}{noise}</{tag}>{noise}</body>") == TEXT
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-comments", "ad-free", "comments-open layout", "content-sidebar-wrap", "post-header-image", "with-related"])
+def test_html_compound_names_do_not_mute_the_page(name):
+    assert html_extract.main_text(f'<body><div class="{name}"><article>{BODY}</article></div></body>') == TEXT
+    assert html_extract.main_text(f'<body><div class="{name}">{BODY}</div><p class="ad">buy</p></body>') == TEXT
+
+
+def test_html_inline_elements_do_not_split_a_block():
+    assert html_extract.main_text(f"<body><article>{BODY}<p>Use <label>this label</label> here, <math><mi>x</mi><mo>+</mo><mn>1</mn></math> too.</p></article></body>") == TEXT + "\nUse this label here, x+1 too."
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_html_pages_equal_their_articles(spark, tag):
+    """Every page of the small tables: the text of its article element, also where that is a div like any other."""
+    import html
+    import re
+
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r["html"]]
+    for page in pages:
+        inner = re.search("<article>(.*)</article>", page, re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|h1)>", inner.replace("<br>", " ")))
+        assert html_extract.main_text(page.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag}>")) == "\n".join(b for b in blocks if b)
+
+
 def test_ann_against_brute_force(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=(30, 16))[rng.integers(0, 30, 3000)] + 0.1 * rng.normal(size=(3000, 16)), np.ones((500, 16))])
