@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import stored, table
 
 #: A line is boilerplate if it stands on this many distinct sites.
 MIN_SITES = 10
@@ -48,7 +48,7 @@ def boilerplate_lines(
     lines = placed.select("__site", "__h", "__g")
     # An estimate is off by less than a tenth plus two, six standard errors; beyond that it decides.
     low, high = min_sites * 0.9 - 2, min_sites * 1.1 + 2
-    estimated = cut(
+    estimated = stored(
         placed.groupBy("__h", "__g")
         .agg(F.hll_sketch_agg("__site", F.lit(LG_K)).alias("__sketch"), *first)
         .select(*key, F.hll_sketch_estimate("__sketch").alias("__sites"))
@@ -56,8 +56,8 @@ def boilerplate_lines(
     )
     near = estimated.where(F.col("__sites") <= high).select(*key)
     exact = (
-        lines.distinct()  # a line of one site leaves a task once
-        .join(near, ["__h", "__g"])
+        lines.join(near, ["__h", "__g"])  # few keys of a table of known size: only their lines are dealt by site
+        .distinct()
         .groupBy(*key)
         .agg(F.count("__site").alias("__sites"))
         .where(F.col("__sites") >= min_sites)
