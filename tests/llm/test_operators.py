@@ -137,6 +137,46 @@ def test_license_scan_of_official_texts(spark):
     assert [list(r["license_sentences"]) for r in license_scan.scan_licenses(rows).collect()] == [[], [], [], ["all_rights"], []]
 
 
+def licences(spark, *texts):
+    rows = license_scan.scan_licenses(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")).orderBy("k").collect()
+    return [[x["licence"] for x in r["license_rules"]] for r in rows]
+
+
+def test_license_scan_bsd_clause_with_any_name(spark):
+    named = [BSD.replace("the copyright holder", n) for n in ("the University", "Some One, Inc.\n   and others", "the <organization>")]
+    author = BSD.replace("Neither the name of the copyright holder nor the names of its\n   contributors may be used", "The name of the author may not be used")
+    odd = BSD.replace("may be used to endorse", "shall in no case endorse")
+    two = BSD[: BSD.index("3. Neither")]
+    assert licences(spark, *named, author, odd, two) == [["BSD-3-Clause", "Proprietary"]] * 4 + [["BSD", "Proprietary"], ["BSD-2-Clause", "Proprietary"]]
+
+
+def test_license_scan_notices_and_tags(spark):
+    gpl2 = GPL.replace("either version 3", "either version 2")
+    lgpl = GPL.replace("This program is free", "This library is free").replace("GNU General Public License as", "GNU Lesser General Public License as").replace("version 3", "version 2.1")
+    agpl = GPL.replace("GNU General Public License as", "GNU Affero General Public License as")
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    tags = ["# SPDX-License-Identifier: Apache-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "/* SPDX-License-Identifier: MIT */", "SPDX-License-Identifier: Unknown-1.0"]
+    lines = ["This project is licensed under the MIT License - see the LICENSE file for details.", "This is free and unencumbered software released into the public domain.", "Released under the BSD 3-Clause License", "Distributed under the terms of the Mozilla Public License, version 2.0."]
+    want = [["GPL-2.0-or-later"], ["LGPL-2.1-or-later"], ["AGPL-3.0-or-later"], ["ISC"], ["Apache-2.0"], ["GPL-2.0-or-later"], ["MIT"], [], ["MIT"], ["Unlicense"], ["BSD-3-Clause"], ["MPL-2.0"]]
+    assert licences(spark, gpl2, lgpl, agpl, isc, *tags, *lines) == want
+
+
+def test_license_scan_equals_its_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    comment = lambda s: "/*\n" + "\n".join(f" * {x.strip()}".rstrip() for x in s.split("\n")) + "\n */\nint main;"
+    texts = [None, "", "licence " * 9_000, "a. all rights reserved", "The MIT license. The MIT License. permission\n\n\nMIT License", "(c) ... all rights reserved ...", "1. MIT license\nb) Apache License,\nVersion 2.0\n"]
+    texts += [f(t) for t in (MIT, BSD, BSD.replace("the copyright holder", "the University"), BSD.replace("may be used", "x"), APACHE, GPL, MPL) for f in (str, comment, lambda s: s.replace("\n", "\r\n"), lambda s: " ".join(s.split()), lambda s: s + "\n" + s)]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = con.execute(license_scan.oracle()).fetchall()
+    rows = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = [(r["doc_id"], len(r["license_sentences"]), ",".join(r["license_sentences"]), ",".join(x["rule"] for x in r["license_rules"]), ",".join(dict.fromkeys(x["licence"] for x in r["license_rules"]))) for r in rows]
+    assert sorted(got) == sorted(want) and sum(1 for r in got if r[1]) > 30
+
+
 def test_byte_bpe_equals_tiktoken(docs, empty):
     import base64
 
