@@ -11,7 +11,7 @@ members that a range's end cuts at such a place are put together in a second, sm
 from __future__ import annotations
 
 import base64
-import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -140,12 +140,11 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives at ``path`` (a folder, file or glob of concatenated gzip members), as RECORD.
 
-    Archives that end in .gz, which Spark hands over unpacked and unsplit, are read by ``read_unpacked``. Archives of other
-    names are split. Damaged members are skipped. A record is held whole while it is decoded, so payloads have to fit in a task's memory.
+    Archives of every name are split, those that end in .gz too (see ``byte_ranges``). Damaged members are skipped. A record is
+    held whole while it is decoded, so payloads have to fit in a task's memory.
     """
     pieces = (
-        spark.read.option("lineSep", "\u001f\u008b\u0008").option("encoding", "ISO-8859-1").text(path)
-        .where(~F.col("_metadata.file_name").endswith(".gz"))
+        byte_ranges(spark, path, "\u001f\u008b\u0008")
         .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
     )
     none = [None] * len(RECORD.split(","))
@@ -200,47 +199,22 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     names = [x.split()[0] for x in RECORD.split(", ")]
     whole = read.where(F.col("file").isNull()).select(*names)
     cut_up = read.where(F.col("file").isNotNull()).select("file", "start", "head", "tail", "opened").groupBy("file").applyInPandas(stitch, RECORD)
-    return whole.unionByName(cut_up).unionByName(read_unpacked(spark, path))
+    return whole.unionByName(cut_up)
 
 
-def read_unpacked(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the archives below ``path`` that end in .gz. Spark unpacks such a file in one task, as a stream that never is in memory whole.
+def byte_ranges(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """The bytes at ``path``, a row between two separators, split into ranges whatever the files are called.
 
-    The stream is cut before version lines; where a record's own text has one, pieces are joined until its length is reached.
+    By its suffix a .gz file would be unpacked, by one task from its start. So where there are such files, all get names without
+    one, as links of a file system view (viewfs) that only this reader's options define; executors follow the links.
     """
-    gap = b"\r\n\r\nWARC/1."
-    pieces = spark.read.option("lineSep", gap.decode()).option("encoding", "ISO-8859-1").option("pathGlobFilter", "*.gz").text(path)
-    pieces = pieces.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
-    names = [x.split()[0] for x in RECORD.split(", ")]
-
-    def missing(data: bytes) -> int:
-        """Bytes that the record lacks; none for what is no record."""
-        head, _, rest = data.partition(b"\r\n\r\n")
-        size = re.search(rb"(?im)^content-length:\s*(\d+)", head)
-        return int(size[1]) - len(rest) if size else 0
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held, lacks = None, [], 0
-        for batch in batches:
-            out = []
-            for file, value in zip(batch["file"], batch["value"], strict=True):
-                if file != at:
-                    at, held, lacks = file, [], 0
-                    held = [value]
-                elif lacks > 0:
-                    held.append(gap + value)
-                    lacks -= len(gap) + len(value)
-                    if lacks > 0:
-                        continue
-                else:
-                    held = [b"WARC/1." + value]
-                if len(held) == 1:
-                    lacks = missing(held[0])
-                if lacks <= 0 and (record := parse_record(b"".join(held))):
-                    out.append(record)
-            yield pd.DataFrame(out, columns=names).astype({"payload_bytes": "Int64"})
-
-    return pieces.mapInPandas(scan, RECORD)
+    reader = spark.read.option("lineSep", separator).option("encoding", "ISO-8859-1")
+    files = spark.read.text(path).inputFiles()
+    if not any(f.endswith(".gz") for f in files):
+        return reader.text(path)
+    view = f"warc-{uuid.uuid4().hex}"
+    links = {f"fs.viewfs.mounttable.{view}.link./{k}": f for k, f in enumerate(files)}
+    return reader.options(**links).text([f"viewfs://{view}/{k}" for k in range(len(files))])
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

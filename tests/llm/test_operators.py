@@ -467,6 +467,29 @@ def test_components(spark):
     assert got == {k: 0 for k in range(31)} | {40: 40, 50: 40}
 
 
+def test_warc_gz_is_read_in_ranges(spark, tmp_path):
+    """One .warc.gz of many members, with damaged ones and the magic inside payloads: several tasks, each record once."""
+    payloads = {f"urn:{k}": (b"\x1f\x8b\x08 odd" if k % 7 == 0 else b"body ") + bytes(np.random.default_rng(k).integers(0, 256, 200 + 5 * k, dtype=np.uint8)) for k in range(150)}
+    folder = tmp_path / "some where"
+    folder.mkdir()
+    with open(folder / "a.warc.gz", "wb") as f:
+        for name, body in payloads.items():
+            f.write(warc.member("response", name, None, body, hashlib.sha1(body).hexdigest(), None))
+            f.write(b"\x1f\x8b\x08 no member" if name.endswith("3") else b"")
+    (folder / "b.warc").write_bytes(warc.member("response", "urn:b", None, b"b", hashlib.sha1(b"b").hexdigest(), None))
+    keys = {"spark.sql.files.maxPartitionBytes": "9000", "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        ranges = warc.byte_ranges(spark, str(folder), "\u001f\u008b\u0008").select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+        rows = warc.read_warc(spark, str(folder)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert ranges > 5 and len(rows) == 151 and {r["record_id"]: bytes(r["payload"]) for r in rows} == payloads | {"urn:b": b"b"}
+
+
 def test_warc_named_gz_and_repeated_rows_and_empty_table(spark, tmp_path):
     long = "<p>" + "x" * 2000 + "</p>"
     inner = "a\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\nb\r\n\r\nWARC/1.0"
