@@ -61,10 +61,11 @@ def concept_instances(rows: DataFrame, concepts: DataFrame, draw: rsp.Draw, surv
     )
 
 
-def build_survey_dataset(survey: Survey, draw: rsp.Draw, n_targets: int, n_respondents: int, detect_country: bool = True) -> DataFrame:
+def build_survey_dataset(survey: Survey, draw: rsp.Draw, n_targets: int, n_respondents: int, detect_country: bool = True, country_codes: list[str] | None = None) -> DataFrame:
     """Instances of drawn targets and respondents, regular and concept ones; ``target_concept`` is null for regular ones.
 
-    The variables of drawn concepts are no features. Options of country-specific questions are those of the respondent's country.
+    The variables of drawn concepts are no features. Options of country-specific questions are those of the respondent's country. These questions
+    are detected, or given by ``country_codes``: of these, codes that weren't drawn are named in a warning, and without any country all are passed over with one.
     The drawn targets, at most ``n_targets`` names, reach the driver.
     """
     variables, values = survey.variables, survey.values
@@ -80,10 +81,21 @@ def build_survey_dataset(survey: Survey, draw: rsp.Draw, n_targets: int, n_respo
     people = sample_respondents(survey.wide, n_respondents, draw.config.seed)
     chosen = rows.join(people, "respondent_id", "left_semi")
     options = None
-    if detect_country and regular:
+    if country_codes is not None:
+        listed = [c for c in dict.fromkeys(country_codes) if c in regular]
+        if unknown := [c for c in dict.fromkeys(country_codes) if c not in regular]:
+            log.warning("survey %s: country-specific codes that are no targets: %s", survey.name, ", ".join(unknown))
+        if listed and rows.where("country is not null").isEmpty():
+            log.warning("survey %s has no countries: country-specific codes are passed over", survey.name)
+            listed = []
+    if regular and (listed if country_codes is not None else detect_country):
         long = rows.select("respondent_id", "country", F.explode(F.filter("answers", lambda a: a["code"].isin(regular))).alias("a")).select("respondent_id", "country", "a.code", "a.raw", "a.label")
-        flagged = cty.country_specific(cty.option_spread(long, survey.wide)).where("country_specific").select("code")
-        options = cty.country_options(long, values).join(flagged, "code", "left_semi")
+        options = cty.country_options(long, values)
+        if country_codes is not None:
+            options = options.where(F.col("code").isin(listed))
+        else:
+            flagged = cty.country_specific(cty.option_spread(long, survey.wide)).where("country_specific").select("code")
+            options = options.join(flagged, "code", "left_semi")
     found = rsp.instances(chosen, regular, full, survey.name, country_options=options, pool_sections=sections).withColumn("target_concept", F.lit(None).cast("string"))
     if not wanted:
         return found

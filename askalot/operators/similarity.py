@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from ..functions.binding import let
 
 THRESHOLD = 0.7
 
@@ -18,7 +26,7 @@ def question_text(variables: DataFrame) -> DataFrame:
 
 
 def hashed_words(texts: pd.Series, size: int = 64) -> np.ndarray:
-    """The default vectors: counts of words by a hash, as no model is at hand."""
+    """Counts of words by a hash, for use where no model is at hand."""
     import zlib
 
     out = np.zeros((len(texts), size))
@@ -28,16 +36,35 @@ def hashed_words(texts: pd.Series, size: int = 64) -> np.ndarray:
     return out
 
 
-def embed(texts: DataFrame, embedder: Callable[[pd.Series], np.ndarray] = hashed_words, text: str = "text", factory: Callable[[], Callable] | None = None) -> DataFrame:
-    """Adds ``embedding`` (array<double>): batches of texts through ``embedder``, or one that ``factory`` makes once in each task, such as a loaded model."""
-    schema = texts.schema.simpleString()[7:-1] + ",embedding:array<double>"
+def embed(texts: DataFrame, embedder: Callable[[pd.Series], np.ndarray] | None = None, text: str = "text", factory: Callable[[], Callable] | None = None) -> DataFrame:
+    """Adds ``embedding`` (array<double>, replacing a column of that name): batches of texts through ``embedder``, or one that ``factory`` makes once in each task,
+    such as a loaded model. Without either, ``weighted_words``."""
+    if embedder is None and factory is None:
+        return weighted_words(texts, text)
+    rows = texts.drop("embedding")
+    schema = StructType([*rows.schema.fields, StructField("embedding", ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = factory() if factory else embedder
         for batch in batches:
             yield batch.assign(embedding=[v.tolist() for v in np.asarray(own(batch[text]), dtype=float)])
 
-    return texts.mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)
+
+
+def weighted_words(texts: DataFrame, text: str = "text", size: int = 64) -> DataFrame:
+    """Adds ``embedding``: counts of a text's words (lower case, by white space) in ``size`` buckets by hash, each times ln((n + 1) / (texts with the bucket + 1)).
+
+    Two passes over the texts: the first gives one number a bucket, whatever their number, which the second takes along as constants. A null text counts as empty.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")
+    buckets = F.transform(words, lambda w: (F.conv(F.substr(F.md5(w), F.lit(1), F.lit(8)), 16, 10).cast("long") % size).cast("int"))
+    n = texts.count()
+    found = texts.select(F.explode(F.array_distinct(buckets)).alias("bucket")).groupBy("bucket").count().collect()
+    with_bucket = {r["bucket"]: r["count"] for r in found}
+    weights = F.array(*[F.lit(math.log((n + 1) / (with_bucket.get(k, 0) + 1))) for k in range(size)])
+    counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(own, lambda x: x == k)) * F.get(weights, k))
+    return texts.withColumn("embedding", let(buckets, counts))
 
 
 def with_norm(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
@@ -51,16 +78,99 @@ def cosine(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
     return F.try_divide(dot, norm_a * norm_b)
 
 
+#: Targets whose vectors tasks take along as one matrix; more are paired by a join.
+MATRIX = 4_000
+#: Features that meet the matrix together.
+BLOCK = 1_000
+
+
+class Matrix:
+    """The targets' vectors, of one length, and their norms. Targets of another length, or without a whole vector, are near nothing."""
+
+    def __init__(self, rows: list[tuple]):
+        self.keys = [k for k, _ in rows]
+        self.width = Counter(len(v) for _, v in rows if v).most_common(1)[0][0] if any(v for _, v in rows) else 0
+        self.vectors = self.whole([v for _, v in rows])
+        self.norms = np.sqrt((self.vectors**2).sum(axis=1))
+
+    def whole(self, vectors: list) -> np.ndarray:
+        """Vectors as rows; those that can't be compared are zero, so that they have no similarity."""
+        out = np.zeros((len(vectors), self.width))
+        for k, v in enumerate(vectors):
+            if v is not None and len(v) == self.width and not any(x is None for x in v):
+                out[k] = v
+        return out
+
+    def scores(self, vectors: list) -> np.ndarray:
+        """Features by targets; NaN where a vector is zero."""
+        own = self.whole(vectors)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return own @ self.vectors.T / np.outer(np.sqrt((own**2).sum(axis=1)), self.norms)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            yield part.column(0).to_pylist(), part.column(1).to_pylist()
+
+
+def _sides(targets: DataFrame, features: DataFrame, key: str, embedding: str) -> tuple[Matrix | None, DataFrame]:
+    """The targets as a matrix, or None if they are too many; features that are no targets."""
+    few = targets.select(key, embedding).limit(MATRIX + 1).collect()
+    own = features.select(key, embedding).join(targets.select(key).distinct(), key, "left_anti")
+    return (Matrix([(r[0], r[1]) for r in few]) if len(few) <= MATRIX else None), own
+
+
 def similarities(targets: DataFrame, features: DataFrame, key: str = "code", embedding: str = "embedding") -> DataFrame:
     """(target, feature, similarity) of every target with every feature that is no target.
 
-    Targets are a few questions of a survey; each feature meets each of them, so the work is their product. For corpora, see the
-    index over vectors in the corpus operators.
+    Targets are a few questions of a survey: their vectors, ``MATRIX`` at most, go to the tasks, and blocks of features are multiplied with them. More targets are paired by a
+    join. Each feature meets each target, so the work is their product; for corpora, see the index over vectors in the corpus operators.
     """
-    t = with_norm(targets.select(key, embedding)).select(F.col(key).alias("target"), F.col(embedding).alias("__a"), F.col("__norm").alias("__na"))
-    own = features.select(key, embedding).join(targets.select(key).distinct(), key, "left_anti")
-    f = with_norm(own).select(F.col(key).alias("feature"), F.col(embedding).alias("__b"), F.col("__norm").alias("__nb"))
-    return f.crossJoin(t).select("target", "feature", cosine(F.col("__a"), F.col("__b"), F.col("__na"), F.col("__nb")).alias("similarity"))
+    matrix, own = _sides(targets, features, key, embedding)
+    if matrix is None:
+        t = with_norm(targets.select(key, embedding)).select(F.col(key).alias("target"), F.col(embedding).alias("__a"), F.col("__norm").alias("__na"))
+        f = with_norm(own).select(F.col(key).alias("feature"), F.col(embedding).alias("__b"), F.col("__norm").alias("__nb"))
+        return f.crossJoin(t).select("target", "feature", cosine(F.col("__a"), F.col("__b"), F.col("__na"), F.col("__nb")).alias("similarity"))
+    schema = StructType([StructField("target", targets.schema[key].dataType), StructField("feature", features.schema[key].dataType), StructField("similarity", DoubleType())])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(matrix.keys, kinds.field(0).type)
+        for keys, vectors in _blocks(batches):
+            scores = matrix.scores(vectors)
+            at = pa.array(np.tile(np.arange(len(names)), len(keys)))
+            of = pa.array(np.repeat(np.arange(len(keys)), len(names)))
+            flat = scores.reshape(-1)
+            yield pa.record_batch([names.take(at), pa.array(keys, kinds.field(1).type).take(of), pa.array(flat, mask=np.isnan(flat))], schema=kinds)
+
+    return own.mapInArrow(run, schema)
+
+
+def nearest_features(targets: DataFrame, features: DataFrame, k: int = 5, threshold: float = THRESHOLD, key: str = "code", embedding: str = "embedding") -> DataFrame:
+    """What ``leakage_report`` gives of ``similarities``, without a table of all pairs: each task keeps the ``k`` nearest features of each target (ties: the smaller key), and these are ranked."""
+    matrix, own = _sides(targets, features, key, embedding)
+    if matrix is None:
+        return leakage_report(similarities(targets, features, key, embedding), k, threshold)
+    schema = StructType([StructField("target", targets.schema[key].dataType), StructField("feature", features.schema[key].dataType), StructField("similarity", DoubleType())])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple]] = [[] for _ in matrix.keys]
+        for keys, vectors in _blocks(batches):
+            scores = matrix.scores(vectors)
+            for t, kept in enumerate(best):
+                column = scores[:, t]
+                least = kept[-1][0] if len(kept) == k else np.inf
+                near = np.flatnonzero(-column <= least)  # NaN is near nothing
+                if len(near) > k:
+                    near = near[-column[near] <= np.partition(-column[near], k - 1)[k - 1]]
+                best[t] = heapq.nsmallest(k, [*kept, *((-float(column[i]), keys[i]) for i in near)])
+        rows = [(matrix.keys[t], name, -score) for t, kept in enumerate(best) for score, name in kept]
+        yield pa.record_batch([pa.array([r[c] for r in rows], kinds.field(c).type) for c in range(3)], schema=kinds)
+
+    return leakage_report(own.mapInArrow(run, schema), k, threshold)
 
 
 def exclusions(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

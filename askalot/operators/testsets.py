@@ -49,35 +49,70 @@ def position_bias(tests: DataFrame) -> DataFrame:
     return tests.select(conditions).select("x.condition", "x.position").where("position is not null").groupBy("condition", "position").agg(F.count(F.lit(1)).alias("n"))
 
 
+def options_statistics(tests: DataFrame) -> DataFrame:
+    """(measure, value, n) of the rows of ``options_context``: processed, by reason; of the eligible ones by type, number of options and survey, and those with a reversed condition."""
+    ok = F.col("reason").isNull()
+    of = lambda c: F.when(ok, c).cast("string")
+    each = measures(
+        ("processed", "all", 1), ("eligibility", F.coalesce("reason", F.lit("eligible")), 1), ("option_type", of(F.col("option_type")), 1), ("n_options", of(F.size("shown")), 1),
+        ("survey", of(F.col("survey")), 1), ("with_reversed", of(F.when(F.col("reversed_index").isNotNull(), "all")), 1),
+    )
+    return tests.select(each).where("x.value is not null").groupBy("x.measure", "x.value").agg(F.sum("x.n").alias("n"))
+
+
 #: Orderings that are tried until one is neither the original nor its reverse: windows of the same digest.
 TRIES = 11
 
 
+def _window(keyed: Column, k: Column) -> Column:
+    """The items in the order of the k-th window of their digests."""
+    cut = F.transform(keyed, lambda y: F.struct(F.substr(y["digest"], 2 * k + 1, F.lit(12)).alias("w"), y["item"].alias("item")))
+    return F.transform(F.array_sort(cut), lambda x: x["item"])
+
+
+def ordering_by_seed(items: Column, seed: Column) -> Column:
+    """The items in the order that a recorded seed names: what stands before the last '#' is hashed with each item, the number behind it is the window."""
+    base, k = F.regexp_replace(seed, "#[0-9]+$", ""), F.substring_index(seed, "#", -1).cast("int")
+    return _window(F.transform(items, lambda x: F.struct(F.md5(F.concat_ws("|", base, x)).alias("digest"), x.alias("item"))), k)
+
+
 def random_ordering(items: Column, example_id: Column, i: int, seed: int) -> Column:
-    """The items by hash; of TRIES orderings the first that differs from the original and its reverse, else the last."""
+    """(ordering, seed): the items by hash; of TRIES orderings the first that differs from the original and its reverse, else the last. The seed makes it again."""
 
     keyed = F.transform(items, lambda x: F.struct(order_key(seed, example_id, i, x).alias("digest"), x.alias("item")))
     fresh = lambda p: (p != items) & (p != F.reverse(items))
+    named = lambda ordering, k: F.struct(ordering.alias("ordering"), F.concat_ws("|", F.lit(str(seed)), example_id, F.concat(F.lit(f"{i}#"), k.cast("string"))).alias("seed"))
 
     def pick(own: Column) -> Column:
-        def by(k: Column) -> Column:
-            cut = F.transform(own, lambda y: F.concat(F.substr(y["digest"], 2 * k + 1, F.lit(12)), y["item"]))
-            return F.transform(F.array_sort(cut), lambda x: F.substr(x, F.lit(13)))
-
-        tried = F.transform(F.sequence(F.lit(1), F.lit(TRIES - 1)), by)
-        others = lambda: let(tried, lambda t: F.coalesce(F.try_element_at(F.filter(t, fresh), F.lit(1)), F.element_at(t, -1)))
-        return let(by(F.lit(0)), lambda first: F.when(fresh(first), first).otherwise(others()))  # the first nearly always does
+        tried = F.transform(F.sequence(F.lit(1), F.lit(TRIES - 1)), lambda k: named(_window(own, k), k))
+        others = lambda: let(tried, lambda t: F.coalesce(F.try_element_at(F.filter(t, lambda x: fresh(x["ordering"])), F.lit(1)), F.element_at(t, -1)))
+        return let(_window(own, F.lit(0)), lambda first: F.when(fresh(first), named(first, F.lit(0))).otherwise(others()))  # the first nearly always does
 
     return let(keyed, pick)
 
 
-def feature_orderings(instances: DataFrame, items: Column, seed: int = 42) -> DataFrame:
-    """(example_id, options, n_features, name, ordering) of instances with three or more features whose answer is an option: original, reversed, two by hash, a third from five features on."""
-    kept = instances.withColumn("__items", items).where((F.size("__items") >= 3) & (F.size("options") >= 2) & F.array_contains("options", F.col("answer")))
+def ordering_reason(items: Column, options: Column, answer: Column) -> Column:
+    """Why an instance gets no orderings; null if it does."""
+    n = F.size(items)
+    return (
+        F.when(items.isNull(), "questions_not_dict").when(n < 3, F.concat(F.lit("insufficient_features_"), n.cast("string"))).when(options.isNull() | (F.size(options) < 2), "insufficient_options")
+        .when(~F.coalesce(F.array_contains(options, answer), F.lit(False)), "ground_truth_not_in_options")
+    )
+
+
+def feature_orderings(instances: DataFrame, items: Column, seed: int = 42, ineligible: bool = False) -> DataFrame:
+    """(example_id, survey, options, n_features, reason, name, ordering, seed) of instances with three or more features whose answer is an option: original, reversed, two by hash, a third from five features on.
+
+    ``seed`` is null for the first two. With ``ineligible``, the other instances come too, one row each with a ``reason`` and no ordering.
+    """
+    rows = instances.withColumn("__items", items).withColumn("reason", ordering_reason(F.col("__items"), F.col("options"), F.col("answer")))
     x, n = F.col("__items"), F.size("__items")
-    named = [("original", x), ("reversed", F.reverse(x)), *((f"random_{i}", random_ordering(x, F.col("example_id"), i, seed)) for i in (1, 2)), ("random_3", F.when(n >= 5, random_ordering(x, F.col("example_id"), 3, seed)))]
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), o.alias("ordering")) for name, o in named])).alias("__o")
-    return kept.select("example_id", "options", n.alias("n_features"), each).select("example_id", "options", "n_features", "__o.name", "__o.ordering").where("ordering is not null")
+    fixed = lambda ordering: F.struct(ordering.alias("ordering"), F.lit(None).cast("string").alias("seed"))
+    named = [("original", fixed(x)), ("reversed", fixed(F.reverse(x))), *((f"random_{i}", random_ordering(x, F.col("example_id"), i, seed)) for i in (1, 2)), ("random_3", F.when(n >= 5, random_ordering(x, F.col("example_id"), 3, seed)))]
+    every = F.filter(F.array(*[F.when(o.isNotNull(), F.struct(F.lit(name).alias("name"), o.alias("o"))) for name, o in named]), lambda e: e.isNotNull())
+    keep = ["example_id", "survey", "options", n.alias("n_features"), "reason"]
+    each = rows.select(*keep, F.explode_outer(F.when(F.col("reason").isNull(), every)).alias("e"))
+    return (each if ineligible else each.where("e is not null")).select("example_id", "survey", "options", "n_features", "reason", "e.name", "e.o.ordering", "e.o.seed")
 
 
 def sample(rows: DataFrame, n: int, seed: int, key: str = "example_id") -> DataFrame:
@@ -124,3 +159,10 @@ def ordering_statistics(instances: DataFrame, orderings: DataFrame) -> DataFrame
     each = measures(("eligible", "all", 1), ("n_features", F.col("f"), 1), ("orderings", "all", F.col("k")), ("n_orderings", F.col("k"), 1))
     counted = per.select(each).groupBy("x.measure", "x.value").agg(F.sum("x.n").alias("n"))
     return counted.unionByName(instances.agg(F.count(F.lit(1)).alias("n")).select(F.lit("processed").alias("measure"), F.lit("all").alias("value"), "n"))
+
+
+def ordering_summary(orderings: DataFrame) -> DataFrame:
+    """(survey, n_instances, n_orderings, avg_orderings) of the rows of ``feature_orderings``, and of all surveys together with a null survey."""
+    per = orderings.where("ordering is not null").groupBy("survey", "example_id").agg(F.count(F.lit(1)).alias("k"))
+    total = [F.count(F.lit(1)).alias("n_instances"), F.sum("k").alias("n_orderings"), F.round(F.avg("k"), 6).alias("avg_orderings")]
+    return per.rollup("survey").agg(*total)

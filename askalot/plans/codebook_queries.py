@@ -221,10 +221,17 @@ def sim_1_texts(spark, d):
 
 def sim_2_embed(spark, d):
     """Vectors by hashed words of every question; their sums count the words."""
-    rows = sim.embed(sim.question_text(parts.codebook(spark, d)[0]))
+    rows = sim.embed(sim.question_text(parts.codebook(spark, d)[0]), sim.hashed_words)
     return rows.select("code", "text", F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x).cast("long").alias("n_words"))
 
 
+def sim_2_weighted(spark, d):
+    """The default vectors of questions: each entry's position and value where it isn't zero."""
+    rows = sim.embed(sim.question_text(parts.codebook(spark, d)[0]).dropDuplicates(["code", "text"]))
+    each = rows.select("code", "text", F.posexplode("embedding").alias("position", "value")).where("value <> 0")
+    return each.select("code", F.md5("text").alias("text"), F.col("position").cast("long").alias("position"), F.round("value", 6).alias("value"))
+
+
 def sim_3_exclusions(spark, d):
     found = sim.exclusions(sim.similarities(*vectors(spark, d)), 0.3)
     return found.select(F.col("target_code").alias("target"), F.array_join("excluded", "|").alias("excluded"))
@@ -236,7 +243,7 @@ def sim_4_scores(spark, d):
 
 
 def sim_5_report(spark, d):
-    return sim.leakage_report(sim.similarities(*vectors(spark, d)), 5, 0.3).select("target", "rank", "feature", "excluded")
+    return sim.nearest_features(*vectors(spark, d), 5, 0.3).select("target", "rank", "feature", "excluded")
 
 
 def sim_6_keywords(spark, d):
@@ -253,7 +260,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         cln_4_normalise, cln_5_apostrophes, cln_6_category_key, cln_7_deny_list, cln_8_nested, cln_10_base_name, cbk_1_structure, cbk_1_files, cbk_2_artifacts, cbk_2_documents, cbk_3_severity, cbk_4_statistics,
         cbk_5_recommendations, cbk_7_labels, cbk_7_open_text, cbk_7_summary, cbk_8_alignment, cbk_10_compare, cbk_11_scale_key, cbk_12_mapping, cbk_12_conflicts, cbk_13_apply, cbk_14_collapse, cbk_15_enrich, cbk_15_random, cbk_16_category,
-        cbk_17_clean, src_11_chunks, src_12_merge, sim_1_texts, sim_2_embed, sim_3_exclusions, sim_4_scores, sim_5_report, sim_6_keywords, sim_7_counts,
+        cbk_17_clean, src_11_chunks, src_12_merge, sim_1_texts, sim_2_embed, sim_2_weighted, sim_3_exclusions, sim_4_scores, sim_5_report, sim_6_keywords, sim_7_counts,
     )
 }
 
@@ -346,6 +353,9 @@ mapping AS (SELECT scale, arg_min(adjusted, pos) AS mapped FROM recs GROUP BY sc
         "src_12_merge": f"{with_} SELECT survey, section, code, max(var_pos % 10) AS chunk FROM part_vars GROUP BY 1, 2, 3",
         "sim_1_texts": f"{with_} SELECT code, {text} AS text FROM part_vars",
         "sim_2_embed": f"{with_} SELECT code, {text} AS text, len(list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> '')) AS n_words FROM part_vars",
+        "sim_2_weighted": f"""{with_}, t AS (SELECT DISTINCT code, {text} AS text FROM part_vars), w AS (SELECT code, text, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS word FROM t),
+            b AS (SELECT code, text, ('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS position, count(*) AS n FROM w GROUP BY ALL), f AS (SELECT position, count(*) AS df FROM b GROUP BY 1)
+            SELECT code, md5(text) AS text, position, round(n * ln(((SELECT count(*) FROM t) + 1) / (df + 1)), 6) AS value FROM b JOIN f USING (position) WHERE df < (SELECT count(*) FROM t)""",
         "sim_3_exclusions": f"{vec} SELECT target, string_agg(feature, '|' ORDER BY feature) AS excluded FROM s WHERE similarity >= 0.3 GROUP BY 1",
         "sim_4_scores": f"{vec} SELECT target, feature, round(similarity, 5) AS similarity FROM s WHERE target = 0 UNION ALL SELECT t.code, f.code, round(CASE WHEN list_dot_product(f.e, f.e) > 0 THEN list_cosine_similarity(t.e, f.e) END, 5) FROM v t, v f WHERE t.code = 0 AND f.code % 50 = 0 AND f.code <> 0",
         "sim_5_report": f"{vec} SELECT target, rank::INT AS rank, feature, similarity >= 0.3 AS excluded FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY similarity DESC, feature) AS rank FROM s WHERE similarity IS NOT NULL) WHERE rank <= 5",

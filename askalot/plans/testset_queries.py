@@ -107,6 +107,26 @@ def ord_1_orderings(spark, d):
     return orderings(spark, d).select("example_id", "n_features", "name", F.array_join("ordering", "|").alias("ordering"))
 
 
+def ord_1_reasons(spark, d):
+    """Instances whose options are cut to two: some answers are no option then. With their reason, none left out."""
+    rows = tst.feature_orderings(instances(spark, d).withColumn("options", F.slice("options", 1, 2)), items(), ineligible=True)
+    return rows.groupBy("example_id", "reason").agg(F.count("ordering").alias("n"))
+
+
+def ord_1_seeds(spark, d):
+    """The random orderings with their seeds, made again from these."""
+    rows = orderings(spark, d).where("seed is not null").join(instances(spark, d).select("example_id", items().alias("items")), "example_id")
+    return rows.select("example_id", "name", "seed", (tst.ordering_by_seed(F.col("items"), F.col("seed")) == F.col("ordering")).alias("again"))
+
+
+def ord_4_summary(spark, d):
+    return tst.ordering_summary(orderings(spark, d))
+
+
+def opt_6_statistics(spark, d):
+    return tst.options_statistics(tst.options_context(instances(spark, d)))
+
+
 def predictions(spark, d) -> DataFrame:
     """An answer for each ordering by a rule, as a stand-in for a model: the length of the first question picks an option."""
     rows = orderings(spark, d).withColumn("k", F.length(F.element_at("ordering", 1)))
@@ -138,7 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         cln_1_composite, cln_2_dedup_ids, cln_3_validate, prf_16_levels, prf_17_nested, cty_7_concept, cty_10_resolve, cty_12_coverage, ins_12_summary, fmt_1_formats,
-        sft_1_eligibility, sft_3_index, opt_4_conditions, opt_6_position_bias, ord_1_orderings, ord_5_consistency, evl_1_accuracy, smp_1_simple, smp_3_by_type, smp_4_by_size,
+        sft_1_eligibility, sft_3_index, opt_4_conditions, opt_6_position_bias, opt_6_statistics, ord_1_orderings, ord_1_reasons, ord_1_seeds, ord_4_summary, ord_5_consistency, evl_1_accuracy, smp_1_simple, smp_3_by_type, smp_4_by_size,
     )
 }
 
@@ -192,6 +212,7 @@ ranked AS (SELECT d.respondent_id, d.code, p.section, row_number() OVER (PARTITI
 con1 AS (SELECT * FROM con0 WHERE country IN (SELECT country FROM wide)),
 con AS (SELECT 'brand_voted' AS concept, country, code, row_number() OVER (PARTITION BY country ORDER BY var_pos) - 1 AS pos FROM con1 WHERE (SELECT count(DISTINCT country) FROM con1) >= 3)"""
     opt, order = option_ctes(), ordering_ctes()
+    windows = "list_transform(list_sort(list_transform(items, lambda x: substr(md5(base || '|' || x), 2 * k + 1, 12) || x)), lambda y: substr(y, 13))"
     key = "md5('42|' || example_id)"
     lines = {
         "qa": "'Q: ' || question || chr(10) || 'A: ' || label", "interview": "'Interviewer: ' || question || chr(10) || 'Respondent: ' || label", "bullet": "'- ' || question || ': ' || label",
@@ -220,6 +241,14 @@ con AS (SELECT 'brand_voted' AS concept, country, code, row_number() OVER (PARTI
         "opt_4_conditions": f"{opt} SELECT example_id, option_type, reason, natural_index, reversed_index, shown FROM opts4",
         "opt_6_position_bias": f"""{opt} SELECT 'shown_natural' AS condition, natural_index AS position, count(*) AS n FROM opts4 WHERE natural_index IS NOT NULL GROUP BY 2
             UNION ALL SELECT 'shown_reversed', reversed_index, count(*) FROM opts4 WHERE reversed_index IS NOT NULL GROUP BY 2""",
+        "opt_6_statistics": f"""{opt}, s AS (SELECT o.*, len(string_split(shown, '|')) AS k FROM opts4 o), e AS (SELECT * FROM s WHERE reason IS NULL)
+            SELECT 'processed' AS measure, 'all' AS value, count(*) AS n FROM s UNION ALL SELECT 'eligibility', coalesce(reason, 'eligible'), count(*) FROM s GROUP BY 2 UNION ALL SELECT 'option_type', option_type, count(*) FROM e GROUP BY 2
+            UNION ALL SELECT 'n_options', CAST(k AS VARCHAR), count(*) FROM e GROUP BY 2 UNION ALL SELECT 'survey', 'star', count(*) FROM e UNION ALL SELECT 'with_reversed', 'all', count(*) FROM e WHERE reversed_index IS NOT NULL""",
+        "ord_1_reasons": f"""{order}, r AS (SELECT example_id, len(items) AS k, CASE WHEN len(items) < 3 THEN 'insufficient_features_' || len(items) WHEN len(options[1:2]) < 2 THEN 'insufficient_options'
+            WHEN NOT list_contains(options[1:2], answer) THEN 'ground_truth_not_in_options' END AS reason FROM ins) SELECT example_id, reason, CASE WHEN reason IS NOT NULL THEN 0 WHEN k >= 5 THEN 5 ELSE 4 END AS n FROM r""",
+        "ord_1_seeds": f"""{order}, s AS (SELECT example_id, name, items, ordering, '42|' || example_id || '|' || right(name, 1) AS base FROM ord JOIN fit USING (example_id) WHERE name LIKE 'random%')
+            SELECT example_id, name, base || '#' || coalesce(list_position([{windows} = ordering AND ({windows} <> items AND {windows} <> list_reverse(items) OR k = {tst.TRIES - 1}) FOR k IN range({tst.TRIES})], true) - 1, -1) AS seed, true AS again FROM s""",
+        "ord_4_summary": f"{order} SELECT survey, count(*) AS n_instances, sum(k) AS n_orderings, round(avg(k), 6) AS avg_orderings FROM (SELECT 'star' AS survey, example_id, count(*) AS k FROM ord GROUP BY 2) GROUP BY ROLLUP (survey)",
         "ord_1_orderings": f"{order} SELECT example_id, n_features, name, array_to_string(ordering, '|') AS ordering FROM ord",
         "ord_5_consistency": f"""{order}, cnt AS (SELECT example_id, prediction, count(*) AS n, min(pos) AS pos FROM pred GROUP BY ALL),
             best AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY n DESC, pos) AS r, count(*) OVER (PARTITION BY example_id) AS n_unique FROM cnt)

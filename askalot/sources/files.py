@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,28 +37,54 @@ def fitting_encoding(spark: SparkSession, path: str, encodings: tuple[str, ...]
     return encodings[-1]
 
 
-def read_survey_files(spark: SparkSession, paths: list[str], encoding: str | None = "UTF-8", skip_errors: bool = True) -> DataFrame:
-    """The union of files whose columns may differ, with ``_source_file``. Without an ``encoding`` each file gets the first that fits.
-
-    With ``skip_errors`` a path that can't be read is left out with a warning; no path, or none that can be read, is an error. Broken blocks
-    inside a file are Spark's ``spark.sql.files.ignoreCorruptFiles``.
-    """
+def _read_paths(spark: SparkSession, paths: list[str], read: Callable[[str], DataFrame]) -> DataFrame:
     found = None
     for p in paths:
-        try:
-            rows = read_survey_csv(spark, p, encoding or fitting_encoding(spark, p))
-        except AnalysisException:
-            if not skip_errors:
-                raise
-            log.warning("survey file %s is left out", p, exc_info=True)
-            continue
-        rows = rows.select("*", F.col("_metadata.file_name").alias("_source_file"))
+        rows = read(p).select("*", F.col("_metadata.file_name").alias("_source_file"))
         found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
-    if found is None:
-        raise ValueError("no survey files")
     return found
 
 
+def readable(spark: SparkSession, paths: list[str], read: Callable[[str], DataFrame]) -> tuple[list[str], dict[str, str]]:
+    """Of the paths those that can be read to their end, and the others with the reason. A file that breaks half-way counts as unreadable, as part of it would be no survey.
+
+    All are read by one distributed job; only where that fails halves are tried, so a broken one among n costs some log n jobs.
+    """
+    try:
+        _read_paths(spark, paths, read).write.format("noop").mode("overwrite").save()
+        return list(paths), {}
+    except Exception as e:  # whatever a format's reader raises, while it plans or runs
+        if len(paths) == 1:
+            return [], {paths[0]: next((x for x in str(e).splitlines() if x.strip()), type(e).__name__)}
+    good, lost = [], {}
+    for part in (paths[: len(paths) // 2], paths[len(paths) // 2 :]):
+        own, bad = readable(spark, part, read)
+        good, lost = good + own, lost | bad
+    return good, lost
+
+
+def read_survey_files(
+    spark: SparkSession, paths: list[str], encoding: str | None = "UTF-8", skip_errors: bool = True, format: str = "csv", ledger: dict[str, str] | None = None,
+) -> DataFrame:
+    """The union of files (csv, or any other ``format`` of Spark's) whose columns may differ, with ``_source_file``. Without an ``encoding`` each file gets the first that fits.
+
+    With ``skip_errors`` a path that can't be read, be it absent, malformed or broken half-way (a truncated gzip, a damaged Parquet page), is left out with a warning, and named
+    in ``ledger`` with the reason; for that, all files are read once beforehand. No path, or none that can be read, is an error.
+    """
+
+    def read(p: str) -> DataFrame:
+        return read_survey_csv(spark, p, encoding or fitting_encoding(spark, p)) if format == "csv" else spark.read.format(format).load(p)
+
+    good, lost = readable(spark, paths, read) if skip_errors and paths else (paths, {})
+    for p, reason in lost.items():
+        log.warning("survey file %s is left out: %s", p, reason)
+    if ledger is not None:
+        ledger.update(lost)
+    if not good:
+        raise ValueError("no survey files")
+    return _read_paths(spark, good, read)
+
+
 def load_codebook(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(variables, values) of JSON files {section: {code: {question, description, values}}}, in the files' order.
 

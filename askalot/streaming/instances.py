@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import codebook as cbk
 from ..operators import respondents as rsp
 from ..operators import testsets as tst
+from ..operators import variations as var
 
 
 def respondents(spark: SparkSession, path: str, schema: str, format: str = "json") -> DataFrame:
@@ -30,6 +31,11 @@ def option_tests(rows: DataFrame) -> DataFrame:
     return tst.generate_options_context(rows)
 
 
+def surface_tests(rows: DataFrame) -> DataFrame:
+    """Eligible surface-form tests of a stream of instances, none left out."""
+    return var.generate(rows, require_variations=False)
+
+
 def order_tests(rows: DataFrame, seed: int = 42) -> DataFrame:
     return tst.feature_orderings(rows, F.transform("questions", lambda x: F.concat(x["question"], F.lit("="), x["answer"])), seed)
 

@@ -208,3 +208,84 @@ def test_an_audit_runs_on_a_stream(spark, tmp_path):
     streams.write(found, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(60)
     got = {(r["k"], r["pattern_name"], r["severity"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(1, "showcard_instruction", "warning"), (1, "country_placeholder", "critical")}
+
+
+def test_files_that_break_while_they_are_read_are_named(spark, tmp_path):
+    """A truncated gzip and a damaged Parquet file among good ones: left out whole, with a reason."""
+    import gzip
+
+    whole = gzip.compress("id,Q1\n".encode() + b"".join(b"%d,%d\n" % (k, k * k * 7919 % 10007) for k in range(40_000)))
+    (tmp_path / "cut.csv.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "good.csv.gz").write_bytes(whole)
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text(f"id,Q{k}\nx{k},1\n")
+    paths = [str(tmp_path / n) for n in ("0.csv", "cut.csv.gz", "1.csv", "absent.csv", "good.csv.gz", "2.csv")]
+    ledger = {}
+    rows = files.read_survey_files(spark, paths, ledger=ledger)
+    assert rows.count() == 40_003 and set(ledger) == {paths[1], paths[3]} and all(ledger.values())
+    assert {r[0] for r in rows.select("_source_file").distinct().collect()} == {"0.csv", "1.csv", "2.csv", "good.csv.gz"}
+    with pytest.raises(ValueError, match="no survey files"):
+        files.read_survey_files(spark, [paths[1], paths[3]])
+    with pytest.raises(Exception):
+        files.read_survey_files(spark, paths[:2], skip_errors=False).collect()
+
+    for name in ("a", "b"):
+        spark.range(50_000).selectExpr("cast(id * 7919 % 10007 as string) id", "cast(rand(1) as string) Q1").coalesce(1).write.parquet(str(tmp_path / name))
+    part = next((tmp_path / "a").glob("part-*.parquet"))
+    data = bytearray(part.read_bytes())
+    data[200 : len(data) // 2] = bytes(len(data) // 2 - 200)  # its footer stays whole
+    part.write_bytes(data)
+    ledger = {}
+    rows = files.read_survey_files(spark, [str(tmp_path / "a"), str(tmp_path / "b")], format="parquet", ledger=ledger)
+    assert rows.count() == 50_000 and list(ledger) == [str(tmp_path / "a")]
+
+
+def test_surface_form_tests_on_a_stream_equal_those_of_a_batch(spark, tmp_path):
+    rows = survey_queries.instances(spark, "/root/testdata/sf0.001").cache()
+    rows.repartition(3).write.json(str(tmp_path / "in"))
+    arriving = streams.respondents(spark, str(tmp_path / "in"), files.INSTANCE.replace("\n", " "))
+    tests = streams.surface_tests(arriving)
+    streams.write(tests, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
+    names = ["example_id", "original", "synonym", "reorder", "pronoun", "rules", "has_synonym", "has_reorder", "has_pronoun", "ground_truth_index"]
+    show = lambda df: sorted(map(str, df.select(*names).collect()))
+    want = show(streams.surface_tests(rows))
+    assert show(spark.read.parquet(str(tmp_path / "out"))) == want and len(want) > 100
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_nearest_features_equal_all_pairs(spark, monkeypatch, k):
+    import random
+
+    deal = random.Random(3)
+    rows = [(f"c{n}", [float(deal.randint(-2, 2)) for _ in range(3)]) for n in range(60)] + [("none", None), ("short", [1.0]), ("zero", [0.0] * 3), ("hole", [1.0, None, 2.0])]
+    every = spark.createDataFrame(rows, "code string, embedding array<double>").repartition(5)
+    targets = every.where("code in ('c0', 'c1', 'c2', 'zero')")
+    small = similarity.similarities(targets, every)
+    key = lambda df: sorted((r["target"], r["feature"], None if r["similarity"] is None else round(r["similarity"], 9)) for r in df.collect())
+    near = lambda df: sorted((r["target"], r["rank"], r["feature"], r["excluded"]) for r in df.collect())
+    wanted, ranked = key(small), near(similarity.nearest_features(targets, every, k, 0.5))
+    scores = {(t, f): s for t, f, s in wanted if s is not None}
+    plain = [(t, r, f, scores[t, f] >= 0.5) for t in ("c0", "c1", "c2") for r, f in enumerate(sorted((f for u, f in scores if u == t), key=lambda f: (-scores[t, f], f))[:k], 1)]
+    assert ranked == sorted(plain) and len(wanted) == 4 * 60
+    monkeypatch.setattr(similarity, "MATRIX", 2)
+    assert near(similarity.nearest_features(targets, every, k, 0.5)) == ranked
+
+
+def test_embedded_columns_of_any_name(spark):
+    rows = spark.createDataFrame([("a b", 1, [2.0]), (None, 2, None)], "text string, `x:y,embedding int` int, embedding array<double>")
+    got = similarity.embed(rows, similarity.hashed_words).collect()
+    assert [sum(r["embedding"]) for r in got] == [2.0, 0.0] and [r[1] for r in got] == [1, 2]
+    weighed = similarity.embed(rows).collect()
+    assert [len(r["embedding"]) for r in weighed] == [64, 64] and sum(weighed[1]["embedding"]) == 0 and sum(weighed[0]["embedding"]) > 0
+
+
+def test_orderings_have_reasons_and_seeds(spark):
+    made = [("a", ["1", "2"], 3, ["x", "y"], "x"), ("b", None, None, ["x", "y"], "x"), ("c", [], 2, ["x", "y"], "x"), ("d", [], 3, ["x"], "x"), ("e", [], 6, ["x", "y"], "z"), ("f", [], 6, None, "x"), ("g", [], 6, ["x", "y"], "y"), ("h", [], 6, ["x", "y"], None)]
+    rows = spark.createDataFrame([(i, "s", None if n is None else [f"q{k}" for k in range(n)], o, a) for i, _, n, o, a in made], "example_id string, survey string, q array<string>, options array<string>, answer string")
+    got = tst.feature_orderings(rows, rows["q"], ineligible=True).collect()
+    reasons = {r["example_id"]: r["reason"] for r in got}
+    assert reasons == {"a": None, "b": "questions_not_dict", "c": "insufficient_features_2", "d": "insufficient_options", "e": "ground_truth_not_in_options", "f": "insufficient_options", "g": None, "h": "ground_truth_not_in_options"}
+    assert sorted(r["name"] for r in got if r["example_id"] == "g") == ["original", "random_1", "random_2", "random_3", "reversed"]
+    assert all((r["seed"] is None) == (r["name"] in (None, "original", "reversed")) for r in got)
+    again = tst.feature_orderings(rows, rows["q"]).where("seed is not null").join(rows.select("example_id", "q"), "example_id")
+    assert again.where(tst.ordering_by_seed(again["q"], again["seed"]) != again["ordering"]).count() == 0 and again.count() == 5

@@ -142,6 +142,29 @@ def test_row_local_plan_has_one_scan_of_the_survey_and_no_exchange(spark, small)
     plan = respondents.instances(rows, ["Q1"], respondents.Draw(CONFIG), "x")._jdf.queryExecution().executedPlan().toString()
     survey = plan[: plan.index("BroadcastExchange")]
     assert "Exchange hashpartitioning" not in survey and plan.count("FileScan parquet") == 1
+    # Sections and features are drawn once, also where targets have exclusions of their own or are concepts.
+    excluded = spark.createDataFrame([("Q1", ["AGE"])], "target_code string, excluded array<string>")
+    concepts = spark.createDataFrame([("c", "O", "Q1", 0)], "concept string, country string, code string, pos int")
+    draws = lambda df: df._jdf.queryExecution().executedPlan().toString().count("md5(")
+    own = respondents.Draw(CONFIG)
+    assert plan.count("md5(") == draws(respondents.instances(rows, ["Q1"], own, "x", exclusions=excluded)) == draws(builder.concept_instances(rows, concepts, own, "x")) == 2
+
+
+def test_a_given_list_of_country_questions_takes_the_place_of_detection(spark, small, caplog):
+    variables, values, _ = small
+    codes = ["AGE", "GENDER", "Q1", "Q2", "Q3"]
+    people = [(str(k), "AT" if k < 4 else "BE", "1", "M", "1" if k < 4 else "2", "12"[k % 2], "1") for k in range(8)]
+    wide = spark.createDataFrame(people, "respondent_id string, country string, " + ", ".join(f"{c} string" for c in codes))
+    build = lambda table, **how: builder.build_survey_dataset(builder.Survey("s", table, variables, values, codes), respondents.Draw(profiles.ProfileConfig(1, 1, 1)), 5, 8, **how)
+    options = lambda rows: {(r["target_code"], r["country"]): r["options"] for r in rows.collect()}
+    variables = variables.unionByName(spark.createDataFrame([("more", 2, "X", 5, "Another one?")], variables.schema))
+    wide = wide.withColumn("X", F.lit("1"))
+    codes = [*codes, "X"]
+    listed = options(build(wide, country_codes=["Q1", "NONE"]))
+    assert listed["Q1", "AT"] == ["Yes"] and listed["Q1", "BE"] == ["No"] and listed["Q2", "AT"] == ["High", "Low"] and "NONE" in caplog.text
+    assert options(build(wide, country_codes=[]))["Q1", "AT"] == ["Yes", "No"]
+    nowhere = wide.withColumn("country", F.lit(None).cast("string"))
+    assert options(build(nowhere, country_codes=["Q1"]))["Q1", None] == ["Yes", "No"] and "no countries" in caplog.text
 
 
 def test_failing_surveys_are_left_out(spark, small):
