@@ -3,196 +3,169 @@
 from __future__ import annotations
 
 
-def sections(text: str) -> list[tuple[str, str, str]]:
-    """(group, name, pattern) in order."""
-    found, group = [], ""
-    for line in text.strip().splitlines():
-        if line.startswith("[") and line.endswith("]") and ": " not in line:
-            group = line[1:-1]
-        else:
-            name, _, pattern = line.partition(": ")
-            found.append((group, name, pattern))
-    return found
-
-
-# Patterns, matched in any case.
-PATTERNS = sections(r"""
-[interviewer_instructions]
-showcard_instruction: \(?\s*SHOWCARD\s*\)?
-showcard_instruction: \[?\s*SHOW\s*CARD\s*\]?
-do_not_read: \[?\s*[Dd]o\s*not\s*read\s*[:\]]?
-do_not_read: \[?\s*DO\s*NOT\s*READ\s*[:\]]?
-do_not_read: \(?\s*[Dd]o\s*not\s*read\s*[:\)]?
-interviewer_note: \[?\s*[Ii]nterviewer\s*:?\s*[^\]]*\]?
-interviewer_note: \[?\s*INTERVIEWER\s*:?\s*[^\]]*\]?
-note_instruction: \[?\s*[Nn]ote\s*:?\s*[^\]]*\]?
-note_instruction: \[?\s*NOTE\s*:?\s*[^\]]*\]?
-instruction_note: \[?\s*[Ii]nstruction\s*:?\s*[^\]]*\]?
-read_aloud: \[?\s*[Rr]ead\s*out\s*[^\]]*\]?
-read_aloud: \[?\s*READ\s*OUT\s*[^\]]*\]?
-read_aloud: \(?\s*[Rr]ead\s*out\s*options?\s*\)?
-read_aloud: READ\s*EACH\s*ITEM
-single_answer_instruction: \(?\s*ONE\s*ANSWER\s*ONLY\s*\)?
-single_answer_instruction: \(?\s*[Oo]ne\s*answer\s*only\s*\)?
-multiple_answer_instruction: \[?\s*[Mm]ultiple\s*answers?\s*allowed\s*\]?
-probe_instruction: \[?\s*[Pp]robe\s*[^\]]*\]?
-probe_instruction: \[?\s*PROBE\s*[^\]]*\]?
-optional_marker: <\s*[Oo]ptional\s*>
-optional_marker: <\s*OPTIONAL\s*>
-gbs_marker: \[?\s*GBS\s*\]?
-coding_only_instruction: FOR\s*CODING\s*ONLY
-coding_only_instruction: [Ff]or\s*coding\s*only
-if_volunteered: \(?\s*if\s*volunteered\s*\)?
-if_volunteered: \(?\s*IF\s*VOLUNTEERED\s*\)?
-interviewer_assessment: ASSESSMENT\s*OF\s*THE\s*INTERVIEWEE
-interviewer_assessment: [Tt]ake\s*as\s*reference
-[placeholders]
-country_placeholder: \[country\s*name?\]
-country_placeholder: \[Country\s*Name?\]
-country_placeholder: \[COUNTRY\]
-country_placeholder: \[country\]
-country_placeholder: \[Country\s*X?\]
-country_placeholder: \(country\)
-country_placeholder: \(COUNTRY\)
-country_placeholder: \(Country\)
-country_placeholder: \(COUNTRY´S\)
-country_placeholder: \(COUNTRY'S\)
-country_placeholder: \(country's\)
-leader_placeholder: \[president\]
-leader_placeholder: \[President\]
-leader_placeholder: \[prime\s*minister\]
-leader_placeholder: \[Prime\s*Minister\]
-leader_placeholder: \[PM\]
-leader_placeholder: \[name\s*of\s*president[^\]]*\]
-leader_placeholder: \[current\s*ruling[^\]]*\]
-leader_placeholder: \(president['´’]?s?\s*name\)
-leader_placeholder: \(PRESIDENT['´’]?S?\s*NAME\)
-year_placeholder: \[year\]
-year_placeholder: \[Year\]
-year_placeholder: \[YEAR\]
-year_placeholder: \[20\d{2}\]
-institution_placeholder: \[specify\s*institution[^\]]*\]
-institution_placeholder: \[name\s*of\s*institution[^\]]*\]
-institution_placeholder: \[election\s*commission[^\]]*\]
-party_placeholder: \bParty\s+[A-Z]\s*$
-party_placeholder: \bParty\s+[A-Z]\s*[,\.]
-party_placeholder: \bParty\s+[A-Z]\s+Party\s+[A-Z]
-party_placeholder: \[Party\s*[A-Z]\]
-party_placeholder: Party\s+[A-Z]\.{2,}
-country_specific_placeholder: \[country-specific[^\]]*\]
-coding_instruction_placeholder: \[use\s*two-digit\s*code[^\]]*\]
-fill_in_placeholder: \[fill\s*in[^\]]*\]
-specify_placeholder: \[specify[^\]]*\]
-blank_line_placeholder: ___+
-empty_parens_placeholder: \(\s*\)
-location_placeholder: \[in\s*capital\s*city\]
-item_placeholder: \[ITEM\]
-item_placeholder: \[item\]
-national_placeholder: \(NATIONAL\)
-national_placeholder: \(national\)
-[skip_logic]
-skip_instruction: [Gg]o\s*to\s*[Qq]\.?\s*\d+
-skip_instruction: GO\s*TO\s*Q\.?\s*\d+
-skip_instruction: \[?\s*[Ss]kip\s*to\s*[Qq]\.?\s*\d+\s*\]?
-skip_instruction: [Gg]o\s*to\s*INTRO
-skip_instruction: GO\s*TO\s*INTRO
-conditional_routing: [Ii]f\s*the\s*respondent\s*answers?
-conditional_routing: IF\s*THE\s*RESPONDENT
-logic_check: \[?\s*[Ll]ogical\s*check\s*with\s*[Qq]\.?\s*\d+\s*\]?
-routing_note: [Ff]or\s*those\s*go\s*to
-[response_codes]
-code_reference: [Cc]ode\s*\d+\s*:
-code_reference: \(\s*[Cc]ode\s*\d+\s*[:\)]
-code_range: [Cc]ode\s*\d+-\d+
-post_code_instruction: \(?\s*[Pp]ost[\s-]*[Cc]ode\s*\)?
-post_code_instruction: \(?\s*POST[\s-]*CODE\s*\)?
-precoded_instruction: open-ended,?\s*pre-coded
-verbatim_instruction: \(?\s*[Rr]ecord\s*[Vv]erbatim[^\)]*\)?
-[scale_abbreviations]
-likert_header_abbreviations: \bSA\b.*\bSWA\b.*\bSWD\b.*\bSD\b
-response_code_abbreviations: \bDU\b.*\bCC\b.*\bDA\b
-strongly_agree_abbrev: ^SA$
-somewhat_agree_abbrev: ^SWA$
-somewhat_disagree_abbrev: ^SWD$
-strongly_disagree_abbrev: ^SD$
-dont_understand_abbrev: ^DU$
-cant_choose_abbrev: ^CC$
-decline_answer_abbrev: ^DA$
-dont_know_abbrev: ^DK$
-[binary_marking]
-marked_response: [Mm]arked
-not_marked_response: [Nn]ot\s*[Mm]arked
-binary_yes_no_codes: ^1$.*^2$
-checkbox_response: [Cc]hecked
-checkbox_response: [Uu]nchecked
-checkbox_response: [Tt]icked
-[multiselect]
-sub_question_numbering: \d+[a-z]\.\s
-sub_question_reference: [Qq]\d+[a-z]
-multi_response_first: First\s*[Oo]rganization
-multi_response_second: Second\s*[Oo]rganization
-multi_response_third: Third\s*[Oo]rganization
-[administrative]
-interview_number: [Ii]nterview\s*[Nn]o\.?
-interviewer_id: [Ii]nterviewer['’]?s?\s*number
-interview_date: [Dd]ate\s*of\s*[Ii]nterview
-postal_code: [Pp]ostal\s*[Zz]ip\s*[Cc]ode
-admin_instruction: TO\s*BE\s*FILLED\s*IN\s*BY
-admin_instruction: [Ff]illed\s*in\s*by\s*the\s*interviewer
-[special_values]
-do_not_understand_code: ^97$
-cant_choose_code: ^98$
-decline_to_answer_code: ^99$
-not_applicable_code: ^0$
-dont_understand_single_digit: ^7$
-cant_choose_single_digit: ^8$
-decline_answer_single_digit: ^9$
-special_code_90s: ^9[0-9]$
-[question_quality]
-very_short_question: ^.{1,10}$
-variable_code_only: ^[A-Z]{2,}\d+$
-variable_code_only: ^[A-Z]\d{2,}$
-answer_reference: [Aa]nswer\s*in\s*[Qq]\.?\s*\d+
-question_reference: [Ss]ee\s*[Qq]\.?\s*\d+
-system_conditional: for\s*presidential\s*system
-system_conditional: for\s*parliamentary\s*system
-[missing_data_labels]
-dont_know_abbreviation: \bDNK\b
-dont_know_abbreviation: \bDK\b
-dont_know_abbreviation: \bDKN\b
-dont_know_label: [Dd]on['’]?t\s*[Kk]now
-no_answer_abbreviation: \bNA\b
-no_answer_abbreviation: \bDNA\b
-combined_dk_na: \bDNK/NA\b
-combined_dk_na: \bDK/NA\b
-combined_dk_na: \bDNK/DNA\b
-not_applicable_label: [Nn]ot\s*[Aa]pplicable
-no_answer_label: [Nn]o\s*[Aa]nswer
-no_data_label: [Nn]o\s*[Dd]ata
-[column_positions]
-column_position_single: \(\d{1,3}\)$
-column_position_range: \(\d{1,3}-\d{1,3}\)$
-position_notation: \d+-\d+\s*$
-[ranking_questions]
-ranking_second: [Ww]hich\s*would\s*be\s*second
-ranking_second: [Ss]econd\s*most\s*important
-ranking_first: [Ff]irst\s*most\s*important
-ranking_third: [Tt]hird\s*most\s*important
-sequential_question_number: \.\d+\.\s
-[recode_variables]
-recode_variable: RECODE\s*OF
-recode_variable: RECODED
-recode_variable: [Rr]ecode\s*of
-local_variable: LOCAL\s*VARIABLE
-weight_variable: \bWT\b\.?\s*[Ww]eight
-[survey_series]
-standard_question_marker: ST(?:GBS)?\.
-global_barometer_marker: GBS\.
-world_values_survey_marker: WVS
-country_specific_marker: CSN?\.
-innovation_module_marker: INN?\.
-special_module_marker: SDN\.
-""")
+# Fixed values: (group, name, pattern), matched in any case.
+PATTERNS: list[tuple[str, str, str]] = [
+    ("interviewer_instructions", "showcard_instruction", r"\(?\s*SHOWCARD\s*\)?"),
+    ("interviewer_instructions", "showcard_instruction", r"\[?\s*SHOW\s*CARD\s*\]?"),
+    ("interviewer_instructions", "do_not_read", r"\[?\s*[Dd]o\s*not\s*read\s*[:\]]?"),
+    ("interviewer_instructions", "do_not_read", r"\[?\s*DO\s*NOT\s*READ\s*[:\]]?"),
+    ("interviewer_instructions", "do_not_read", r"\(?\s*[Dd]o\s*not\s*read\s*[:\)]?"),
+    ("interviewer_instructions", "interviewer_note", r"\[?\s*[Ii]nterviewer\s*:?\s*[^\]]*\]?"),
+    ("interviewer_instructions", "interviewer_note", r"\[?\s*INTERVIEWER\s*:?\s*[^\]]*\]?"),
+    ("interviewer_instructions", "note_instruction", r"\[?\s*[Nn]ote\s*:?\s*[^\]]*\]?"),
+    ("interviewer_instructions", "note_instruction", r"\[?\s*NOTE\s*:?\s*[^\]]*\]?"),
+    ("interviewer_instructions", "instruction_note", r"\[?\s*[Ii]nstruction\s*:?\s*[^\]]*\]?"),
+    ("interviewer_instructions", "read_aloud", r"\[?\s*[Rr]ead\s*out\s*[^\]]*\]?"),
+    ("interviewer_instructions", "read_aloud", r"\[?\s*READ\s*OUT\s*[^\]]*\]?"),
+    ("interviewer_instructions", "read_aloud", r"\(?\s*[Rr]ead\s*out\s*options?\s*\)?"),
+    ("interviewer_instructions", "read_aloud", r"READ\s*EACH\s*ITEM"),
+    ("interviewer_instructions", "single_answer_instruction", r"\(?\s*ONE\s*ANSWER\s*ONLY\s*\)?"),
+    ("interviewer_instructions", "single_answer_instruction", r"\(?\s*[Oo]ne\s*answer\s*only\s*\)?"),
+    ("interviewer_instructions", "multiple_answer_instruction", r"\[?\s*[Mm]ultiple\s*answers?\s*allowed\s*\]?"),
+    ("interviewer_instructions", "probe_instruction", r"\[?\s*[Pp]robe\s*[^\]]*\]?"),
+    ("interviewer_instructions", "probe_instruction", r"\[?\s*PROBE\s*[^\]]*\]?"),
+    ("interviewer_instructions", "optional_marker", r"<\s*[Oo]ptional\s*>"),
+    ("interviewer_instructions", "optional_marker", r"<\s*OPTIONAL\s*>"),
+    ("interviewer_instructions", "gbs_marker", r"\[?\s*GBS\s*\]?"),
+    ("interviewer_instructions", "coding_only_instruction", r"FOR\s*CODING\s*ONLY"),
+    ("interviewer_instructions", "coding_only_instruction", r"[Ff]or\s*coding\s*only"),
+    ("interviewer_instructions", "if_volunteered", r"\(?\s*if\s*volunteered\s*\)?"),
+    ("interviewer_instructions", "if_volunteered", r"\(?\s*IF\s*VOLUNTEERED\s*\)?"),
+    ("interviewer_instructions", "interviewer_assessment", r"ASSESSMENT\s*OF\s*THE\s*INTERVIEWEE"),
+    ("interviewer_instructions", "interviewer_assessment", r"[Tt]ake\s*as\s*reference"),
+    ("placeholders", "country_placeholder", r"\[country\s*name?\]"),
+    ("placeholders", "country_placeholder", r"\[Country\s*Name?\]"),
+    ("placeholders", "country_placeholder", r"\[COUNTRY\]"),
+    ("placeholders", "country_placeholder", r"\[country\]"),
+    ("placeholders", "country_placeholder", r"\[Country\s*X?\]"),
+    ("placeholders", "country_placeholder", r"\(country\)"),
+    ("placeholders", "country_placeholder", r"\(COUNTRY\)"),
+    ("placeholders", "country_placeholder", r"\(Country\)"),
+    ("placeholders", "country_placeholder", r"\(COUNTRY´S\)"),
+    ("placeholders", "country_placeholder", r"\(COUNTRY'S\)"),
+    ("placeholders", "country_placeholder", r"\(country's\)"),
+    ("placeholders", "leader_placeholder", r"\[president\]"),
+    ("placeholders", "leader_placeholder", r"\[President\]"),
+    ("placeholders", "leader_placeholder", r"\[prime\s*minister\]"),
+    ("placeholders", "leader_placeholder", r"\[Prime\s*Minister\]"),
+    ("placeholders", "leader_placeholder", r"\[PM\]"),
+    ("placeholders", "leader_placeholder", r"\[name\s*of\s*president[^\]]*\]"),
+    ("placeholders", "leader_placeholder", r"\[current\s*ruling[^\]]*\]"),
+    ("placeholders", "leader_placeholder", r"\(president['´’]?s?\s*name\)"),
+    ("placeholders", "leader_placeholder", r"\(PRESIDENT['´’]?S?\s*NAME\)"),
+    ("placeholders", "year_placeholder", r"\[year\]"),
+    ("placeholders", "year_placeholder", r"\[Year\]"),
+    ("placeholders", "year_placeholder", r"\[YEAR\]"),
+    ("placeholders", "year_placeholder", r"\[20\d{2}\]"),
+    ("placeholders", "institution_placeholder", r"\[specify\s*institution[^\]]*\]"),
+    ("placeholders", "institution_placeholder", r"\[name\s*of\s*institution[^\]]*\]"),
+    ("placeholders", "institution_placeholder", r"\[election\s*commission[^\]]*\]"),
+    ("placeholders", "party_placeholder", r"\bParty\s+[A-Z]\s*$"),
+    ("placeholders", "party_placeholder", r"\bParty\s+[A-Z]\s*[,\.]"),
+    ("placeholders", "party_placeholder", r"\bParty\s+[A-Z]\s+Party\s+[A-Z]"),
+    ("placeholders", "party_placeholder", r"\[Party\s*[A-Z]\]"),
+    ("placeholders", "party_placeholder", r"Party\s+[A-Z]\.{2,}"),
+    ("placeholders", "country_specific_placeholder", r"\[country-specific[^\]]*\]"),
+    ("placeholders", "coding_instruction_placeholder", r"\[use\s*two-digit\s*code[^\]]*\]"),
+    ("placeholders", "fill_in_placeholder", r"\[fill\s*in[^\]]*\]"),
+    ("placeholders", "specify_placeholder", r"\[specify[^\]]*\]"),
+    ("placeholders", "blank_line_placeholder", "___+"),
+    ("placeholders", "empty_parens_placeholder", r"\(\s*\)"),
+    ("placeholders", "location_placeholder", r"\[in\s*capital\s*city\]"),
+    ("placeholders", "item_placeholder", r"\[ITEM\]"),
+    ("placeholders", "item_placeholder", r"\[item\]"),
+    ("placeholders", "national_placeholder", r"\(NATIONAL\)"),
+    ("placeholders", "national_placeholder", r"\(national\)"),
+    ("skip_logic", "skip_instruction", r"[Gg]o\s*to\s*[Qq]\.?\s*\d+"),
+    ("skip_logic", "skip_instruction", r"GO\s*TO\s*Q\.?\s*\d+"),
+    ("skip_logic", "skip_instruction", r"\[?\s*[Ss]kip\s*to\s*[Qq]\.?\s*\d+\s*\]?"),
+    ("skip_logic", "skip_instruction", r"[Gg]o\s*to\s*INTRO"),
+    ("skip_logic", "skip_instruction", r"GO\s*TO\s*INTRO"),
+    ("skip_logic", "conditional_routing", r"[Ii]f\s*the\s*respondent\s*answers?"),
+    ("skip_logic", "conditional_routing", r"IF\s*THE\s*RESPONDENT"),
+    ("skip_logic", "logic_check", r"\[?\s*[Ll]ogical\s*check\s*with\s*[Qq]\.?\s*\d+\s*\]?"),
+    ("skip_logic", "routing_note", r"[Ff]or\s*those\s*go\s*to"),
+    ("response_codes", "code_reference", r"[Cc]ode\s*\d+\s*:"),
+    ("response_codes", "code_reference", r"\(\s*[Cc]ode\s*\d+\s*[:\)]"),
+    ("response_codes", "code_range", r"[Cc]ode\s*\d+-\d+"),
+    ("response_codes", "post_code_instruction", r"\(?\s*[Pp]ost[\s-]*[Cc]ode\s*\)?"),
+    ("response_codes", "post_code_instruction", r"\(?\s*POST[\s-]*CODE\s*\)?"),
+    ("response_codes", "precoded_instruction", r"open-ended,?\s*pre-coded"),
+    ("response_codes", "verbatim_instruction", r"\(?\s*[Rr]ecord\s*[Vv]erbatim[^\)]*\)?"),
+    ("scale_abbreviations", "likert_header_abbreviations", r"\bSA\b.*\bSWA\b.*\bSWD\b.*\bSD\b"),
+    ("scale_abbreviations", "response_code_abbreviations", r"\bDU\b.*\bCC\b.*\bDA\b"),
+    ("scale_abbreviations", "strongly_agree_abbrev", "^SA$"),
+    ("scale_abbreviations", "somewhat_agree_abbrev", "^SWA$"),
+    ("scale_abbreviations", "somewhat_disagree_abbrev", "^SWD$"),
+    ("scale_abbreviations", "strongly_disagree_abbrev", "^SD$"),
+    ("scale_abbreviations", "dont_understand_abbrev", "^DU$"),
+    ("scale_abbreviations", "cant_choose_abbrev", "^CC$"),
+    ("scale_abbreviations", "decline_answer_abbrev", "^DA$"),
+    ("scale_abbreviations", "dont_know_abbrev", "^DK$"),
+    ("binary_marking", "marked_response", "[Mm]arked"),
+    ("binary_marking", "not_marked_response", r"[Nn]ot\s*[Mm]arked"),
+    ("binary_marking", "binary_yes_no_codes", "^1$.*^2$"),
+    ("binary_marking", "checkbox_response", "[Cc]hecked"),
+    ("binary_marking", "checkbox_response", "[Uu]nchecked"),
+    ("binary_marking", "checkbox_response", "[Tt]icked"),
+    ("multiselect", "sub_question_numbering", r"\d+[a-z]\.\s"),
+    ("multiselect", "sub_question_reference", r"[Qq]\d+[a-z]"),
+    ("multiselect", "multi_response_first", r"First\s*[Oo]rganization"),
+    ("multiselect", "multi_response_second", r"Second\s*[Oo]rganization"),
+    ("multiselect", "multi_response_third", r"Third\s*[Oo]rganization"),
+    ("administrative", "interview_number", r"[Ii]nterview\s*[Nn]o\.?"),
+    ("administrative", "interviewer_id", r"[Ii]nterviewer['’]?s?\s*number"),
+    ("administrative", "interview_date", r"[Dd]ate\s*of\s*[Ii]nterview"),
+    ("administrative", "postal_code", r"[Pp]ostal\s*[Zz]ip\s*[Cc]ode"),
+    ("administrative", "admin_instruction", r"TO\s*BE\s*FILLED\s*IN\s*BY"),
+    ("administrative", "admin_instruction", r"[Ff]illed\s*in\s*by\s*the\s*interviewer"),
+    ("special_values", "do_not_understand_code", "^97$"),
+    ("special_values", "cant_choose_code", "^98$"),
+    ("special_values", "decline_to_answer_code", "^99$"),
+    ("special_values", "not_applicable_code", "^0$"),
+    ("special_values", "dont_understand_single_digit", "^7$"),
+    ("special_values", "cant_choose_single_digit", "^8$"),
+    ("special_values", "decline_answer_single_digit", "^9$"),
+    ("special_values", "special_code_90s", "^9[0-9]$"),
+    ("question_quality", "very_short_question", "^.{1,10}$"),
+    ("question_quality", "variable_code_only", r"^[A-Z]{2,}\d+$"),
+    ("question_quality", "variable_code_only", r"^[A-Z]\d{2,}$"),
+    ("question_quality", "answer_reference", r"[Aa]nswer\s*in\s*[Qq]\.?\s*\d+"),
+    ("question_quality", "question_reference", r"[Ss]ee\s*[Qq]\.?\s*\d+"),
+    ("question_quality", "system_conditional", r"for\s*presidential\s*system"),
+    ("question_quality", "system_conditional", r"for\s*parliamentary\s*system"),
+    ("missing_data_labels", "dont_know_abbreviation", r"\bDNK\b"),
+    ("missing_data_labels", "dont_know_abbreviation", r"\bDK\b"),
+    ("missing_data_labels", "dont_know_abbreviation", r"\bDKN\b"),
+    ("missing_data_labels", "dont_know_label", r"[Dd]on['’]?t\s*[Kk]now"),
+    ("missing_data_labels", "no_answer_abbreviation", r"\bNA\b"),
+    ("missing_data_labels", "no_answer_abbreviation", r"\bDNA\b"),
+    ("missing_data_labels", "combined_dk_na", r"\bDNK/NA\b"),
+    ("missing_data_labels", "combined_dk_na", r"\bDK/NA\b"),
+    ("missing_data_labels", "combined_dk_na", r"\bDNK/DNA\b"),
+    ("missing_data_labels", "not_applicable_label", r"[Nn]ot\s*[Aa]pplicable"),
+    ("missing_data_labels", "no_answer_label", r"[Nn]o\s*[Aa]nswer"),
+    ("missing_data_labels", "no_data_label", r"[Nn]o\s*[Dd]ata"),
+    ("column_positions", "column_position_single", r"\(\d{1,3}\)$"),
+    ("column_positions", "column_position_range", r"\(\d{1,3}-\d{1,3}\)$"),
+    ("column_positions", "position_notation", r"\d+-\d+\s*$"),
+    ("ranking_questions", "ranking_second", r"[Ww]hich\s*would\s*be\s*second"),
+    ("ranking_questions", "ranking_second", r"[Ss]econd\s*most\s*important"),
+    ("ranking_questions", "ranking_first", r"[Ff]irst\s*most\s*important"),
+    ("ranking_questions", "ranking_third", r"[Tt]hird\s*most\s*important"),
+    ("ranking_questions", "sequential_question_number", r"\.\d+\.\s"),
+    ("recode_variables", "recode_variable", r"RECODE\s*OF"),
+    ("recode_variables", "recode_variable", "RECODED"),
+    ("recode_variables", "recode_variable", r"[Rr]ecode\s*of"),
+    ("recode_variables", "local_variable", r"LOCAL\s*VARIABLE"),
+    ("recode_variables", "weight_variable", r"\bWT\b\.?\s*[Ww]eight"),
+    ("survey_series", "standard_question_marker", r"ST(?:GBS)?\."),
+    ("survey_series", "global_barometer_marker", r"GBS\."),
+    ("survey_series", "world_values_survey_marker", "WVS"),
+    ("survey_series", "country_specific_marker", r"CSN?\."),
+    ("survey_series", "innovation_module_marker", r"INN?\."),
+    ("survey_series", "special_module_marker", r"SDN\."),
+]
 
 # Severity by pattern name; other names count as info.
 CRITICAL = """

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+#: Scans of this many splits (of some 128 MB at most, where files can be split) or more stay as they are on any cluster.
+FEW = 64
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """A scan of files as it is, or dealt anew to as many tasks as the session has cores where its files give fewer splits.
+    """A scan of files as it is, or dealt anew to as many tasks as the session has cores where its files give fewer splits than that, and than ``FEW``.
 
-    Row-local plans have no exchange, so all their work would run in the few tasks of such a scan. Only small inputs are
-    dealt (fewer splits than cores), and files that can't be split; by ``keys`` where a join on them follows.
+    Row-local plans have no exchange, so all their work would run in the few tasks of such a scan. So what is dealt is a few GB at most, however many cores
+    there are, or files that can't be split; by ``keys`` where a join on them follows.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= cores:  # of a scan, this plans its splits and runs nothing
+    if rows.rdd.getNumPartitions() >= min(cores, FEW):  # of a scan, this plans its splits and runs nothing
         return rows
     return rows.repartition(cores, *keys)

@@ -81,11 +81,11 @@ def oracle_ctes() -> str:
     variables, values = _rows()
     rows = lambda data: ", ".join(f"({', '.join(map(_quote, r))})" for r in data)
     long = " UNION ALL ".join(f"SELECT respondent_id, country, '{c}' AS code, {c} AS raw FROM wide" for c in CODES)
-    return f"""WITH wide AS ({STAR}),
+    return f"""WITH wide AS MATERIALIZED ({STAR}),
 vars(section, section_pos, code, var_pos, question) AS (VALUES {rows(variables)}),
 vals(code, raw, label, label_pos) AS (VALUES {rows(values)}),
 long AS (SELECT * FROM ({long}) WHERE raw IS NOT NULL),
-dec AS (SELECT l.*, coalesce(v1.label, v2.label, l.raw) AS label, coalesce(v1.label, v3.label, l.raw) AS blabel FROM long l
+dec AS MATERIALIZED (SELECT l.*, coalesce(v1.label, v2.label, l.raw) AS label, coalesce(v1.label, v3.label, l.raw) AS blabel FROM long l
         LEFT JOIN vals v1 ON v1.code = l.code AND v1.raw = l.raw
         LEFT JOIN vals v2 ON v2.code = l.code AND v2.raw = CAST(CAST(trunc(TRY_CAST(l.raw AS DOUBLE)) AS BIGINT) AS VARCHAR)
         LEFT JOIN vals v3 ON v3.code = l.code AND regexp_full_match(l.raw, '[0-9]+') AND v3.raw = CAST(TRY_CAST(l.raw AS BIGINT) AS VARCHAR))"""
