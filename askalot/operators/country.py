@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from .decode import is_missing
 
 
-def option_spread(decoded: DataFrame, respondents: DataFrame) -> DataFrame:
-    """(code, n_global, avg_country, ratio): distinct answers of a country, on average over all countries, to distinct valid answers overall.
+def option_spread(decoded: DataFrame, respondents: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(code, n_global, avg_country, ratio): distinct answers of a country, on average over all countries, to distinct valid answers overall; for each value of ``by`` on its own.
 
     Two-step counting by (code, country), so a hot country isn't one task. One country or one answer gives no row.
     """
-    countries = respondents.where("country is not null").select("country").distinct()
-    per = decoded.groupBy("code", "country").agg(F.count_distinct("raw").alias("n"))
-    n_countries = countries.agg(F.count(F.lit(1)).alias("n_countries"))
-    total = decoded.where(~is_missing(F.col("label"))).groupBy("code").agg(F.count_distinct("raw").alias("n_global"))
-    summed = per.groupBy("code").agg(F.sum("n").alias("n_sum"))
+    countries = respondents.where("country is not null").select(*by, "country").distinct()
+    per = decoded.groupBy(*by, "code", "country").agg(F.count_distinct("raw").alias("n"))
+    n_countries = countries.groupBy(*by).agg(F.count(F.lit(1)).alias("n_countries"))
+    total = decoded.where(~is_missing(F.col("label"))).groupBy(*by, "code").agg(F.count_distinct("raw").alias("n_global"))
+    summed = per.groupBy(*by, "code").agg(F.sum("n").alias("n_sum"))
+    both = total.join(summed, [*by, "code"])
     return (
-        total.join(summed, "code").crossJoin(n_countries).where("n_countries > 1 and n_global > 1")
-        .select("code", "n_global", F.round(F.col("n_sum") / F.col("n_countries"), 6).alias("avg_country"), F.round(F.col("n_sum") / F.col("n_countries") / F.col("n_global"), 6).alias("ratio"))
+        (both.join(n_countries, [*by]) if by else both.crossJoin(n_countries)).where("n_countries > 1 and n_global > 1")
+        .select(*by, "code", "n_global", F.round(F.col("n_sum") / F.col("n_countries"), 6).alias("avg_country"), F.round(F.col("n_sum") / F.col("n_countries") / F.col("n_global"), 6).alias("ratio"))
     )
 
 
@@ -46,12 +47,12 @@ def codes_of(values: DataFrame, variable: str) -> DataFrame:
     return values.where(F.col("code") == variable).select("raw", "label")
 
 
-def country_options(decoded: DataFrame, values: DataFrame) -> DataFrame:
-    """(country, code, options): valid labels seen in the country, in codebook order."""
-    seen = decoded.where(~is_missing(F.col("label"))).select("country", "code", "label").distinct()
-    ordered = values.groupBy("code", "label").agg(F.min("label_pos").alias("label_pos"))
+def country_options(decoded: DataFrame, values: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(country, code, options): valid labels seen in the country, in codebook order; for each value of ``by``, which both tables have, on its own."""
+    seen = decoded.where(~is_missing(F.col("label"))).select(*by, "country", "code", "label").distinct()
+    ordered = values.groupBy(*by, "code", "label").agg(F.min("label_pos").alias("label_pos"))
     labels = F.transform(F.array_sort(F.collect_list(F.struct("label_pos", "label"))), lambda x: x["label"])
-    return seen.join(ordered, ["code", "label"]).groupBy("country", "code").agg(labels.alias("options"))
+    return seen.join(ordered, [*by, "code", "label"]).groupBy(*by, "country", "code").agg(labels.alias("options"))
 
 
 def country_of(code: Column, prefix: str) -> Column:

@@ -23,19 +23,30 @@ def book(variables: DataFrame, values: DataFrame, codes: list[str]) -> DataFrame
     A code that stands in several sections takes the last one, as the reverse index of sections does; of labels of one raw value the
     first counts. ``sampleable`` is taken to be true where the codebook doesn't say. Labels and options are made ready here, once.
     """
+    at = F.array_position(F.array(*map(F.lit, codes)), F.col("code")).cast("int")
+    return _books(variables.where(F.col("code").isin(codes)).withColumn("at", at), values, [])
+
+
+def books(variables: DataFrame, values: DataFrame, codes: DataFrame) -> DataFrame:
+    """``book`` for many surveys, a row each with ``survey``, which all three tables have; ``codes`` (survey, code, at) says where a survey's answers stand (from 1)."""
+    return _books(variables.join(codes.select("survey", "code", "at"), ["survey", "code"]), values, ["survey"])
+
+
+def _books(variables: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
+    key = [*by, "code"]
     ordered = F.array_sort(F.collect_list(F.struct("label_pos", "label", "raw")))
-    lists = values.groupBy("code").agg(ordered.alias("l")).select("code", F.size("l").alias("n_labels"), F.transform(F.filter("l", lambda x: ~is_missing(x["label"])), lambda x: x["label"]).alias("options"))
-    single = values.groupBy("code", "raw").agg(F.min_by("label", "label_pos").alias("label"))
-    labels = single.groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("raw", "label"))).alias("labels"))
+    lists = values.groupBy(*key).agg(ordered.alias("l")).select(*key, F.size("l").alias("n_labels"), F.transform(F.filter("l", lambda x: ~is_missing(x["label"])), lambda x: x["label"]).alias("options"))
+    single = values.groupBy(*key, "raw").agg(F.min_by("label", "label_pos").alias("label"))
+    labels = single.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("raw", "label"))).alias("labels"))
     flag = lambda name: F.coalesce(F.col(name), F.lit(True)) if name in variables.columns else F.lit(True)
-    last = F.max_by(F.struct("section", "section_pos", "code", "var_pos", "question", flag("sampleable").alias("sampleable")), F.struct("section_pos", "var_pos"))
-    each = variables.where(F.col("code").isin(codes)).groupBy("code").agg(last.alias("v")).join(lists, "code", "left").join(labels, "code", "left")
-    at = F.array_position(F.array(*map(F.lit, codes)), F.col("code")).cast("int")
+    last = F.max_by(F.struct("section", "section_pos", "code", "var_pos", "question", flag("sampleable").alias("sampleable"), "at"), F.struct("section_pos", "var_pos"))
+    each = variables.groupBy(*key).agg(last.alias("v")).join(lists, key, "left").join(labels, key, "left")
+    kept = [F.col(f"v.{c}").alias(c) for c in ("section", "section_pos", "code", "var_pos", "question", "sampleable")]
     rest = [F.coalesce("n_labels", F.lit(0)).alias("n_labels"), F.coalesce("options", F.array().cast("array<string>")).alias("options"), F.map_entries("labels").alias("labels")]
-    one = each.select(F.struct(at.alias("at"), "v.*", *rest).alias("b")).agg(F.array_sort(F.collect_list("b")).alias("book"))
+    one = each.select(*by, F.struct(F.col("v.at").alias("at"), *kept, *rest).alias("b")).groupBy(*by).agg(F.array_sort(F.collect_list("b")).alias("book"))
     entries = F.transform("book", lambda b: b.withField("labels", F.map_from_entries(F.coalesce(b["labels"], F.array().cast("array<struct<key:string,value:string>>")))))
     own = F.transform("book", lambda b: F.struct(b["section_pos"].alias("section_pos"), b["section"].alias("section")))
-    return one.select(entries.alias("book"), F.transform(F.array_sort(F.array_distinct(own)), lambda s: s["section"]).alias("book_sections"))
+    return one.select(*by, entries.alias("book"), F.transform(F.array_sort(F.array_distinct(own)), lambda s: s["section"]).alias("book_sections"))
 
 
 def look_up(labels: Column, raw: Column, strict_int: bool = False) -> Column:
@@ -49,13 +60,27 @@ def answer_rows(wide: DataFrame, codebook: DataFrame, codes: list[str], keys: tu
 
     The codebook is one row, joined to each respondent; null answers and codes that the codebook lacks go.
     """
+    raws = F.array(*[F.col(f"`{c}`").cast("string") for c in codes])
+    return wide.crossJoin(codebook).select(*keys, "book_sections", _answers(raws).alias("answers"))
+
+
+def raw_rows(wide: DataFrame, survey: str, codes: list[str]) -> DataFrame:
+    """(survey, respondent_id, country, raws): a survey's answers in the order of ``codes``, so that surveys of different columns can stand in one table."""
+    return wide.select(F.lit(survey).alias("survey"), F.col("respondent_id").cast("string").alias("respondent_id"), F.col("country").cast("string").alias("country"), F.array(*[F.col(f"`{c}`").cast("string") for c in codes]).alias("raws"))
+
+
+def keyed_answer_rows(raws: DataFrame, codebooks: DataFrame) -> DataFrame:
+    """``answer_rows`` of many surveys: ``raw_rows`` of each, united, and their ``books``."""
+    return raws.join(codebooks, "survey").select("survey", "respondent_id", "country", "book_sections", _answers(F.col("raws")).alias("answers"))
+
+
+def _answers(raws: Column) -> Column:
     def answer(b: Column, raw: Column) -> Column:
         kept = [b[c].alias(c) for c in ("section", "section_pos", "code", "var_pos", "question", "sampleable", "n_labels")]
         return F.struct(*kept, raw.alias("raw"), look_up(b["labels"], raw).alias("label"), look_up(b["labels"], raw, True).alias("target_label"), b["options"].alias("options"))
 
-    raws = F.array(*[F.col(f"`{c}`").cast("string") for c in codes])
     given = lambda rs: F.filter("book", lambda b: F.element_at(rs, b["at"]).isNotNull())
-    return wide.crossJoin(codebook).select(*keys, "book_sections", let(raws, lambda rs: F.transform(given(rs), lambda b: let(F.element_at(rs, b["at"]), lambda raw: answer(b, raw)))).alias("answers"))
+    return let(raws, lambda rs: F.transform(given(rs), lambda b: let(F.element_at(rs, b["at"]), lambda raw: answer(b, raw))))
 
 
 @dataclass(frozen=True)
@@ -115,14 +140,15 @@ def first_of(answers: Column, section: Column, rid: Column, seed: int, m: Column
     return F.transform(F.slice(F.array_sort(keyed), F.lit(1), m if isinstance(m, Column) else F.lit(m)), lambda x, i: x["a"].withField("pick", i + 1))
 
 
-def with_profile(rows: DataFrame, draw: Draw, name: str = "features", more: str | None = None, pool_sections: list[str] | None = None) -> DataFrame:
+def with_profile(rows: DataFrame, draw: Draw, name: str = "features", more: str | None = None, pool_sections: list[str] | str | None = None) -> DataFrame:
     """Adds the profile: always-included answers first, then those drawn by section in codebook order, or all by hash; each with ``pick``.
 
     ``more``: a column with an array of codes that may not be drawn in that row. ``pool_sections``: the sections that have
-    features left, where exclusions empty some.
+    features left, where exclusions empty some, or the name of a column with an array of them.
     """
     rid, seed = F.col("respondent_id"), draw.config.seed
-    sections = F.col("book_sections") if pool_sections is None else F.filter("book_sections", lambda s: s.isin(pool_sections))
+    left = (lambda s: F.array_contains(pool_sections, s)) if isinstance(pool_sections, str) else (lambda s: s.isin(pool_sections))
+    sections = F.col("book_sections") if pool_sections is None else F.filter("book_sections", left)
 
     def drawn(pool: Column) -> Column:
         chosen = sections_of(sections, rid, draw, draw.config.n_sections)
@@ -188,9 +214,10 @@ def with_questions(rows: DataFrame) -> DataFrame:
     return each_of(rows, F.array(F.when(F.size("questions") > 0, F.col("questions"))), "questions", *others)
 
 
-def base_id(survey: str, respondent_id: Column, code: Column) -> Column:
+def base_id(survey: str | Column, respondent_id: Column, code: Column) -> Column:
     """{survey}_{respondent}_{code}, the survey left out if empty; blanks and slashes as underscores."""
-    return F.translate(F.concat_ws("_", *([F.lit(survey)] if survey else []), respondent_id, code), " /", "__")
+    name = F.nullif(survey if isinstance(survey, Column) else F.lit(survey), F.lit(""))
+    return F.translate(F.concat_ws("_", name, respondent_id, code), " /", "__")
 
 
 def with_answer(options: Column, answer: Column) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.builder import Survey, build_survey_dataset
+from ..operators.builder import Survey, build_dataset
 from ..operators.evaluation import composite_id
 from ..operators.respondents import Draw
 from ..operators.testsets import feature_orderings, generate_options_context, sample_by_size
@@ -89,10 +89,7 @@ def long_responses(surveys: dict[str, Survey]) -> DataFrame:
 
 def write_base_instances(surveys: dict[str, Survey], draw: Draw, n_targets: int, n_respondents: int, path: str) -> None:
     """Instances of all surveys as JSON lines, a folder for each survey."""
-    found = None
-    for s in surveys.values():
-        rows = build_survey_dataset(s, draw, n_targets, n_respondents)
-        found = rows if found is None else found.unionByName(rows)
+    found, _ = build_dataset(list(surveys.values()), draw, n_targets, n_respondents, skip_errors=False)
     if found is None:
         raise ValueError("no surveys")
     write_jsonl(found, path, by_survey=True)

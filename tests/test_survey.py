@@ -175,3 +175,28 @@ def test_failing_surveys_are_left_out(spark, small):
     bad = builder.Survey("bad", wide.drop("Q1"), variables, values, codes)
     rows, failed = builder.build_dataset([bad, good], respondents.Draw(profiles.ProfileConfig(1, 1, 1)), 2, 5)
     assert failed == ["bad"] and {r["survey"] for r in rows.collect()} == {"good"}
+
+
+def test_many_surveys_are_one_plan_and_equal_each_alone(spark, small):
+    """Surveys of different columns, targets and countries: the plan of all gives what each gives alone; drawing stands in it once."""
+    variables, values, _ = small
+    codes = ["AGE", "GENDER", "Q1", "Q2", "Q3"]
+    made = []
+    for n in range(12):
+        own = codes[n % 2 :] + ([f"X{n}"] if n % 3 else [])
+        people = [(str(k), ("AT", "BE", None)[(k + n) % 3], *["12"[(k + n + j) % 2] for j in range(len(own))]) for k in range(7)]
+        wide = spark.createDataFrame(people, "respondent_id string, country string, " + ", ".join(f"{c} string" for c in own))
+        made.append(builder.Survey(f"s{n}", wide, variables.where(F.col("code") != codes[n % 4]), values, own))
+    draw = respondents.Draw(profiles.ProfileConfig(2, 1, 7))
+    show = lambda df: sorted(map(str, df.collect()))
+    every, failed = builder.build_dataset(made, draw, 2, 4)
+    rows = show(every)
+    for s in made[:4]:
+        alone = show(builder.build_survey_dataset(s, draw, 2, 4))
+        assert alone == [r for r in rows if f"survey='{s.name}'" in r] and alone
+    plan = every._jdf.queryExecution().optimizedPlan().toString()
+    few = builder.build_dataset(made[:2], draw, 2, 4)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert not failed and plan.count("md5(") == few.count("md5(")
+    with pytest.raises(ValueError, match="by name"):
+        builder.build_dataset([made[0], made[0]], draw, 2, 4)
+    assert builder.build_dataset([], draw, 2, 4) == (None, [])
