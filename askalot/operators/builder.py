@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binding import each_of
 from ..functions.hashing import order_key
+from ..sources.shared import stored
 from . import country as cty
 from . import respondents as rsp
 from .decode import is_missing
@@ -121,7 +123,7 @@ def build_dataset(
     """
     if len({s.name for s in surveys}) < len(surveys):
         raise ValueError("surveys are told apart by name")
-    raws, books, concepts, codes, failed = None, None, None, [], []
+    raws, books, concepts, codes, planned, failed = None, None, None, [], [], []
     union = lambda a, b: b if a is None else a.unionByName(b, allowMissingColumns=True)
     for s in surveys:
         try:
@@ -137,31 +139,39 @@ def build_dataset(
         raws, books = union(raws, own), (variables, values) if books is None else (union(books[0], variables), union(books[1], values))
         concepts = concepts if found is None else union(concepts, found)
         codes += [(s.name, c, k) for k, c in enumerate(s.codes, 1)]
+        planned.append(s)
     if raws is None:
         return None, failed
     spark, (variables, values) = raws.sparkSession, books
     drawn = draw_targets(variables, values, concepts, draw, n_targets)
     places = spark.createDataFrame(codes, "survey string, code string, at int")
-    answers = rsp.keyed_answer_rows(raws, F.broadcast(rsp.books(variables, values, places)))  # a row a survey, as large as its codebook
     plan = spark.createDataFrame([(d.survey, d.regular, d.wanted, d.barred, d.sections) for d in drawn], "survey string, targets array<string>, concepts array<string>, barred array<string>, sections array<string>")
-    order = F.row_number().over(Window.partitionBy("survey").orderBy(order_key(draw.config.seed, F.col("respondent_id")), "respondent_id"))
-    people = raws.select("survey", "respondent_id").where("respondent_id is not null").distinct().withColumn("__r", order).where(F.col("__r") <= n_respondents).select("survey", "respondent_id")
-    rows = answers.join(F.broadcast(plan), "survey")  # codes of the codebooks
-    chosen = rows.join(people, ["survey", "respondent_id"], "left_semi")
-    options = _options(rows, raws, values, drawn, detect_country, country_codes)
+    # The surveys are read twice, for the respondents drawn and for the distinct answers to targets. Both are small and stored: all that follows reads them and not the surveys.
+    # Rank and not number, so that repeated rows of a respondent stay together; each task keeps the first n of a survey before any shuffle.
+    order = F.dense_rank().over(Window.partitionBy("survey").orderBy(order_key(draw.config.seed, F.col("respondent_id")), "respondent_id"))
+    people = stored(raws.where("respondent_id is not null").withColumn("__r", order).where(F.col("__r") <= n_respondents).drop("__r"), "respondents")
+    codebooks, plan = F.broadcast(rsp.books(variables, values, places)), F.broadcast(plan)  # a row a survey, as large as its codebook
+    chosen = rsp.keyed_answer_rows(people, codebooks).join(plan, "survey")
+    options = _options(planned, variables, values, drawn, detect_country, country_codes)
     found = _instances(chosen, draw, options).withColumn("target_concept", F.lit(None).cast("string"))
     if any(d.wanted for d in drawn):
         found = found.unionByName(_concept_instances(chosen, concepts, draw))
     return found, failed
 
 
-def _options(rows: DataFrame, raws: DataFrame, values: DataFrame, drawn: list[Drawn], detect: bool, given: dict[str, list[str]] | None) -> DataFrame | None:
+def _options(surveys: list[Survey], variables: DataFrame, values: DataFrame, drawn: list[Drawn], detect: bool, given: dict[str, list[str]] | None) -> DataFrame | None:
     """(survey, country, code, options) of the targets whose options differ from country to country: given, or detected for surveys that nothing is given for."""
     regular = {d.survey: d.regular for d in drawn}
     listed = {name: [c for c in dict.fromkeys(own) if c in regular.get(name, [])] for name, own in (given or {}).items()}
     for name, own in (given or {}).items():
         if unknown := [c for c in dict.fromkeys(own) if c not in listed[name]]:
             log.warning("survey %s: country-specific codes that are no targets: %s", name, ", ".join(unknown))
+    having = [s for s in surveys if regular.get(s.name)]
+    if not having:
+        return None
+    columns = {s.name: [c for c in s.codes if c in regular[s.name]] for s in having}  # no other column is read
+    raws = reduce(DataFrame.unionByName, [rsp.raw_rows(s.wide, s.name, columns[s.name]) for s in having])
+    spark = raws.sparkSession
     if asked := [name for name, own in listed.items() if own]:
         placed = {r["survey"] for r in raws.where(F.col("survey").isin(asked) & F.col("country").isNotNull()).select("survey").distinct().collect()}
         for name in asked:
@@ -171,12 +181,18 @@ def _options(rows: DataFrame, raws: DataFrame, values: DataFrame, drawn: list[Dr
     auto = [d.survey for d in drawn if d.survey not in listed and d.regular] if detect else []
     if not auto and not any(listed.values()):
         return None
-    wanted = F.filter("answers", lambda a: F.array_contains("targets", a["code"]))
-    long = rows.select("survey", "respondent_id", "country", F.explode(wanted).alias("a")).select("survey", "respondent_id", "country", "a.code", "a.raw", "a.label")
+    # A row for each country, and each answer that it gives: countries and options are counted over these. A row without a code stands for the country alone.
+    places = spark.createDataFrame([(name, c, k) for name, own in columns.items() for k, c in enumerate(own, 1)], "survey string, code string, at int")
+    rows = rsp.keyed_answer_rows(raws, F.broadcast(rsp.books(variables, values, places)))
+    parts = ("code", "raw", "label")
+    marked = F.concat(F.transform("answers", lambda a: F.struct(*[a[c].alias(c) for c in parts])), F.array(F.struct(*[F.lit(None).cast("string").alias(c) for c in parts])))
+    every = rows.select("survey", "country", F.explode(marked).alias("a")).select("survey", "country", "a.*").distinct()
+    seen = stored(every, "answers")
+    long, countries = seen.where("code is not null"), seen.where("code is null")
     options = cty.country_options(long, values, by=("survey",))
-    flags = rows.sparkSession.createDataFrame([(name, c) for name, own in listed.items() for c in own], "survey string, code string")
+    flags = spark.createDataFrame([(name, c) for name, own in listed.items() for c in own], "survey string, code string")
     if auto:
-        spread = cty.option_spread(long.where(F.col("survey").isin(auto)), raws, by=("survey",))
+        spread = cty.option_spread(long.where(F.col("survey").isin(auto)), countries, by=("survey",))
         flags = flags.unionByName(cty.country_specific(spread).where("country_specific").select("survey", "code"))
     return options.join(flags, ["survey", "code"], "left_semi")
 

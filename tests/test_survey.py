@@ -197,6 +197,10 @@ def test_many_surveys_are_one_plan_and_equal_each_alone(spark, small):
     plan = every._jdf.queryExecution().optimizedPlan().toString()
     few = builder.build_dataset(made[:2], draw, 2, 4)[0]._jdf.queryExecution().optimizedPlan().toString()
     assert not failed and plan.count("md5(") == few.count("md5(")
+    # What follows the two passes reads their stored results: neither surveys nor exchanges of them are in the plan again.
+    survey = spark.read.parquet(f"{DIR}/orders.parquet").selectExpr("cast(o_orderkey % 4000 as string) respondent_id", "cast(o_custkey % 3 as string) country", "'1' AGE", "'M' GENDER", "cast(o_orderkey % 2 + 1 as string) Q1", "'2' Q2", "'1' Q3")
+    big, _ = builder.build_dataset([builder.Survey("big", survey, variables, values, codes)], draw, 2, 4)
+    assert "orders.parquet" not in big._jdf.queryExecution().optimizedPlan().toString() + "".join(big.inputFiles()) and big.select("id").distinct().count() == 4
     with pytest.raises(ValueError, match="by name"):
         builder.build_dataset([made[0], made[0]], draw, 2, 4)
     assert builder.build_dataset([], draw, 2, 4) == (None, [])
