@@ -204,3 +204,32 @@ def test_many_surveys_are_one_plan_and_equal_each_alone(spark, small):
     with pytest.raises(ValueError, match="by name"):
         builder.build_dataset([made[0], made[0]], draw, 2, 4)
     assert builder.build_dataset([], draw, 2, 4) == (None, [])
+
+
+def test_lists_are_remembered_without_dealing_rows_by_them(spark, monkeypatch):
+    """Values that aren't remembered are worked on in their rows, with the same result; rows are not dealt by list."""
+    from askalot.functions import binding
+    from askalot.operators import testsets, variations
+
+    lists = [["Strongly agree", "Agree", "Refused"], ["Yes", "No"], ["Very good", "Good", "Bad"], None, ["Don't know"]]
+    rows = spark.createDataFrame([(f"e{k}", "What do you think?", lists[k % 5], "Agree") for k in range(40)], "example_id string, target_question string, options array<string>, answer string").repartition(4)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for operator in (testsets.options_context, variations.surface_forms):
+        found = []
+        for memo in (2_000, 1):
+            monkeypatch.setattr(binding, "MEMO", memo)
+            out = operator(rows)
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables whose size isn't known to be small
+            try:
+                assert "SortMergeJoin" not in plan(out)
+            finally:
+                spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            out = operator(rows)
+            found.append(sorted(map(str, out.collect())))
+        assert found[0] == found[1] and len(found[0]) == (40 if operator is testsets.options_context else 32)
+
+
+def test_integer_keys_of_odd_answers(spark):
+    odd = {"1.0": "1", "1.7": "1", " 2.5 ": "2", "+3": "3", "-3.9": "-3", ".5": "0", "1e3": "1000", "BUILDING": None, "": None, "NaN": None, "Infinity": None, "-Infinity": None, "1-2": None}
+    rows = spark.createDataFrame([(k,) for k in odd], "raw string").select("raw", decode.integer_key(F.col("raw")).alias("key"))
+    assert {r["raw"]: r["key"] for r in rows.collect()} == odd
