@@ -233,3 +233,9 @@ def test_integer_keys_of_odd_answers(spark):
     odd = {"1.0": "1", "1.7": "1", " 2.5 ": "2", "+3": "3", "-3.9": "-3", ".5": "0", "1e3": "1000", "BUILDING": None, "": None, "NaN": None, "Infinity": None, "-Infinity": None, "1-2": None}
     rows = spark.createDataFrame([(k,) for k in odd], "raw string").select("raw", decode.integer_key(F.col("raw")).alias("key"))
     assert {r["raw"]: r["key"] for r in rows.collect()} == odd
+
+
+def test_seeds_make_orderings_again_in_one_pass(spark):
+    """The instances are made once, not joined with themselves."""
+    plan = QUERIES["ord_1_seeds"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == QUERIES["ins_1_instances"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString().count("Join")
