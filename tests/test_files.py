@@ -289,3 +289,19 @@ def test_orderings_have_reasons_and_seeds(spark):
     assert all((r["seed"] is None) == (r["name"] in (None, "original", "reversed")) for r in got)
     again = tst.feature_orderings(rows, rows["q"]).where("seed is not null").join(rows.select("example_id", "q"), "example_id")
     assert again.where(tst.ordering_by_seed(again["q"], again["seed"]) != again["ordering"]).count() == 0 and again.count() == 5
+
+
+def test_shared_keywords_are_counted_by_lists_of_words(spark):
+    """Equal to all pairs of words, also for a code with several texts; words meet in a join of distinct lists, so pairs of rows are not grouped."""
+    from collections import Counter
+
+    from askalot.operators import similarity
+
+    texts = [(f"t{i}", "Would you trust makers, of large things?") for i in range(3)] + [("t0", "trust Parties?"), ("t9", "a b"), ("t8", None), (None, "trust makers")]
+    own = [(f"f{i}", "trust the makers ????? of parties") for i in range(20)] + [("f1", "MAKERS trust"), ("f1", "MAKERS trust"), ("f2", "?????"), ("f3", None), ("t1", "trust makers"), (None, "trust makers")]
+    targets, features = spark.createDataFrame(texts, "code string, text string"), spark.createDataFrame(own, "code string, text string")
+    words = lambda t: {w.strip("?.,!") for w in (t or "").lower().split() if len(w) > 4}
+    want = Counter((a, b) for a, x in texts for b, y in own if b not in {c for c, _ in texts if c} for w in words(x) for _ in words(y) & {w})
+    found = similarity.keyword_leakage(targets, features)
+    assert Counter({(r["target"], r["feature"]): r["n_shared"] for r in found.collect()}) == Counter({k: n for k, n in want.items() if n >= 2})
+    assert "keys=[target#" not in "".join(line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if ", feature#" in line and "Aggregate" in line)
