@@ -239,3 +239,16 @@ def test_seeds_make_orderings_again_in_one_pass(spark):
     """The instances are made once, not joined with themselves."""
     plan = QUERIES["ord_1_seeds"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == QUERIES["ins_1_instances"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+
+def test_listed_profiles_are_drawn_once(spark):
+    from askalot.plans import respondent_queries
+
+    plan = respondent_queries.prf_7_always_include(spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("md5(") == 2
+
+
+def test_integers_as_written(spark):
+    raws = ["1", " +1", "-2", "1.0", "x", "", "1e3", "7\n", "12x", "9999999999999999999", None]
+    rows = spark.createDataFrame([(x,) for x in raws], "raw string").select(decode.written_integer(F.col("raw")).alias("k"), F.col("raw").try_cast("long").cast("string").alias("want")).collect()
+    assert [r["k"] for r in rows] == [r["want"] for r in rows]
