@@ -252,3 +252,16 @@ def test_integers_as_written(spark):
     raws = ["1", " +1", "-2", "1.0", "x", "", "1e3", "7\n", "12x", "9999999999999999999", None]
     rows = spark.createDataFrame([(x,) for x in raws], "raw string").select(decode.written_integer(F.col("raw")).alias("k"), F.col("raw").try_cast("long").cast("string").alias("want")).collect()
     assert [r["k"] for r in rows] == [r["want"] for r in rows]
+
+
+def test_long_form_is_dealt_by_the_size_of_the_input(spark):
+    from askalot.plans import survey_queries
+    from askalot.sources.splits import TIMES
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        plan = survey_queries.prf_11_shortfall(spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert f", {TIMES}), REPARTITION_BY_NUM" in plan
