@@ -13,7 +13,8 @@ from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField,
 from ..functions.artifact_patterns import CRITICAL, OTHERWISE, PATTERNS, SUGGESTIONS, WARNING
 from ..functions.binding import each_of, let, measures
 from ..functions.matching import needs
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, stored
+from ..sources.splits import spread
 
 # Labels that a star marks as no answer.
 STARRED = ["Refusal*", "Not applicable*", "No answer*", "Don't know*", "Not available*"]
@@ -324,6 +325,9 @@ def enrich(
     made of it, and looked up there by key. A key is called once an attempt, and a run that is given the ``log`` of one that broke off goes on from there. A part
     (of ``parts``, by hash of the key) is in the log when all of it is done; only what was under way then, or in a task that was lost, is called again.
     Runs its calls at once. ``key`` is unique; a null one counts as a key.
+
+    What failed is kept as a table in the shared folder, which the next attempt reads instead of all rows (their types must be ones that Parquet has; void
+    columns are made again); two such tables are there at most. The log, which grows with rows and attempts, is joined by merging and never broadcast.
     """
     spark, new = rows.sparkSession, StructType.fromDDL(added)
     names = [f.name for f in new]
@@ -331,6 +335,7 @@ def enrich(
     written = StructType([StructField("key", StringType()), StructField("attempt", IntegerType()), *new.fields, StructField("failed", BooleanType()), StructField("error", StringType())])
     empty = spark.createDataFrame([], written)
     empty.write.mode("append").parquet(log)
+    begun = not spark.read.schema(written).parquet(log).isEmpty()
     if skip:
         first = rows.select(key).orderBy(key).limit(skip)
         rows = rows.join(first, rows[key].eqNullSafe(first[key]), "left_anti")
@@ -354,17 +359,32 @@ def enrich(
 
         return of
 
+    def tried(since: int) -> DataFrame:
+        done = spark.read.schema(written).parquet(log).where(F.col("attempt") >= since)
+        return done.groupBy(F.col("key").alias("__k")).agg(F.max("attempt").alias("__tried"), F.max_by("failed", "attempt").alias("__failed")).hint("merge")
+
     keyed = rows.withColumn("__key", F.col(key).cast("string"))
+    same = F.col("__key").eqNullSafe(F.col("__k"))
+    kept = [c for c, kind in keyed.dtypes if kind != "void"]
+    folders = [shared_path(spark, "open") for _ in range(2)]
+    left, n_left = keyed.withColumn("__tried", F.lit(0)), 0
+    if begun:
+        left = keyed.join(tried(1), same, "left").where(F.coalesce("__failed", F.lit(True))).select(*kept, F.coalesce("__tried", F.lit(0)).alias("__tried"))
+        left = stored(left, "open", folders[0])
+        n_left = left.count()
     for attempt in range(1, attempts + 1):
         for part in range(parts):
-            known = spark.read.schema(written).parquet(log).groupBy("key").agg(F.max("attempt").alias("__tried"), F.max_by("failed", "attempt").alias("__failed")).withColumnRenamed("key", "__k")
-            due = keyed.join(known, F.col("__key").eqNullSafe(F.col("__k")), "left").where(F.coalesce("__tried", F.lit(0)) == attempt - 1)
-            due = due.where((F.coalesce("__failed", F.lit(True))) & (F.pmod(F.xxhash64(F.coalesce("__key", F.lit(""))), F.lit(parts)) == part))
-            due.select(*keyed.columns).mapInPandas(run(attempt), written).write.mode("append").parquet(log)
-        if spark.read.schema(written).parquet(log).where((F.col("attempt") == attempt) & F.col("failed")).isEmpty():
-            break
+            due = left.where((F.col("__tried") == attempt - 1) & (F.pmod(F.xxhash64(F.coalesce("__key", F.lit(""))), F.lit(parts)) == part))
+            due = spread(due, "__key") if n_left >= spark.sparkContext.defaultParallelism else due  # few rows stay in one task
+            due = due.select(*[F.col(c) if c in due.columns else F.lit(None).alias(c) for c in keyed.columns])
+            due.mapInPandas(run(attempt), written).write.mode("append").parquet(log)
+        if attempt < attempts:
+            left = stored(left.drop("__tried").join(tried(attempt).where("__failed"), same).select(*kept, "__tried"), "open", folders[attempt % 2])
+            n_left = left.count()
+            if not n_left:
+                break
     last = spark.read.schema(written).parquet(log).groupBy(F.col("key").alias("__k")).agg(F.max_by(F.struct(*written.names[1:]), "attempt").alias("__last"))
-    done = keyed.join(last, F.col("__key").eqNullSafe(F.col("__k")))
+    done = keyed.join(last.hint("merge"), same)
     return done.select(*rows.columns, *[F.col(f"__last.{n}").alias(n) for n in names], "__last.failed", (F.col("__last.attempt") > 1).alias("retried"), "__last.attempt", "__last.error")
 
 

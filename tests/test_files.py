@@ -1,6 +1,8 @@
 import json
+import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from askalot.operators import instances
 from askalot.operators import testsets as tst
@@ -144,6 +146,41 @@ def test_enrichment_of_batches(spark, tmp_path):
     assert codebook.enrich(rows.limit(0), service, "out long", "k").count() == 0
 
 
+def test_enrichment_keeps_its_log_from_the_driver(spark, tmp_path):
+    """Rows and log meet without a broadcast; rows are made for the first attempt, for what it left over and for the result, not for each attempt; a log is gone on with."""
+    made, calls, log = tmp_path / "made", tmp_path / "calls", str(tmp_path / "log")
+    made.mkdir()
+    calls.mkdir()
+    needs_calls = {7: 4, 11: 6, 12: 99, -1: 3}
+
+    def note(batches):
+        (made / uuid.uuid4().hex).touch()
+        yield from batches
+
+    def service(batch):
+        k = int(batch["k"].fillna(-1).iloc[0])
+        assert list(batch.columns) == ["k", "nothing"] and batch["nothing"].isna().all()
+        (calls / f"{k}-{uuid.uuid4().hex}").touch()
+        return batch.assign(out=k * 2, failed=len(list(calls.glob(f"{k}-*"))) < needs_calls.get(k, 1))
+
+    rows = spark.createDataFrame([(i,) for i in range(40)] + [(None,)], "k int").repartition(1).mapInPandas(note, "k int").withColumn("nothing", F.lit(None))
+    size = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    try:
+        first = codebook.enrich(rows, service, "out int", "k", attempts=5, batch_rows=1, log=log)
+        got = {r["k"]: (r["out"], r["failed"], r["attempt"]) for r in first.collect()}
+        n_made = len(list(made.iterdir()))
+        more = codebook.enrich(rows.where("k <> 39 or k is null").unionByName(rows.where("k = 39").withColumn("k", F.lit(90))), service, "out int", "k", attempts=7, batch_rows=1, log=log)
+        again = {r["k"]: (r["out"], r["failed"], r["attempt"]) for r in more.collect()}
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", size)
+    want = {k: (2 * k, False, 1) for k in range(40)} | {7: (14, False, 4), 11: (22, True, 5), 12: (24, True, 5), None: (-2, False, 3)}
+    assert got == want and n_made <= 4
+    del want[39]
+    assert again == want | {90: (180, False, 1), 11: (22, False, 6), 12: (24, True, 7)}
+    assert len(list(calls.iterdir())) == spark.read.parquet(log).count() == sum(x[2] for x in again.values()) + 1
+
+
 def test_a_text_has_what_its_patterns_need(spark):
     """Each pattern finds the same with and without the literals asked for first."""
     import re
