@@ -208,8 +208,8 @@ def _columns(draw: rsp.Draw, code: Column, rest: dict[str, Column]) -> list[Colu
 
 def _instances(rows: DataFrame, draw: rsp.Draw, country_options: DataFrame | None) -> DataFrame:
     """Regular instances of rows that bring their ``targets``, ``barred`` codes and ``sections``. One profile serves all targets of a respondent."""
-    held = F.filter("answers", lambda a: F.array_contains("targets", a["code"]) & ~is_missing(a["target_label"]) & (a["n_labels"] > 0))
-    drawn = rsp.with_profile(rows, draw, more="barred", pool_sections="sections").select("survey", "respondent_id", "country", "answers", "targets", rsp.asked(F.col("features")).alias("questions"))
+    held = F.filter("answers", lambda a: F.array_contains("targets", a["code"]) & ~a["target_missing"] & (a["n_labels"] > 0))
+    drawn = rsp.with_asked(rows, draw, "barred", "sections").select("survey", "respondent_id", "country", "answers", "targets", "questions")
     each = each_of(drawn, F.when(F.size("questions") > 0, held), "t", "survey", "respondent_id", "country", "questions")
     options = F.col("t.options")
     if country_options is not None:
@@ -229,7 +229,7 @@ def _concept_instances(rows: DataFrame, concepts: DataFrame, draw: rsp.Draw) ->
     joined = rows.join(first, (F.col("survey") == F.col("__s")) & (F.upper("country") == F.col("__country"))).where(F.array_contains("concepts", F.col("concept")))
     answer = F.try_element_at(F.filter("answers", lambda a: a["code"] == F.col("__code")), F.lit(1))
     fit = each_of(joined, F.array(answer), "t", "survey", "respondent_id", "country", "concept", "answers", "barred", "sections", "book_sections").where(~is_missing(F.col("t.label")) & (F.size("t.options") > 0))
-    drawn = rsp.with_profile(fit, draw, more="barred", pool_sections="sections").select("survey", "respondent_id", "country", "concept", "t", rsp.asked(F.col("features")).alias("questions"))
+    drawn = rsp.with_asked(fit, draw, "barred", "sections").select("survey", "respondent_id", "country", "concept", "t", "questions")
     rest = {
         "target_question": F.col("t.question"), "target_code": F.col("t.code"), "target_section": F.col("t.section"), "answer": F.col("t.label"), "answer_raw": F.col("t.raw"),
         "options": rsp.with_answer(F.col("t.options"), F.col("t.label")),

@@ -265,3 +265,30 @@ def test_long_form_is_dealt_by_the_size_of_the_input(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert f", {TIMES}), REPARTITION_BY_NUM" in plan
+
+
+def _optimized(spark, name):
+    return QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_accuracy_makes_the_instances_once(spark):
+    """Predictions bring what they are held against, and only the first ordering is made. The join gives the same for predictions from elsewhere."""
+    from askalot.operators import evaluation
+
+    plan, base = _optimized(spark, "evl_1_accuracy"), _optimized(spark, "ins_1_instances")
+    assert plan.count("Join") == base.count("Join") and plan.count("md5(") == base.count("md5(")
+    rows = spark.createDataFrame([("a", "x", "t", "x"), ("b", "x", "t", "y"), ("c", "z", "u", "z")], "example_id string, prediction string, target_code string, answer string")
+    assert sorted(evaluation.accuracy(rows).collect()) == sorted(evaluation.accuracy(rows.select("example_id", "prediction"), rows.drop("prediction")).collect())
+
+
+def test_instances_of_raw_answers_equal_those_of_decoded_ones(spark, small):
+    variables, values, _ = small
+    codes = ["AGE", "GENDER", "Q1", "Q2", "Q3"]
+    people = [(str(k), "AT", ["1", "1.0", " +1", None, "x"][k % 5], "MF?"[k % 3], ["1", "99", "1.7", None][k % 4], ["1", None, "Refused"][k % 3], ["2", "2.0", ""][k % 3]) for k in range(60)] + [("none", None, None, None, None, None, None)]
+    wide = spark.createDataFrame(people, "respondent_id string, country string, " + ", ".join(f"{c} string" for c in codes))
+    variables = variables.unionByName(spark.createDataFrame([("opinions", 1, "Q4", 5, "Do you trust the media?")], variables.schema))  # a question text that occurs twice
+    wide, codes, book = wide.withColumn("Q4", F.col("Q3")), [*codes, "Q4"], respondents.book(variables, values, [*codes, "Q4"])
+    for draw in (respondents.Draw(profiles.ProfileConfig(2, 2, 7)), respondents.Draw(profiles.ProfileConfig(2, 3, 1), ("AGE",)), respondents.Draw(CONFIG, (), ("Q2",))):
+        got = respondents.direct_instances(wide, book, codes, ["Q1", "Q3"], draw, "s")
+        want = respondents.instances(respondents.answer_rows(wide, book, codes), ["Q1", "Q3"], draw, "s")
+        assert want.count() > 50 and sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
