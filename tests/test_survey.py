@@ -292,3 +292,13 @@ def test_instances_of_raw_answers_equal_those_of_decoded_ones(spark, small):
         got = respondents.direct_instances(wide, book, codes, ["Q1", "Q3"], draw, "s")
         want = respondents.instances(respondents.answer_rows(wide, book, codes), ["Q1", "Q3"], draw, "s")
         assert want.count() > 50 and sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+
+
+def test_statistics_of_orderings_make_none(spark):
+    from askalot.operators import testsets
+
+    plan, base = _optimized(spark, "ord_4_statistics"), _optimized(spark, "ins_1_instances")
+    assert plan.count("Join") == base.count("Join") and plan.count("md5(") == base.count("md5(")
+    rows = spark.createDataFrame([("e", ["x"], "x", ["a", "b"])], "example_id string, options array<string>, answer string, q array<string>")
+    got = testsets.ordering_statistics(testsets.with_orderings(rows, rows["q"])).collect()
+    assert sorted(map(tuple, got)) == [("eligible", "all", 0), ("orderings", "all", 0), ("processed", "all", 1)]  # as SQL counts where nothing is eligible
