@@ -302,3 +302,8 @@ def test_statistics_of_orderings_make_none(spark):
     rows = spark.createDataFrame([("e", ["x"], "x", ["a", "b"])], "example_id string, options array<string>, answer string, q array<string>")
     got = testsets.ordering_statistics(testsets.with_orderings(rows, rows["q"])).collect()
     assert sorted(map(tuple, got)) == [("eligible", "all", 0), ("orderings", "all", 0), ("processed", "all", 1)]  # as SQL counts where nothing is eligible
+
+
+def test_a_sample_by_size_reads_what_it_is_drawn_from_once(spark):
+    """The instances are stored for the counts and the sample, not made for each."""
+    assert "md5(concat_ws(|, 42, respondent_id" not in _optimized(spark, "smp_4_by_size")
