@@ -307,3 +307,18 @@ def test_statistics_of_orderings_make_none(spark):
 def test_a_sample_by_size_reads_what_it_is_drawn_from_once(spark):
     """The instances are stored for the counts and the sample, not made for each."""
     assert "md5(concat_ws(|, 42, respondent_id" not in _optimized(spark, "smp_4_by_size")
+
+
+def test_windows_of_lists_of_any_length(spark):
+    """Short lists are ordered by compiled code, long ones by functions over arrays; both as the SQL does."""
+    from hashlib import md5
+
+    from askalot.operators import testsets
+
+    lists = {f"e{n}-{k}": [f"q{(j * 7 + k) % 5}=é{'a' * (j % 3)}" if k else f"q{j}=a" for j in range(n)] for n in range(testsets.FEW + 4) for k in (0, 1)}
+    rows = spark.createDataFrame([(i, x, f"42|{i}|1#{k}") for i, x in lists.items() for k in (0, 10)], "example_id string, items array<string>, seed string")
+    got = testsets.with_ordering_by_seed(rows, "made").withColumn("again", testsets.ordering_by_seed(F.col("items"), F.col("seed"))).collect()
+    for r in got:
+        base, k = r["seed"].split("#")
+        want = [x for _, x in sorted((md5(f"{base}|{x}".encode()).hexdigest()[2 * int(k) : 2 * int(k) + 12], x) for x in r["items"])]
+        assert r["made"] == want == r["again"]
