@@ -15,8 +15,8 @@ from ..operators import respondents as rsp
 from ..operators import testsets as tst
 from ..sources import star_survey as star
 from .respondent_queries import instance_sql, profile_ctes
-from .survey_queries import CONFIG, TARGETS, answers, decoded, pool
-from .testset_queries import ordering_ctes, orderings
+from .survey_queries import CONFIG, TARGETS, answers, decoded, instances, pool
+from .testset_queries import items, ordering_ctes
 from .variation_queries import options, variation_ctes
 
 
@@ -70,12 +70,8 @@ def opt_1_scale_option(spark, d):
     return each_option(spark, d).select("option", pat.is_scale_option(F.col("option")).alias("scale"))
 
 
-def instance_rows(spark, d) -> DataFrame:
-    return rsp.instances(answers(spark, d), TARGETS, rsp.Draw(CONFIG), "star")
-
-
 def opt_2_option_type(spark, d):
-    return instance_rows(spark, d).groupBy("target_code", tst.option_type(F.col("options")).alias("option_type")).agg(F.count(F.lit(1)).alias("n"))
+    return instances(spark, d).groupBy("target_code", tst.option_type(F.col("options")).alias("option_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def opt_3_substantive(spark, d):
@@ -83,15 +79,15 @@ def opt_3_substantive(spark, d):
 
 
 def ord_2_retry(spark, d):
-    """Random orderings of three or more features that equal the original or its reverse: only where no other was found."""
-    rows = orderings(spark, d)
-    wide = rows.groupBy("example_id").pivot("name", ["original", "reversed", "random_1", "random_2"]).agg(F.first("ordering"))
-    same = lambda c: ((F.col(c) == F.col("original")) | (F.col(c) == F.col("reversed"))).cast("int")
-    return wide.agg(F.count(F.lit(1)).alias("n"), F.sum(same("random_1") + same("random_2")).alias("n_same"))
+    """Random orderings of three or more features that equal the original or its reverse: only where no other was found. Each instance is compared in its own row."""
+    rows = tst.with_orderings(instances(spark, d), items(), names=("random_1", "random_2"))
+    same = F.filter("orderings", lambda o: (o["ordering"] == F.col("items")) | (o["ordering"] == F.reverse("items")))
+    # Rows without orderings count for nothing; a filter on their reason would be pushed below and compute items and options again.
+    return rows.agg(F.count("orderings").alias("n"), F.sum(F.when(F.col("orderings").isNotNull(), F.size(same))).alias("n_same"))
 
 
 def ins_3_all_targets(spark, d):
-    return instance_rows(spark, d).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("target_code")), "|").alias("targets"))
+    return instances(spark, d).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("target_code")), "|").alias("targets"))
 
 
 def ins_5_appended(spark, d):

@@ -322,3 +322,8 @@ def test_windows_of_lists_of_any_length(spark):
         base, k = r["seed"].split("#")
         want = [x for _, x in sorted((md5(f"{base}|{x}".encode()).hexdigest()[2 * int(k) : 2 * int(k) + 12], x) for x in r["items"])]
         assert r["made"] == want == r["again"]
+
+
+def test_retries_are_compared_in_their_rows(spark):
+    plan = _optimized(spark, "ord_2_retry")
+    assert plan.count("Aggregate [") <= _optimized(spark, "ins_1_instances").count("Aggregate [") + 1 and "pivot" not in plan.lower()
